@@ -10,14 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A lookup table of at most this many (narrow) rows is broadcast; a larger one is joined by a salted shuffle.
+#: A lookup table of at most this many (narrow) rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-SALTS = 32
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 8 << 20
 
@@ -41,20 +40,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table with a saved table that has one row for each key (null equals null).
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a large table with a saved table that has one (narrow) row for each key; null equals null.
 
-    The lookup table is counted first: up to ``most`` rows it is broadcast. A larger one is repeated
-    SALTS times and joined on the key and a salt of the large table, so that a hot key is dealt over SALTS tasks.
+    The lookup table is counted first: up to ``most`` rows it is broadcast. A larger one is joined by an equi-join of two exchanged
+    inputs, the form in which adaptive execution splits the partitions of a hot key.
     """
     other = small.select([F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] + [c for c in small.columns if c not in keys])
-    if small.count() <= most:
-        on = [big[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)]
-        return big.join(F.broadcast(other), on, how).drop(*[f"__k{i}" for i in range(len(keys))])
-    big = big.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    other = other.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = [big[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)] + [big["__salt"] == other["__salt2"]]
-    return big.join(other, on, how).drop("__salt", "__salt2", *[f"__k{i}" for i in range(len(keys))])
+    on = [big[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)]
+    return big.join(F.broadcast(other) if small.count() <= most else other, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from siltloom.llm.decontamination import op8_aho_corasick
+from siltloom.llm.minhash import op9_fast_similarity_sketch
+from siltloom.llm.mixing import op2_min_cost_flow
 from siltloom.llm.sharding import op6_histogram_sort
 
-QUERIES = {f.__name__: f for f in (op6_histogram_sort, op8_aho_corasick)}
+QUERIES = {f.__name__: f for f in (op2_min_cost_flow, op6_histogram_sort, op8_aho_corasick, op9_fast_similarity_sketch)}
 ORACLES: dict[str, str] = {}

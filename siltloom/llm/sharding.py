@@ -31,12 +31,13 @@ def sort_key(text: Column, doc_id: Column) -> tuple[Column, Column]:
     return t, F.shiftrightunsigned(F.xxhash64(F.lit(7), doc_id), 4)
 
 
-def find_splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[Splitter], int, int]:
+def find_splitters(keyed: DataFrame, shards: int, tolerance: float, group_tolerance: float) -> tuple[list[Splitter], int, int]:
     """Splitters for ``keyed`` (t, k, size), with the total bytes and rows.
 
     Each round counts the exact bytes of 4,096 candidate ranges inside every open range (one for each splitter at most),
     so that at most 4,096 x (shards - 1) sums reach the driver. A splitter is settled by the nearest
-    range boundary as soon as that is within ``tolerance`` of a mean shard, or when the key has no digits left.
+    range boundary as soon as that is within ``tolerance`` of a mean shard, or when the key has no digits left. A group of equal texts
+    is cut only where both its ends are further off than ``group_tolerance``.
     """
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     allowed = tolerance * total / shards
@@ -67,7 +68,8 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[lis
                 at += n
             low, high = (at, (*p, d)), (at + n, _after((*p, d)))
             best = min(low, high, key=lambda x: abs(x[0] - goal))
-            if abs(best[0] - goal) <= allowed or level == 2 * DIGITS - 1:
+            near = group_tolerance * total / shards if level == DIGITS - 1 else allowed
+            if abs(best[0] - goal) <= near or level == 2 * DIGITS - 1:
                 done[i] = Splitter(*_numbers(best[1]), best[0])
             else:
                 still[i] = ((*p, d), at)
@@ -106,11 +108,11 @@ def _has_prefix(p: tuple[int, ...]) -> Column:
     return out
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 16, tolerance: float = 0.001, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 16, tolerance: float = 0.001, group_tolerance: float = 0.1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with ``shard`` (0 .. shards - 1) and ``slot`` (0, 1, ... inside each shard, without gaps).
 
     Shards hold nearly equal bytes, a row counting its UTF-8 length plus 1. Rows are ordered by hash of the text, then of the id,
-    and cut at splitters; equal texts stay together unless their group exceeds the tolerance (a fraction of a mean shard).
+    and cut at splitters; equal texts stay together unless that would move a boundary by over ``group_tolerance`` of a mean shard.
     A null text counts as no bytes and differs from an empty one; rows equal in text and id can't be parted; null ids count as equal.
     An empty table gives an empty result. Columns of ``df`` named shard or slot are replaced.
     The rows are exchanged once, by shard and bin; slots follow the bins, whose counts are summed up beforehand.
@@ -118,7 +120,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, tolerance: float = 0.001, te
     t, k = sort_key(F.col(text), F.col(doc_id))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     slim = saved(df.select(t.alias("t"), k.alias("k"), size.alias("size")))
-    splitters, _, rows = find_splitters(slim, shards, tolerance)
+    splitters, _, rows = find_splitters(slim, shards, tolerance, group_tolerance)
     bins = max(1, -(-rows // (shards * ROWS_PER_BIN)))
 
     def placed(d: DataFrame, t: Column, k: Column) -> DataFrame:

@@ -33,3 +33,27 @@ def overlaps(docs, items, n=13):
                     ids |= found
         out[doc] = (len(w), len(hit), len(ids), sha(",".join(sorted(map(str, ids)))), bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def near(docs, k=3, percent=85):
+    sets = {}
+    for doc, text in docs:
+        w = SPACE_WORD.findall(lower(text))
+        sets[doc] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                n = len(x & y)
+                if 100 * n >= percent * (len(x) + len(y) - n):
+                    p, q = sorted((find(a), find(b)))
+                    root[q] = p
+    return {d: (len(sets[d]), find(d), find(d) == d) for d in ids}
