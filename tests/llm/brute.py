@@ -57,3 +57,15 @@ def near(docs, k=3, percent=85):
                     p, q = sorted((find(a), find(b)))
                     root[q] = p
     return {d: (len(sets[d]), find(d), find(d) == d) for d in ids}
+
+
+def base_secrets(text):
+    """Counts and digest of the base patterns, from the contract's own words."""
+    text = text or ""
+    found = [("assign", m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    found += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    found.sort(key=lambda f: (f[1], order[f[0]]))
+    count = lambda k: sum(f[0] == k for f in found)
+    return count("assign"), count("access"), count("hex"), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
