@@ -59,7 +59,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             if n:
                 yield batch
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) + 64
+        column = batch.column(text)
+        length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
+        sizes = np.asarray(length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) * (8 if pa.types.is_list(column.type) else 1) + 64
         ends, at = np.cumsum(sizes), 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
@@ -81,6 +83,42 @@ def map_rows(df: DataFrame, text: str, schema: str | T.StructType, fn: Callable[
     return df.mapInArrow(run, fields)
 
 
+def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Table], dict]) -> DataFrame:
+    """Map groups of rows with equal integer keys; groups of one row are left out. Callers bound the size of a group.
+
+    Rows are dealt by the keys and sorted; a task holds one batch and one group at a time.
+    """
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+
+    def run(batches):
+        held: pa.Table | None = None
+        out: list[dict] = []
+
+        def made():
+            parts = {f.name: [x for o in out for x in o[f.name]] for f in arrow}
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(parts[f.name], f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            columns = [held.column(k).to_numpy() for k in keys]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            starts = [0, *new.tolist()]
+            for a, b in zip(starts, starts[1:]):
+                if b - a > 1:
+                    out.append(fn(held.slice(a, b - a)))
+            held = held.slice(starts[-1])
+            if out:
+                yield made()
+        if held is not None and held.num_rows > 1:
+            out.append(fn(held))
+            yield made()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, fields)
+
+
 class WordHashes(dict):
     """64-bit hash of each word met, kept for the next time; cleared at ``most`` words to bound memory."""
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltloom.llm.common import LOWER, WordHashes, components, grams, lookup, map_rows, mix, saved
+from siltloom.llm.common import LOWER, WordHashes, components, grams, lookup, map_groups, map_rows, mix, saved
 
 
 @dataclass(frozen=True)
@@ -121,18 +121,15 @@ def _open_pairs(rows: DataFrame, near: Near, top: int) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = (
         lookup(rows, sizes, ["k"], "inner").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .groupBy("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("id", "root", "n", "sig")).alias("members")).select("members")
-        .withColumn("text", F.lit(b""))
+        .select("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "root", "n", "sig")
     )
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: list[tuple[int, int, bool]] = []
-        for members in batch.column("members").to_pylist():
-            out += _best_pairs(members, near, top)
+    def run(group: pa.Table) -> dict:
+        out = _best_pairs(group.to_pylist(), near, top)
         a, b, more = zip(*out) if out else ((), (), ())
-        return {"a": list(a), "b": list(b), "more": list(more)}
+        return {"a": a, "b": b, "more": more}
 
-    return map_rows(dealt, "text", "a long, b long, more boolean", run)
+    return map_groups(dealt, ["k", "lo", "hi"], "a long, b long, more boolean", run)
 
 
 def _best_pairs(members: list[dict], near: Near, top: int) -> list[tuple[int, int, bool]]:

@@ -69,3 +69,28 @@ def base_secrets(text):
     found.sort(key=lambda f: (f[1], order[f[0]]))
     count = lambda k: sum(f[0] == k for f in found)
     return count("assign"), count("access"), count("hex"), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+
+
+def linked_vectors(rows, least=0.93):
+    """rows: (vec_id, label, vector); cosines one by one."""
+    import numpy as np
+
+    ok = [(i, lab, np.array(v, np.float64)) for i, lab, v in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = {i: 0 for i, _, _ in rows}
+    root = {i: i for i, _, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for label in {lab for _, lab, _ in ok}:
+        own = [(i, v / np.linalg.norm(v)) for i, lab, v in ok if lab == label]
+        x = np.array([v for _, v in own])
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= least, 1))):
+            p, q = own[a][0], own[b][0]
+            links[p] += 1
+            links[q] += 1
+            p, q = sorted((find(p), find(q)))
+            root[q] = p
+    return {i: (links[i], find(i), find(i) == i) for i in links}
