@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siltloom.llm.decontamination import op8_aho_corasick
 from siltloom.llm.language import op1_evidence_fusion
+from siltloom.llm.lines import op10_fuzzy_lines
 from siltloom.llm.minhash import op9_fast_similarity_sketch
 from siltloom.llm.mixing import op2_min_cost_flow
 from siltloom.llm.pivots import op3_pivot_permutations
@@ -11,5 +12,18 @@ from siltloom.llm.secrets import op4_multipart_credentials
 from siltloom.llm.sharding import op6_histogram_sort
 from siltloom.llm.tokens import op5_count_only_viterbi
 
-QUERIES = {f.__name__: f for f in (op1_evidence_fusion, op2_min_cost_flow, op3_pivot_permutations, op4_multipart_credentials, op5_count_only_viterbi, op6_histogram_sort, op8_aho_corasick, op9_fast_similarity_sketch)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_evidence_fusion,
+        op2_min_cost_flow,
+        op3_pivot_permutations,
+        op4_multipart_credentials,
+        op5_count_only_viterbi,
+        op6_histogram_sort,
+        op8_aho_corasick,
+        op9_fast_similarity_sketch,
+        op10_fuzzy_lines,
+    )
+}
 ORACLES: dict[str, str] = {}

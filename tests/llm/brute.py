@@ -94,3 +94,37 @@ def linked_vectors(rows, least=0.93):
             p, q = sorted((find(p), find(q)))
             root[q] = p
     return {i: (links[i], find(i), find(i) == i) for i in links}
+
+
+def repeated_lines(docs, k=8, percent=80):
+    """{doc: places removed}; docs in ascending order of id. All pairs of distinct lines."""
+    first, sets = {}, {}
+    for doc, text in docs:
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            if line.strip("\x20\t\n\r\x0b\x0c"):
+                first.setdefault(line, (doc, pos))
+    for line in first:
+        u = line.encode("utf-16-le")
+        sets[line] = {u[2 * i : 2 * (i + k)] for i in range(max(1, len(u) // 2 - k + 1))}
+    root = {line: line for line in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = sorted(first, key=lambda x: len(sets[x]))
+    for i, a in enumerate(by):
+        for b in by[i + 1 :]:
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break
+            n = len(sets[a] & sets[b])
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                root[find(a)] = find(b)
+    keep = {}
+    for line, at in first.items():
+        keep[find(line)] = min(keep.get(find(line), at), at)
+    out = {}
+    for doc, text in docs:
+        out[doc] = [pos for pos, line in enumerate((text or "").split("\n") if text is not None else []) if line in first and keep[find(line)] != (doc, pos)]
+    return out
