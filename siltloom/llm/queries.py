@@ -10,6 +10,7 @@ from siltloom.llm.mixing import op2_min_cost_flow
 from siltloom.llm.pivots import op3_pivot_permutations
 from siltloom.llm.secrets import op4_multipart_credentials
 from siltloom.llm.sharding import op6_histogram_sort
+from siltloom.llm.substrings import op7_prefix_suffix_trees
 from siltloom.llm.tokens import op5_count_only_viterbi
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
         op4_multipart_credentials,
         op5_count_only_viterbi,
         op6_histogram_sort,
+        op7_prefix_suffix_trees,
         op8_aho_corasick,
         op9_fast_similarity_sketch,
         op10_fuzzy_lines,

@@ -128,3 +128,21 @@ def repeated_lines(docs, k=8, percent=80):
     for doc, text in docs:
         out[doc] = [pos for pos, line in enumerate((text or "").split("\n") if text is not None else []) if line in first and keep[find(line)] != (doc, pos)]
     return out
+
+
+def repeats(docs, n=50):
+    """{doc: (words, removed, digest of the kept words)}"""
+    words = {d: SPACE_WORD.findall(t or "") for d, t in docs}
+    least = {}
+    for d in sorted(words):
+        w = words[d]
+        for i in range(len(w) - n + 1):
+            least.setdefault(tuple(w[i : i + n]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - n + 1):
+            if least[tuple(w[i : i + n])] < d:
+                gone.update(range(i, i + n))
+        out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
