@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 100_000
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 8 << 20
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,11 +70,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             at = to
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Unless the session says otherwise, Arrow batches are limited by bytes too, as long texts would fill memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int((spark.conf.get(key) or "0").rstrip("bB")) >= (1 << 31) - 2:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, text: str, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """Map slices of Arrow batches to columns; no shuffle. ``fn`` returns a list or array for each field of ``schema``."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     arrow = to_arrow_schema(fields)
+    _bounded_batches(df.sparkSession)
 
     def run(batches):
         for part in slices(batches, text):
@@ -90,6 +99,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Tab
     """
     fields = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
+    _bounded_batches(df.sparkSession)
 
     def run(batches):
         held: pa.Table | None = None

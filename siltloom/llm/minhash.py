@@ -25,18 +25,12 @@ class Near:
     percent: int = 85
     bands: int = 20
     rows: int = 5
-    block: int = 1024
+    block: int = 512
 
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def estimate(self) -> float:
-        """Pairs whose sketches agree in a smaller part than this are 5.5 standard deviations below the threshold."""
-        s = self.percent / 100
-        return s - 5.5 * (s * (1 - s) / self.coordinates) ** 0.5
-
 
 _HASHES = WordHashes()
 
@@ -69,10 +63,10 @@ def sketch(items: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """(id, text as binary) to (id, n, s1, s2, bands, sig): set size, 128-bit digest of the set, band keys and a byte of each coordinate."""
+    """(id, text as binary) to (id, n, s1, s2, bands): set size, 128-bit digest of the set and band keys."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        n, s1, s2, bands, sig = [], [], [], [], []
+        n, s1, s2, bands = [], [], [], []
         for text in batch.column("text").to_pylist():
             items = shingles(text, near.shingle)
             n.append(len(items))
@@ -81,17 +75,15 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
             s2.append((d & ((1 << 64) - 1)) - (1 << 63))
             if not len(items):
                 bands.append([])
-                sig.append(b"")
                 continue
             values = sketch(items, near.coordinates)
             keys = np.zeros(near.bands, np.uint64)
             for j in range(near.rows):
                 keys = mix(keys, values[j :: near.rows])
             bands.append(keys.view(np.int64))
-            sig.append((mix(values, np.uint64(5)) >> np.uint64(56)).astype(np.uint8).tobytes())
-        return {"id": batch.column("id"), "n": n, "s1": s1, "s2": s2, "bands": bands, "sig": sig}
+        return {"id": batch.column("id"), "n": n, "s1": s1, "s2": s2, "bands": bands}
 
-    return map_rows(docs, "text", "id long, n int, s1 long, s2 long, bands array<long>, sig binary", run)
+    return map_rows(docs, "text", "id long, n int, s1 long, s2 long, bands array<long>", run)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
@@ -113,51 +105,62 @@ def verify(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= near.percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _open_pairs(rows: DataFrame, near: Near, top: int) -> DataFrame:
-    """Pairs of different components within buckets (k, id, root, n, sig) whose sketches agree enough; for two components of
-    a block at most the ``top`` best pairs, and then ``more`` is set. A bucket of over ``near.block`` members is dealt out to pairs of blocks.
+def _open_links(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) within the buckets (k, id, root) that hold several components: all members of a bucket are compared on their full sets.
+
+    Buckets with equal members are compared once. A bucket of over ``near.block`` members is dealt out to pairs of blocks. A task returns
+    for each linked member one edge to the smallest one it is connected with, never the pairs.
     """
-    sizes = saved(rows.groupBy("k").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("k", F.ceil(F.col("m") / near.block).cast("int").alias("parts")))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
+    once = sizes.where("r0 < r1").groupBy("m", "r0", "r1", "same").agg(F.min("k").alias("k"))
+    sizes = saved(once.select("k", F.ceil(F.col("m") / near.block).cast("int").alias("parts")))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = (
-        lookup(rows, sizes, ["k"], "inner").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id", "root", "n", "sig")
-    )
+    dealt = lookup(rows.select("k", "id"), sizes, ["k"], "inner").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = saved(dealt.select("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id"))
+    members = dealt.join(sets, "id").select("k", "lo", "hi", "id", F.array_sort("items").alias("items"))
 
     def run(group: pa.Table) -> dict:
-        out = _best_pairs(group.to_pylist(), near, top)
-        a, b, more = zip(*out) if out else ((), (), ())
-        return {"a": a, "b": b, "more": more}
-
-    return map_groups(dealt, ["k", "lo", "hi"], "a long, b long, more boolean", run)
-
-
-def _best_pairs(members: list[dict], near: Near, top: int) -> list[tuple[int, int, bool]]:
-    members.sort(key=lambda m: m["id"])
-    ids, roots, n = (np.array([m[c] for m in members]) for c in ("id", "root", "n"))
-    if (roots == roots[0]).all():
-        return []
-    sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), -1)
-    found = []
-    for at in range(0, len(ids), 32):
-        same = (sig[at : at + 32, None, :] == sig[None, :, :]).mean(2)
-        i = np.arange(at, min(at + 32, len(ids)))[:, None]
-        j = np.arange(len(ids))[None, :]
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (j > i) & (roots[i] != roots[j]) & (ids[i] != ids[j]) & (same >= near.estimate) & (100 * small >= near.percent * large)
-        x, y = np.nonzero(ok)
-        found += zip(same[x, y].tolist(), (x + at).tolist(), y.tolist())
-    found.sort(key=lambda f: (-f[0], f[1], f[2]))
-    used: dict[tuple[int, int], int] = {}
-    out = []
-    for _, x, y in found:
-        key = (min(roots[x], roots[y]), max(roots[x], roots[y]))
-        used[key] = used.get(key, 0) + 1
-        if used[key] <= top:
-            out.append((int(ids[x]), int(ids[y]), False))
-        elif used[key] == top + 1:
-            out[-1] = (*out[-1][:2], True)
-    return out
+        ids = group.column("id").to_numpy()
+        lists = group.column("items").combine_chunks()
+        a, b = linked(ids, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), near)
+        return {"a": a, "b": b}
+
+    return map_groups(members, ["k", "lo", "hi"], "a long, b long", run)
+
+
+def linked(ids: np.ndarray, sizes: np.ndarray, items: np.ndarray, near: Near) -> tuple[list[int], list[int]]:
+    """Edges that connect the near duplicates of a group as all its pairs do. The sets follow each other in ``items``.
+
+    Intersections of all pairs are products of the sets' incidence matrix, taken over some thousand items at a time.
+    """
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    values, at, count = np.unique(items, return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1  # an item of one set is in no intersection
+    common = (count > 1)[at]
+    owner, at = owner[common], new[at[common]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    width = max(256, (4 << 20) // len(ids))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        x, y = np.searchsorted(at, (first, first + width))
+        has = np.zeros((len(ids), width), np.float32)
+        has[owner[x:y], at[x:y] - first] = 1
+        both += has @ has.T
+    ok = 100 * both >= near.percent * (sizes[:, None] + sizes[None, :] - both)
+    ok &= ids[:, None] != ids[None, :]
+    x, y = np.nonzero(np.triu(ok, 1))
+    root = np.arange(len(ids))
+    while len(x):
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    far = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[far].tolist(), ids[root[far]].tolist()
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,8 +169,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     1. Sketch every text once; rows with equal sets (by a 128-bit digest of the full set) are one vertex, named by the smallest id.
     2. In each bucket (band, key) link candidates are the smallest id with every other one: as many as rows.
     3. Full sets of the candidates are made once; a pair is linked only when these agree.
-    4. Buckets that still span components compare all members' sketches in blocks; pairs of different components that agree within
-       5.5 standard deviations are verified, best first, until none is left. So a group of copies costs about one pair a member.
+    4. Buckets that still span components compare all their members on full sets, in blocks inside tasks. So a group of copies costs
+       about one pair a member, and no pair that shares a bucket is missed.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts without words (or null) have no shingles and are linked with nothing;
     rows with a null id keep component null and stay. Rows of one id count as one document: it links to whatever any of them does.
@@ -182,25 +185,16 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
     shared = saved(buckets.groupBy("k").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("k", F.col("first.id").alias("a"), F.col("first.n").alias("na")))
     members = saved(lookup(buckets, shared, ["k"], "inner"))
     fits = 100 * F.least("n", "na") >= near.percent * F.greatest("n", "na")
-    tested = saved(members.where(fits & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")).distinct())
+    first = saved(members.where(fits & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")).distinct())
     wanted = saved(members.select("id").distinct())
     wanted = saved(lookup(named.select("id", "s1", "s2"), wanted, ["id"], "inner"))
     sets = saved(full_sets(rows, wanted, near))
-    links = saved(verify(tested, sets, near).distinct())
-    top = 4
-    while True:
-        roots = saved(components(links))
-        labelled = lookup(lookup(members, roots.withColumnRenamed("v", "id"), ["id"]).withColumn("root", F.coalesce("root", "id")), saved(named.select("id", "s1", "s2", "sig").join(wanted, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "sig")), ["id"], "inner", 20_000)
-        found = saved(_open_pairs(labelled.select("k", "id", "root", "n", "sig"), near, top))
-        new = saved(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if not found.where("more").isEmpty():
-                top *= 8
-                continue
-            break
-        links = saved(links.union(verify(new, sets, near)).distinct())
-        tested = saved(tested.union(new))
-        top *= 8
+    links = saved(verify(first, sets, near).distinct())
+    roots = saved(components(links))
+    labelled = lookup(members.select("k", "id"), roots.withColumnRenamed("v", "id"), ["id"]).withColumn("root", F.coalesce("root", "id"))
+    more = saved(_open_links(labelled, sets, near))
+    if not more.isEmpty():
+        roots = saved(components(links.union(more)))
     placed = lookup(sk.select("id", "n", "s1", "s2"), copies, ["s1", "s2"]).withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     placed = lookup(placed, roots.withColumnRenamed("v", "rep"), ["rep"])
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep"))
