@@ -91,20 +91,21 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], need: dict[str | N
 
 
 def mix_sources(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), costs: Sequence[int] = COSTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Mix documents (id, sources array, size) to the weights' shares of all sizes.
+    """Mix documents (id, sources array, size, any other columns) to the weights' shares of all sizes.
 
-    Returns the documents with ``taken`` (tokens, repeats counted, at most len(costs) x size), and the flow
+    Returns the documents with ``pattern`` and ``taken`` (tokens, repeats counted, at most len(costs) x size), and the flow
     (pattern, source, source_size, target, tokens). A document belongs to every source in its array; its size counts for each of them.
     Documents with an equal set of sources form a pattern. Patterns and sources are read to the driver: they are aggregates, with one row for
     each set of sources that occurs. A pattern that gives q passes and a rest takes each document q times, then in the order of a
     seeded hash until the rest is used; the last document gives only its first words, so that quotas are met exactly. A null array counts as [null];
     sizes of 0 or null take nothing; an empty table gives empty results. Rows equal in id may share a hash and follow each other.
     """
-    base = saved(
-        rows.select("id", F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string"))))).alias("sources"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    named = (
+        rows.withColumn("sources", F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string")))))).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
         .withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})).withColumn("h", F.xxhash64(F.lit(seed), "id"))
         .withColumn("d1", F.pmod("h", F.lit(DIGIT)).cast("int")).withColumn("d2", F.pmod(F.shiftright("h", 12), F.lit(DIGIT)).cast("int"))
     )
+    base = saved(named.select("sources", "size", "pattern", "d1", "d2"))
     spark = rows.sparkSession
     found = sorted((r.pattern, tuple(r.sources), r.n) for r in base.groupBy("pattern", "sources").agg(F.sum("size").alias("n")).collect())
     sizes: dict[str | None, int] = {}
@@ -120,22 +121,24 @@ def mix_sources(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), costs: Se
         [(found[p][0], s, sizes[s], float(target[s]), f) for p, out in enumerate(flows) for s, f in out.items()], "pattern string, source string, source_size long, target double, tokens long"
     )
     plan = saved(spark.createDataFrame([(found[p][0], sum(out.values()) // n if n else 0, sum(out.values()) % n if n else 0) for p, (out, (_, n)) in enumerate(zip(flows, patterns))], "pattern string, passes long, rest long"))
-    return _select(base, plan), report
-
-
-def _select(base: DataFrame, plan: DataFrame) -> DataFrame:
-    """``taken`` of each document: histograms of the hash (4,096 ranges, then 4,096 inside the range reached) find where the rest ends."""
-    d = lookup(base.select("id", "pattern", "size", "h", "d1", "d2"), plan, ["pattern"], "inner")
-    edge1 = _edge(d, "d1", plan, "rest")
-    d = lookup(d, edge1.select("pattern", "edge_d1", "left_d1"), ["pattern"])
-    edge2 = _edge(d.where("d1 = edge_d1"), "d2", edge1, "left_d1")
-    d = lookup(d, edge2.select("pattern", "edge_d2", "left_d2"), ["pattern"])
-    last = (F.col("d1") == F.col("edge_d1")) & (F.col("d2") == F.col("edge_d2"))
-    before = (F.col("d1") < F.col("edge_d1")) | ((F.col("d1") == F.col("edge_d1")) & (F.col("d2") < F.col("edge_d2")))
-    sure = d.where(~F.coalesce(last, F.lit(False))).withColumn("more", F.when(F.coalesce(before, F.lit(False)), F.col("size")).otherwise(0))
+    return _select(named, base, plan).select("pattern", *rows.columns, "taken"), report
+
+
+def _select(rows: DataFrame, base: DataFrame, plan: DataFrame) -> DataFrame:
+    """``taken`` of each document: histograms of the hash (4,096 ranges, then 4,096 inside the range reached) find where the rest ends.
+
+    The rows meet only tables with one line a pattern; just those of the last range (a 16-millionth) are put in order.
+    """
+    edge1 = _edge(lookup(base, plan, ["pattern"], "inner"), "d1", plan, "rest")
+    edge2 = _edge(lookup(base, edge1, ["pattern"], "inner").where("d1 = edge_d1"), "d2", edge1, "left_d1")
+    edges = saved(plan.join(edge1, "pattern", "left").join(edge2, "pattern", "left"))
+    d = lookup(rows, edges, ["pattern"], "inner")
+    last = F.coalesce((F.col("d1") == F.col("edge_d1")) & (F.col("d2") == F.col("edge_d2")), F.lit(False))
+    before = F.coalesce((F.col("d1") < F.col("edge_d1")) | ((F.col("d1") == F.col("edge_d1")) & (F.col("d2") < F.col("edge_d2"))), F.lit(False))
+    sure = d.where(~last).withColumn("more", F.when(before, F.col("size")).otherwise(0))
     run = W.partitionBy("pattern").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     cut = d.where(last).withColumn("more", F.least("size", F.greatest(F.lit(0).cast("long"), F.col("left_d2") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
-    return sure.unionByName(cut).select("id", "pattern", "size", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    return sure.unionByName(cut).withColumn("taken", (F.col("passes") * F.col("size") + F.col("more")).cast("long"))
 
 
 def _edge(d: DataFrame, digit: str, limits: DataFrame, left: str) -> DataFrame:
@@ -152,6 +155,14 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def repeat_to_weights(docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with each row as often as the mix takes it; one that is taken in part stays if half of it is."""
+    rows = docs.select(F.struct("doc_id", "source", F.xxhash64("text").alias("th")).alias("id"), F.array("source").alias("sources"), count_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken, _ = mix_sources(rows, weights)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    return taken.withColumn("times", times).where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+
+
 def op2_min_cost_flow(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the shares 5, 2, 1 of their sources, in words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
