@@ -84,7 +84,7 @@ def train(labelled: DataFrame, fusion: Fusion = Fusion()) -> TextModel:
     def run(batch: pa.RecordBatch) -> dict:
         sums: dict[str, np.ndarray] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
+            sums[lang] = sums.get(lang, 0) + np.bincount(np.unique(trigrams(text)), minlength=BUCKETS)  # once a text, so that a long odd one can't rule
         langs, buckets, counts = [], [], []
         for lang, n in sums.items():
             at = np.flatnonzero(n)
