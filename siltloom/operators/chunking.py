@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,17 +200,23 @@ def chunk_rejects(files: DataFrame) -> DataFrame:
     return _chunked(files).where("error is not null").select("repo", "branch", "file_path", "error")
 
 
-def line_blocks(content: Column, pattern: str) -> Column:
-    """Blocks that begin at line 0 and at every later line that matches: array of (position, text), stripped, without blank ones."""
-    lines = F.split(content, "\n", -1)
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(lines, i).rlike(pattern))
+def with_line_blocks(df: DataFrame, pattern: str) -> DataFrame:
+    """``df`` (with content) and ``blocks`` that begin at line 0 and at every later line that matches: array of (position, text), stripped, without blank ones.
+
+    Lines and starts are columns of their own, for a lambda would split the content anew at each line.
+    """
+    lines, starts = F.col("__lines"), F.col("__starts")
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines)))
-    out = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("position"), strip(F.array_join(F.slice(lines, a + 1, b - a), "\n")).alias("text")))
-    return F.filter(out, lambda x: x["text"] != "")
+    block = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("position"), strip(F.array_join(F.slice(lines, a + 1, b - a), "\n")).alias("text")))
+    return (
+        df.withColumn("__lines", F.split("content", "\n", -1))
+        .withColumn("__starts", F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | x.rlike(pattern), i)), lambda i: i.isNotNull()))
+        .withColumn("blocks", F.filter(block, lambda x: x["text"] != "")).drop("__lines", "__starts")
+    )
 
 
 def split_by_line_pattern(files: DataFrame, language: str) -> DataFrame:
     """Blocks (repo, branch, file_path, position, text) of files over 8,000 characters, by built-in functions; files where no line but the first begins a
     block are left to the split by size."""
-    found = files.where(F.length("content") > SIZE).withColumn("blocks", line_blocks(F.col("content"), LINE_PATTERNS[language]))
+    found = with_line_blocks(files.where(F.length("content") > SIZE), LINE_PATTERNS[language])
     return found.where(F.size("blocks") > 1).select("repo", "branch", "file_path", F.inline("blocks"))

@@ -105,7 +105,9 @@ def keyword_scan(queries: DataFrame, files: DataFrame, max_files: int = 20, max_
     queries: (query_id, repo, branch, keywords). The join is an equi-join on repo and branch; a content is lower-cased once for each query of its repo.
     """
     q = queries.select("query_id", "repo", F.col("branch").alias("b"), F.expr("transform(filter(keywords, k -> k <> ''), k -> lower(k))").alias("words"))
-    found = files.where(in_mirror(F.col("file_path"))).join(q, "repo").where("(b is null or b = branch) and exists(words, w -> contains(lower(content), w))")
+    found = files.where(in_mirror(F.col("file_path"))).join(q, "repo").where("b is null or b = branch")
+    once = F.array(F.struct(F.lower("content").alias("text"), F.col("words")))  # lower-cased once, not for each word
+    found = found.where(F.exists(once, lambda x: F.exists(x["words"], lambda w: F.contains(x["text"], w))))
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("file_path"))).where(F.col("rank") <= max_files)
     if max_chars is not None:
         notice = F.concat(F.lit("\n\n-- ... archivo truncado ("), F.length("content").cast("string"), F.lit(" chars originales) ... --\n"))
