@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: A lookup table of at most this many (narrow) rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Bytes of text that a Python task handles at a time.
-SLICE_BYTES = 8 << 20
-BATCH_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,9 +71,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 
 def _bounded_batches(spark: SparkSession) -> None:
-    """Unless the session says otherwise, Arrow batches are limited by bytes too, as long texts would fill memory."""
+    """Limit the bytes of the session's Arrow batches, as long texts and sets would fill the Python workers."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int((spark.conf.get(key) or "0").rstrip("bB")) >= (1 << 31) - 2:
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -88,6 +88,8 @@ def map_rows(df: DataFrame, text: str, schema: str | T.StructType, fn: Callable[
         for part in slices(batches, text):
             out = fn(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+            del out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, fields)
 
@@ -125,6 +127,8 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Tab
         if held is not None and held.num_rows > 1:
             out.append(fn(held))
             yield made()
+        del held
+        pa.default_memory_pool().release_unused()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, fields)
 
@@ -132,7 +136,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Tab
 class WordHashes(dict):
     """64-bit hash of each word met, kept for the next time; cleared at ``most`` words to bound memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

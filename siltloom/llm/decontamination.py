@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import lru_cache
 
@@ -148,8 +147,3 @@ def op8_aho_corasick(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
-
-
-def digest_of(ids: list[str]) -> str:
-    """What ``items_sha256`` holds; used by tests."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
