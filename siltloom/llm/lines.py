@@ -20,12 +20,16 @@ class Fuzzy:
     """Lines are alike from ``percent`` of Jaccard similarity of their sets of ``shingle`` characters (UTF-16 units) on.
 
     ``bands`` x ``rows`` minima of one permutation: a pair of similarity 0.8 meets in a band with probability 0.997.
+    ``leaders``: members of a bucket that all others are compared with, round by round; ``block``: about so many members of a bucket
+    that still spans components meet so many others in one task.
     """
 
     shingle: int = 8
     percent: int = 80
     bands: int = 8
     rows: int = 3
+    leaders: tuple[int, ...] = (4,)
+    block: int = 2048
 
     @property
     def bins(self) -> int:
@@ -74,6 +78,30 @@ def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     return saved(grouped.withColumn("v", whole).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", F.array(*keys).alias("bands")))
 
 
+def parities(texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """(id, n, p0 to p3): the size of each text's shingle set, and the parity of its hashes in each of 256 cells."""
+    h = texts.select("id", F.explode(shingle_set(F.col("units"), fuzzy.shingle)).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(3)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    return h.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(4)])
+
+
+def may_be_alike(x: DataFrame, y: DataFrame, fuzzy: Fuzzy) -> Column:
+    """False only for pairs that can't be alike: two sets differ by as many shingles at least as their sizes and as their parities do."""
+    cells = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
+    return (100 + fuzzy.percent) * F.greatest(cells.cast("long"), F.abs(x["n"] - y["n"])) <= (100 - fuzzy.percent) * (x["n"] + y["n"])
+
+
+def possible(pairs: DataFrame, sets: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """The pairs (a, b) that sizes and parities leave."""
+    x, y = sets.withColumnRenamed("id", "a").alias("x"), sets.withColumnRenamed("id", "b").alias("y")
+    both = pairs.join(x, "a").join(y, "b")
+    return both.where(may_be_alike(_side("x"), _side("y"), fuzzy)).select("a", "b")
+
+
+def _side(name: str) -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in ("n", "p0", "p1", "p2", "p3")}
+
+
 def alike(pairs: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; both sets are made once for each pair."""
     a, b = texts.select(F.col("id").alias("a"), F.col("units").alias("x")), texts.select(F.col("id").alias("b"), F.col("units").alias("y"))
@@ -83,13 +111,38 @@ def alike(pairs: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def open_pairs(placed: DataFrame, sets: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """All pairs (a, b) of members (k, id, root) of one bucket and two components that sizes and parities leave.
+
+    The members outside a bucket's largest component meet all of its members, dealt out in blocks of both. Buckets with equal members are
+    taken once. The join tests sizes and parities itself, so that only pairs that are worth a verification are emitted.
+    """
+    by_root = placed.groupBy("k", "root").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
+    spans = by_root.groupBy("k").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("m"), F.sum("same").alias("same")).where("roots > 1")
+    once = spans.groupBy("m", "most", "roots", "same").agg(F.min("k").alias("k"))
+    parts = lambda c: F.ceil(c / fuzzy.block).cast("int")
+    buckets = saved(once.select("k", F.col("most.root").alias("most"), parts(F.col("m")).alias("all"), parts(F.col("m") - F.col("most.c")).alias("few")))
+    rows = saved(lookup(placed, buckets, ["k"], "inner", NARROW).join(sets, "id"))
+    block, every = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = rows.where("root <> most").withColumn("i", block("few")).withColumn("j", every("all")).alias("x")
+    y = rows.withColumn("j", block("all")).withColumn("i", every("few")).alias("y")
+    met = (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root"))
+    first = (F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, met & first & may_be_alike(_side("x"), _side("y"), fuzzy))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def repeated_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Places (doc_id, th, pos) of the lines to remove: of a component of alike lines only the first (smallest doc_id, then th, then pos) stays.
 
     Lines lie between line feeds; blank ones are never removed. A null doc_id comes first. th is a hash of the text: rows equal in both
-    are one document (their lines stay or go together); a null text has no lines; an empty table gives an empty result. In each bucket the member with the
-    smallest hash is compared with the others (as many pairs as rows); buckets that then still span components go on with 4, 16, ... further
-    members until each has met a member of every other component of its bucket.
+    are one document (their lines stay or go together); a null text has no lines; an empty table gives an empty result.
+
+    1. In each bucket (band, key) the member with the smallest id is compared with the others (as many pairs as rows), then up to ``leaders`` members
+       of components without one; so large groups of copies become one component for a few pairs a member.
+    2. In buckets that still span components all pairs of members of different components are compared: no alike pair that shares a bucket is missed.
+
+    Pairs whose sizes or parities rule them out aren't verified.
     """
     lines = lines_of(docs, doc_id, text)
     distinct = sketch_lines(lines, fuzzy)
@@ -99,25 +152,28 @@ def repeated_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), doc_id: str = "doc_i
     wanted = saved(members.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
     found = lookup(lines.select(*line_key(F.col("line")), F.encode("line", "UTF-16LE").alias("units")), wanted, ["h1", "h2"], "inner", NARROW)
     texts = saved(found.groupBy("id").agg(F.first("units").alias("units")))
-    tested = saved(members.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    sets = saved(parities(texts, fuzzy))
+    tested = saved(possible(members.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), sets, fuzzy))
     links = saved(alike(tested, texts, fuzzy))
-    leaders = 1
     done = members.where("a = id").select("k", F.col("id").alias("leader"))
-    while True:
+    for leaders in [*fuzzy.leaders, None]:
         roots = saved(components(links))
         placed = saved(lookup(members.select("k", "id"), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("root", F.coalesce("root", "id")))
-        led = saved(done.join(roots.withColumnRenamed("v", "leader"), "leader", "left").select("k", F.coalesce("root", "leader").alias("root")).distinct())
-        left = saved(placed.join(led, ["k", "root"], "left_anti"))
-        if left.isEmpty():
-            break
-        leaders *= 4
-        order = W.partitionBy("k").orderBy(F.xxhash64("k", "id"))
-        chosen = saved(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= leaders).select("k", F.col("id").alias("leader"), F.col("root").alias("lr")))
-        pairs = placed.join(chosen, "k").where("root <> lr").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        if leaders is None:
+            pairs = open_pairs(placed, sets, fuzzy)
+        else:
+            led = saved(done.join(roots.withColumnRenamed("v", "leader"), "leader", "left").select("k", F.coalesce("root", "leader").alias("root")).distinct())
+            left = saved(placed.join(led, ["k", "root"], "left_anti"))
+            order = W.partitionBy("k").orderBy(F.xxhash64("k", "id"))
+            chosen = saved(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= leaders).select("k", F.col("id").alias("leader"), F.col("root").alias("lr")))
+            done = done.union(chosen.select("k", "leader"))
+            pairs = possible(placed.join(chosen, "k").where("root <> lr").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), sets, fuzzy)
         new = saved(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = saved(tested.union(new))
-        links = saved(links.union(alike(new, texts, fuzzy)))
-        done = saved(done.union(chosen.select("k", "leader")))
+        more = saved(alike(new, texts, fuzzy))
+        links = links.union(more)
+    if not more.isEmpty():
+        roots = saved(components(links))
     groups = lookup(distinct.select("id", "h1", "h2", "times"), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW)
     groups = saved(groups.where("times > 1 or root is not null").select("h1", "h2", F.coalesce("root", "id").alias("group")))
     own = saved(lookup(lines.select(*line_key(F.col("line")), "doc_id", "th", "pos"), groups, ["h1", "h2"], "inner", NARROW).select("group", "doc_id", "th", "pos"))

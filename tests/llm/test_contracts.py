@@ -4,12 +4,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltloom.llm.decontamination import find_overlaps, op8_aho_corasick
 from siltloom.llm.language import identify, keep_identified, labelled, op1_evidence_fusion, page_evidence, train
-from siltloom.llm.lines import drop_repeated_lines, op10_fuzzy_lines, repeated_lines
+from siltloom.llm.lines import Fuzzy, drop_repeated_lines, op10_fuzzy_lines, repeated_lines, sketch_lines
 from siltloom.llm.minhash import Near, linked, near_duplicates, op9_fast_similarity_sketch, shingles, sketch
 from siltloom.llm.mixing import mix_sources, op2_min_cost_flow, quotas, route
 from siltloom.llm.pivots import Index, link_vectors, op3_pivot_permutations
@@ -392,6 +393,53 @@ def test_lines_odd(odd, spark):
     assert sorted((r.doc_id, r.pos) for r in repeated_lines(d).distinct().collect()) == [(2, 0), (2, 1)]
 
 
+def edited_lines(n, seed=7):
+    """A family of lines, each with a few characters changed: most pairs are near 0.8, on either side."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(97, 123, 150)
+    out = []
+    for _ in range(n):
+        line = base.copy()
+        at = rng.integers(0, len(base), 2)
+        line[at] = rng.integers(65, 91, 2)
+        out.append("".join(map(chr, line)))
+    return out
+
+
+def banded_components(spark, lines, fuzzy):
+    """The components of all alike pairs that share a band, by brute force."""
+    d = spark.createDataFrame([(line,) for line in set(lines)], "line string")
+    keyed = d.select("line", F.xxhash64("line").alias("h1"))
+    rows = keyed.join(sketch_lines(d, fuzzy).select("h1", "bands"), "h1").collect()
+    sets = [{r.line[i : i + fuzzy.shingle] for i in range(len(r.line) - fuzzy.shingle + 1)} for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if any(a == b for a, b in zip(rows[i].bands, rows[j].bands)):
+                both = len(x & sets[j])
+                if 100 * both >= fuzzy.percent * (len(x) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+    return {r.line: find(i) for i, r in enumerate(rows)}
+
+
+@pytest.mark.parametrize("block", [2048, 37])
+def test_lines_of_a_large_family(spark, block):
+    lines = edited_lines(1000)
+    group = banded_components(spark, lines, Fuzzy())
+    first = {}
+    for i, line in enumerate(lines):
+        first.setdefault(group[line], i)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in repeated_lines(docs, Fuzzy(block=block)).collect()}
+    assert got == set(range(len(lines))) - set(first.values())
+
+
 def test_lines_stay_in_the_jvm(docs):
     from siltloom.llm.lines import Fuzzy, lines_of, sketch_lines
 
