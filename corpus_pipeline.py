@@ -19,18 +19,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, the one with the smallest id; of rows that share an id one stays.
+    """One document of each component of near duplicates stays, the one with the smallest id; of rows that share id and text one stays.
 
-    5-word shingles, similarity of 0.8 or more. Rows without id stay.
+    5-word shingles, similarity of 0.8 or more. A row is judged by its own text: different texts of one id are told apart by a hash of id and text.
+    Rows without id stay.
     """
-    found = saved(near_duplicates(docs, Near(shingle=5, percent=80)))
-    gone = saved(found.where("not kept").select("doc_id").distinct().withColumn("__gone", F.lit(True)))
-    twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__twice")))
-    kept = lookup(docs, gone, ["doc_id"]).where("__gone is null").drop("__gone")
+    rows = docs.withColumn("__v", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = near_duplicates(rows.select(F.col("__v").alias("doc_id"), "text"), Near(shingle=5, percent=80)).where("doc_id is not null")
+    texts = saved(found.groupBy(F.col("doc_id").alias("__v")).agg(F.min("component_id").alias("__c"), F.count("*").alias("times")))
+    several = saved(texts.groupBy("__c").count().where("count > 1").select("__c"))
+    members = saved(lookup(texts, several, ["__c"], "inner").select("__v", "__c"))
+    placed = saved(lookup(rows.select("__v", "doc_id"), members, ["__v"], "inner").distinct())
+    firsts = saved(placed.groupBy("__c").agg(F.min(F.struct("doc_id", "__v")).alias("first")))
+    gone = saved(lookup(placed, firsts, ["__c"], "inner").where("__v <> first.__v").select("__v", F.lit(True).alias("__gone")).distinct())
+    twice = saved(texts.where("times > 1").select("__v", F.lit(True).alias("__twice")))
+    kept = lookup(rows, gone, ["__v"]).where("__gone is null").drop("__gone")
     if twice.isEmpty():
-        return kept
-    marked = lookup(kept, twice, ["doc_id"])
-    once = marked.where("__twice").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return kept.select(*docs.columns)
+    marked = lookup(kept, twice, ["__v"])
+    once = marked.where("__twice").groupBy("__v").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return marked.where("__twice is null").select(*docs.columns).unionByName(once)
 
 

@@ -38,6 +38,14 @@ def test_near_dedup(stages):
     assert {d for d, _ in texts(stages[2])} == want
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(0, two + " tail"), (1, one), (1, two), (1, three), (1, three), (2, one + " tail"), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(texts(p.near_dedup(spark, docs, SF)))
+    assert got == Counter([(0, two + " tail"), (1, one), (1, three), (None, one)])
+
+
 def test_decontamination(stages, spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {d for d, v in brute.overlaps(texts(stages[2]), items).items() if v[4]}
