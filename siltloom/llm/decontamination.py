@@ -73,6 +73,7 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, window: int = 13, text: s
     (start and end of the hit stretches in code points of the original text; null if ``offsets`` is off).
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item; items without words never match.
+    Items with a null id or text are no items of the benchmark: what only they hold is no hit.
     A null or empty text has no words and no hits. Columns of ``df`` with these names are replaced.
     The benchmark's size is summed first. It goes to every task in passes of at most AUTOMATON_BYTES, so that memory is bounded;
     one pass serves the usual benchmark. The text isn't shuffled.
