@@ -425,7 +425,7 @@ def banded_components(spark, lines, fuzzy):
 
 def test_lines_of_bridged_families(spark):
     """The one link between two families whose members share a bucket is found, though neither end leads a family."""
-    lines, fuzzy = bridged_lines(120), Fuzzy(bands=2, rows=1)
+    lines, fuzzy = [x for seed in range(8) for x in bridged_lines(60, seed)], Fuzzy(bands=2, rows=1)
     group = banded_components(spark, lines, fuzzy)
     first = {}
     for i, line in enumerate(lines):
