@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltloom.llm.common import components, lookup, saved
@@ -19,17 +18,17 @@ NARROW = 1_000_000
 class Fuzzy:
     """Lines are alike from ``percent`` of Jaccard similarity of their sets of ``shingle`` characters (UTF-16 units) on.
 
-    ``bands`` x ``rows`` minima of one permutation: a pair of similarity 0.8 meets in a band with probability 0.997.
-    ``leaders``: members of a bucket that all others are compared with, round by round; ``block``: about so many members of a bucket
-    that still spans components meet so many others in one task.
+    ``bands`` x ``rows`` minima of one permutation: a pair of similarity 0.8 meets in a band with probability 0.997; ``spare``: shingles a bin
+    that reach the aggregation, on average. About ``block`` members of a bucket, of about ``units`` characters at most, are compared with each other in a row.
     """
 
     shingle: int = 8
     percent: int = 80
     bands: int = 8
     rows: int = 3
-    leaders: tuple[int, ...] = (4,)
-    block: int = 2048
+    spare: int = 3
+    block: int = 256
+    units: int = 1 << 20
 
     @property
     def bins(self) -> int:
@@ -64,72 +63,115 @@ def shingle_set(units: Column, n: int) -> Column:
 def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """Each distinct line once: (id, h1, h2, times, bands). One pass and one aggregation by the line's hash, with partial
     minima in the task that splits the line, so that neither texts nor shingles are exchanged. Empty bins take the next full one.
+
+    Of a line with many shingles only those with small hashes reach the aggregation (``spare`` a bin on average): where a bin gets one, it gets its
+    true minimum. Lines that repeat their own shingles may leave more than a quarter of the bins empty so; these few are sketched from all shingles.
     """
-    h = lines.select(*line_key(F.col("line")), F.encode("line", "UTF-16LE").alias("units"))
-    h = h.select("h1", "h2", "units", F.explode(F.sequence(F.lit(0), last_place(F.col("units"), fuzzy.shingle))).alias("i"))
-    h = h.select("h1", "h2", "i", shingle_at(F.col("units"), F.col("i"), fuzzy.shingle).alias("h"))
-    h = h.withColumn("bin", F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFFFF)) * fuzzy.bins, 24).cast("int")).withColumn("value", F.shiftrightunsigned("h", 33).cast("int"))
+    columns = [F.col(f"m{i}") for i in range(fuzzy.bins)]
+    empty = sum((F.when(m.isNull(), 1).otherwise(0) for m in columns), F.lit(0))
+    first = saved(_minima(lines, fuzzy, True).withColumn("poor", (empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)))
+    poor = saved(first.where("poor").select("h1", "h2"))
+    if not poor.isEmpty():
+        again = _minima(lookup(lines.withColumns({"h1": line_key(F.col("line"))[0], "h2": line_key(F.col("line"))[1]}), poor, ["h1", "h2"], "inner", NARROW), fuzzy, False)
+        first = first.where("not poor").drop("poor").unionByName(saved(again))
+    near = [F.coalesce(*[columns[(i + j) % fuzzy.bins] + (7919 if j else 0) for j in range(min(4, fuzzy.bins))], _next_full(columns, i) + 7919) for i in range(fuzzy.bins)]
+    keys = [F.xxhash64(F.lit(b), *near[b * fuzzy.rows : (b + 1) * fuzzy.rows]) for b in range(fuzzy.bands)]
+    return saved(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", F.array(*keys).alias("bands")))
+
+
+def _next_full(columns: list[Column], i: int) -> Column:
+    return F.get(F.filter(F.array(*columns[i:], *columns[:i]), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _minima(lines: DataFrame, fuzzy: Fuzzy, thin: bool) -> DataFrame:
+    """(h1, h2, times, most, m0, m1, ...): the smallest hash of the line's shingles in each bin; ``most`` is the last place of a shingle."""
+    h = lines.select(*line_key(F.col("line")), F.encode("line", "UTF-16LE").alias("units")).withColumn("most", last_place(F.col("units"), fuzzy.shingle))
+    h = h.select("h1", "h2", "units", "most", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("i"))
+    h = h.select("h1", "h2", "most", "i", shingle_at(F.col("units"), F.col("i"), fuzzy.shingle).alias("h"))
+    small = F.shiftrightunsigned("h", 40) * (F.col("most") + 1) < F.lit(fuzzy.spare * fuzzy.bins << 24)
+    value = F.shiftrightunsigned("h", 33).cast("int")
+    if thin:
+        h, value = h.where(small | (F.col("i") == 0)), F.when(small, value)
+    h = h.select("h1", "h2", "most", "i", value.alias("value"), F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFFFF)) * fuzzy.bins, 24).cast("int").alias("bin"))
     minima = [F.min(F.when(F.col("bin") == i, F.col("value"))).alias(f"m{i}") for i in range(fuzzy.bins)]
-    grouped = h.groupBy("h1", "h2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), *minima)
-    row = F.array(*[f"m{i}" for i in range(fuzzy.bins)])
-    filled = F.transform(row, lambda x, i: F.coalesce(x, F.element_at(F.filter(F.concat(F.slice(row, i + 1, fuzzy.bins), row), lambda y: y.isNotNull()), 1) + 7919))
-    whole = F.when(F.exists(row, lambda x: x.isNull()), filled).otherwise(row)
-    keys = [F.xxhash64(F.lit(b), *[F.col("v")[b * fuzzy.rows + j] for j in range(fuzzy.rows)]) for b in range(fuzzy.bands)]
-    return saved(grouped.withColumn("v", whole).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", F.array(*keys).alias("bands")))
+    return h.groupBy("h1", "h2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), F.max("most").alias("most"), *minima)
+
 
+def linked(groups: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """(band, low array, high array of (id, root, bands, line)) to edges (a, b) that connect the alike lines of each row.
 
-def parities(texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """(id, n, p0 to p3): the size of each text's shingle set, and the parity of its hashes in each of 256 cells."""
-    h = texts.select("id", F.explode(shingle_set(F.col("units"), fuzzy.shingle)).alias("h"))
-    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(3)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    return h.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(4)])
+    The sets of a row are made once. Each line of ``high`` in turn is compared with the components found so far, in each until a line is alike, and joins
+    those that hold one; at first the lines of ``low`` stand there by their roots. Lines of one root aren't compared, nor are pairs that share an earlier
+    band, where they meet as well. A row gives an edge a member at most, never its pairs.
+    """
+    units = lambda m: shingle_set(F.encode(m["line"], "UTF-16LE"), fuzzy.shingle)
+    made = F.transform(F.concat("low", "high"), lambda m: F.struct(m["id"].alias("id"), m["root"].alias("root"), F.slice(m["bands"], F.lit(1), F.col("band")).alias("before"), units(m).alias("set")))
 
+    def alike(x: Column, y: Column) -> Column:
+        n, m = F.size(x["set"]), F.size(y["set"])
+        worth = (x["root"] != y["root"]) & (100 * F.least(n, m) >= fuzzy.percent * F.greatest(n, m)) & ~F.arrays_overlap(x["before"], y["before"])
+        return worth & ((100 + fuzzy.percent) * F.size(F.array_intersect(x["set"], y["set"])) >= fuzzy.percent * (n + m))
 
-def may_be_alike(x: DataFrame, y: DataFrame, fuzzy: Fuzzy) -> Column:
-    """False only for pairs that can't be alike: two sets differ by as many shingles at least as their sizes and as their parities do."""
-    cells = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
-    return (100 + fuzzy.percent) * F.greatest(cells.cast("long"), F.abs(x["n"] - y["n"])) <= (100 - fuzzy.percent) * (x["n"] + y["n"])
+    def step(s: Column, found: Column, i: Column) -> Column:
+        tried = F.transform(found, lambda c: F.struct(c.alias("c"), F.exists(c, lambda j: alike(F.get(s, i), F.get(s, j))).alias("hit")))
+        those = lambda t, hit: F.transform(F.filter(t, lambda x: x["hit"] == hit), lambda x: x["c"])
+        return F.get(F.transform(F.array(tried), lambda t: F.concat(those(t, False), F.array(F.flatten(F.concat(those(t, True), F.array(F.array(i))))))), F.lit(0))
 
+    def found_in(s: Column, n: Column) -> Column:
+        places = lambda a, b: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i >= a) & (i < b))
+        roots = F.array_distinct(F.transform(F.slice(s, F.lit(1), n), lambda x: x["root"]))
+        start = F.transform(roots, lambda r: F.filter(places(0, n), lambda i: F.get(s, i)["root"] == r))
+        return F.aggregate(places(n, F.size(s)), start, lambda found, i: step(s, found, i))
 
-def possible(pairs: DataFrame, sets: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """The pairs (a, b) that sizes and parities leave."""
-    x, y = sets.withColumnRenamed("id", "a").alias("x"), sets.withColumnRenamed("id", "b").alias("y")
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(may_be_alike(_side("x"), _side("y"), fuzzy)).select("a", "b")
+    def edges(s: Column, c: Column) -> Column:
+        return F.transform(c, lambda i: F.struct(F.get(s, i)["id"].alias("a"), F.get(s, F.get(c, F.lit(0)))["id"].alias("b")))
 
+    found = F.transform(F.array(made), lambda s: F.flatten(F.transform(found_in(s, F.size("low")), lambda c: edges(s, c))))
+    return groups.select(F.inline(F.get(found, F.lit(0)))).where("a <> b").distinct()
 
-def _side(name: str) -> dict[str, Column]:
-    return {c: F.col(f"{name}.{c}") for c in ("n", "p0", "p1", "p2", "p3")}
 
+def in_buckets(members: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> tuple[DataFrame, DataFrame]:
+    """Edges inside all buckets (k, band, id, bands), and the buckets (k, m, units) that one row doesn't hold.
 
-def alike(pairs: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; both sets are made once for each pair."""
-    a, b = texts.select(F.col("id").alias("a"), F.col("units").alias("x")), texts.select(F.col("id").alias("b"), F.col("units").alias("y"))
-    both = F.array(F.struct(shingle_set(F.col("x"), fuzzy.shingle).alias("x"), shingle_set(F.col("y"), fuzzy.shingle).alias("y")))
-    met = F.transform(both, lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("n")))
-    near = F.exists(met, lambda m: 100 * m["n"] >= fuzzy.percent * (m["x"] + m["y"] - m["n"]))
-    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+    Of buckets with equal members only the one of the first band is taken. A larger bucket is dealt out to parts; each part also holds the bucket's
+    first member, so that near copies become one component for about one comparison a member.
+    """
+    sized = members.join(texts.select("id", F.length("line").alias("size")), "id")
+    sums = sized.groupBy("band", "k").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), F.sum("size").alias("units"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
+    once = sums.groupBy("a", "z", "m", "units", "same").agg(F.min(F.struct("band", "k"))["k"].alias("k"))
+    parts = F.ceil(F.greatest(F.col("m") / fuzzy.block, F.col("units") / fuzzy.units)).cast("int")
+    buckets = saved(once.select("k", "a", "m", "units", parts.alias("parts")))
+    dealt = lookup(members, buckets, ["k"], "inner", NARROW)
+    part = F.when(F.col("id") == F.col("a"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    rows = spread(dealt.select("k", "band", "id", "bands", F.explode(part).alias("part")).join(texts, "id"), "k", "part")
+    rows = rows.groupBy("k", "part", "band").agg(F.array_sort(F.collect_list(F.struct("id", F.col("id").alias("root"), "bands", "line"))).alias("high")).where(F.size("high") > 1)
+    nothing = F.array().cast("array<struct<id:long,root:long,bands:array<long>,line:string>>")
+    return saved(linked(rows.select("band", nothing.alias("low"), "high"), fuzzy)), saved(buckets.where("parts > 1").select("k", "m", "units"))
 
 
-def open_pairs(placed: DataFrame, sets: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """All pairs (a, b) of members (k, id, root) of one bucket and two components that sizes and parities leave.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to all shuffle partitions: rows are few and small, but costly, so that partitions mustn't be merged by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
-    The members outside a bucket's largest component meet all of its members, dealt out in blocks of both. Buckets with equal members are
-    taken once. The join tests sizes and parities itself, so that only pairs that are worth a verification are emitted.
+
+def across_parts(members: DataFrame, roots: DataFrame, large: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """Edges between members of different components of the buckets that are too large for one row.
+
+    The members outside a bucket's largest component meet all of its members, dealt out in blocks of both.
     """
-    by_root = placed.groupBy("k", "root").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
-    spans = by_root.groupBy("k").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("m"), F.sum("same").alias("same")).where("roots > 1")
-    once = spans.groupBy("m", "most", "roots", "same").agg(F.min("k").alias("k"))
-    parts = lambda c: F.ceil(c / fuzzy.block).cast("int")
-    buckets = saved(once.select("k", F.col("most.root").alias("most"), parts(F.col("m")).alias("all"), parts(F.col("m") - F.col("most.c")).alias("few")))
-    rows = saved(lookup(placed, buckets, ["k"], "inner", NARROW).join(sets, "id"))
+    placed = lookup(lookup(members, large, ["k"], "inner", NARROW), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("root", F.coalesce("root", "id"))
+    placed = saved(placed.join(texts.select("id", F.greatest(F.lit(1), F.length("line")).alias("size")), "id"))
+    spans = placed.groupBy("k", "root").agg(F.count("*").alias("c"), F.sum("size").alias("u")).groupBy("k").agg(F.count("*").alias("roots"), F.max(F.struct("c", "u", "root")).alias("most")).where("roots > 1")
+    parts = lambda c, u: F.greatest(F.lit(1), F.ceil(F.greatest(2 * c / fuzzy.block, 2 * u / fuzzy.units)).cast("int"))
+    spans = saved(lookup(spans, large, ["k"], "inner").select("k", F.col("most.root").alias("most"), parts(F.col("m"), F.col("units")).alias("all"), parts(F.col("m") - F.col("most.c"), F.col("units") - F.col("most.u")).alias("few")))
+    rows = lookup(placed.drop("m", "units"), spans, ["k"], "inner")
     block, every = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    x = rows.where("root <> most").withColumn("i", block("few")).withColumn("j", every("all")).alias("x")
-    y = rows.withColumn("j", block("all")).withColumn("i", every("few")).alias("y")
-    met = (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") != F.col("y.root"))
-    first = (F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, met & first & may_be_alike(_side("x"), _side("y"), fuzzy))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    x = rows.where("root <> most").withColumn("i", block("few")).withColumn("j", every("all")).select("k", "band", "i", "j", "id", "root", "bands", F.lit(True).alias("high"))
+    y = rows.withColumn("j", block("all")).withColumn("i", every("few")).select("k", "band", "i", "j", "id", "root", "bands", F.lit(False).alias("high"))
+    met = spread(x.unionByName(y).join(texts, "id"), "k", "i", "j").groupBy("k", "band", "i", "j")
+    side = lambda high: F.array_sort(F.collect_list(F.when(F.col("high") == high, F.struct("id", "root", "bands", "line"))))
+    both = met.agg(side(False).alias("low"), side(True).alias("high")).where((F.size("low") > 0) & (F.size("high") > 0))
+    return saved(linked(both, fuzzy))
 
 
 def repeated_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,45 +180,27 @@ def repeated_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), doc_id: str = "doc_i
     Lines lie between line feeds; blank ones are never removed. A null doc_id comes first. th is a hash of the text: rows equal in both
     are one document (their lines stay or go together); a null text has no lines; an empty table gives an empty result.
 
-    1. In each bucket (band, key) the member with the smallest id is compared with the others (as many pairs as rows), then up to ``leaders`` members
-       of components without one; so large groups of copies become one component for a few pairs a member.
-    2. In buckets that still span components all pairs of members of different components are compared: no alike pair that shares a bucket is missed.
-
-    Pairs whose sizes or parities rule them out aren't verified.
+    The members of a bucket (band, key) are compared inside one row, on full sets, until those alike are one component. Buckets that are too large for a row are
+    dealt out to parts that share one member; where they still span components, the members outside the largest one then meet all others in blocks.
+    So no alike pair that shares a bucket is missed, and no pairs are written.
     """
     lines = lines_of(docs, doc_id, text)
     distinct = sketch_lines(lines, fuzzy)
-    buckets = distinct.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("k"))
-    shared = saved(buckets.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("k", "a"))
+    buckets = distinct.select("id", "bands", F.posexplode("bands").alias("band", "k"))
+    shared = saved(buckets.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
     members = saved(lookup(buckets, shared, ["k"], "inner", NARROW))
-    wanted = saved(members.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
-    found = lookup(lines.select(*line_key(F.col("line")), F.encode("line", "UTF-16LE").alias("units")), wanted, ["h1", "h2"], "inner", NARROW)
-    texts = saved(found.groupBy("id").agg(F.first("units").alias("units")))
-    sets = saved(parities(texts, fuzzy))
-    tested = saved(possible(members.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), sets, fuzzy))
-    links = saved(alike(tested, texts, fuzzy))
-    done = members.where("a = id").select("k", F.col("id").alias("leader"))
-    for leaders in [*fuzzy.leaders, None]:
-        roots = saved(components(links))
-        placed = saved(lookup(members.select("k", "id"), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("root", F.coalesce("root", "id")))
-        if leaders is None:
-            pairs = open_pairs(placed, sets, fuzzy)
-        else:
-            led = saved(done.join(roots.withColumnRenamed("v", "leader"), "leader", "left").select("k", F.coalesce("root", "leader").alias("root")).distinct())
-            left = saved(placed.join(led, ["k", "root"], "left_anti"))
-            order = W.partitionBy("k").orderBy(F.xxhash64("k", "id"))
-            chosen = saved(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= leaders).select("k", F.col("id").alias("leader"), F.col("root").alias("lr")))
-            done = done.union(chosen.select("k", "leader"))
-            pairs = possible(placed.join(chosen, "k").where("root <> lr").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), sets, fuzzy)
-        new = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = saved(tested.union(new))
-        more = saved(alike(new, texts, fuzzy))
-        links = links.union(more)
-    if not more.isEmpty():
-        roots = saved(components(links))
-    groups = lookup(distinct.select("id", "h1", "h2", "times"), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW)
-    groups = saved(groups.where("times > 1 or root is not null").select("h1", "h2", F.coalesce("root", "id").alias("group")))
-    own = saved(lookup(lines.select(*line_key(F.col("line")), "doc_id", "th", "pos"), groups, ["h1", "h2"], "inner", NARROW).select("group", "doc_id", "th", "pos"))
+    wanted = members.select("id").distinct().withColumn("met", F.lit(True))
+    keys = saved(distinct.join(wanted, "id", "left").where("met or times > 1").select("id", "h1", "h2", "met"))
+    keyed = lines.select("doc_id", "th", "pos", "line", *line_key(F.col("line")))
+    own = saved(lookup(keyed, keys, ["h1", "h2"], "inner", NARROW).select("id", "doc_id", "th", "pos", F.when(F.col("met"), F.col("line")).alias("line")))
+    texts = saved(own.where("line is not null").groupBy("id").agg(F.first("line").alias("line")))
+    links, large = in_buckets(members, texts, fuzzy)
+    roots = saved(components(links))
+    if not large.isEmpty():
+        more = across_parts(members, roots, large, texts, fuzzy)
+        if not more.isEmpty():
+            roots = saved(components(links.union(more)))
+    own = lookup(own.select("id", "doc_id", "th", "pos"), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("group", F.coalesce("root", "id"))
     place = F.struct("doc_id", "th", "pos")
     firsts = saved(own.groupBy("group").agg(F.min(place).alias("keep")))
     return own.join(firsts, "group").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "th", "pos")
