@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,12 +24,14 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it is unset (local tests) a temporary one."""
+    """The folder the cluster names in spark.checkpoint.dir; where it is unset in local mode (tests) a temporary one, on a cluster an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltloom-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
@@ -36,11 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/siltloom-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siltloom-{spark.sparkContext.applicationId}"
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete all tables that ``saved`` wrote in this application; results that weren't written or read yet can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table with a saved table that has one (narrow) row for each key; null equals null.
 
@@ -70,10 +83,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             at = to
 
 
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def byte_count(value: str) -> int:
+    """A setting of bytes such as ``8m``, ``64MB``, ``1KiB`` or ``8388608b`` as a number."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", value).groups()
+    return int(number) * _UNITS[unit.lower().removesuffix("b").removesuffix("i")]
+
+
 def _bounded_batches(spark: SparkSession) -> None:
-    """Limit the bytes of the session's Arrow batches, as long texts and sets would fill the Python workers."""
+    """Limit the bytes of the session's Arrow batches, as long texts and sets would fill the Python workers. Results are lazy and read the
+    setting when they run, so that it stays; a smaller one of the user's is left alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    now = byte_count(spark.conf.get(key))
+    if now > BATCH_BYTES or now <= 0:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
