@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltloom.llm.common import LOWER, WordHashes, components, grams, lookup, map_groups, map_rows, mix, saved
 
@@ -174,8 +175,19 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id"
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts without words (or null) have no shingles and are linked with nothing;
     rows with a null id keep component null and stay. Rows of one id count as one document: it links to whatever any of them does.
+    Ids other than whole numbers go by their 64-bit hash, and the smallest id of each component is looked up at the end.
     An empty table gives an empty result; other columns are ignored.
     """
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType):
+        named = docs.withColumn("__v", F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)))
+        found = near_duplicates(named.select(F.col("__v").alias("doc_id"), F.col(text).alias("text")), near)
+        found = saved(found.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("c")).where("doc_id is not null"))
+        ids = saved(named.where("__v is not null").select("__v", F.col(doc_id).alias("id")).distinct())
+        least = ids.join(found, ids["__v"] == found["doc_id"]).groupBy("c").agg(F.min("id").alias("least"))
+        sized = map_rows(named.select(F.col("__v"), F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text")), "text", T.StructType([T.StructField("__v", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType())]), lambda b: {"__v": b.column("__v"), "id": b.column("id"), "n": [len(shingles(x, near.shingle)) for x in b.column("text").to_pylist()]})
+        out = lookup(lookup(sized, found.select(F.col("doc_id").alias("__v"), "c"), ["__v"]), saved(least), ["c"])
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sk = saved(sketches(rows, near))
     real = sk.where("n > 0 and id is not null")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltloom.llm.common import components, lookup, map_groups, map_rows, saved
 
@@ -62,14 +63,15 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
        A task returns link counts and one edge for each member of a component, never the pairs.
 
     A null, zero, empty or not finite vector, or one without label, links with nothing. Rows of one vec_id count as one vector for components.
-    Vectors of unlike length never link. A null vec_id gives n_links 0 and component null. An empty table gives an empty result.
+    Labels other than whole numbers go by their 64-bit hash. A repeated row counts as another vector. Vectors of unlike length never link. A null vec_id gives n_links 0 and component null. An empty table gives an empty result.
     """
     number = F.transform("embedding", lambda x: x.cast("double"))
     fine = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
         & ~F.coalesce(F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.coalesce(F.exists(number, lambda x: x != 0), F.lit(False))
     )
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), number.alias("x"), fine.alias("fine"))
+    label = F.col("label").cast("long") if isinstance(vectors.schema["label"].dataType, T.IntegralType) else F.xxhash64("label")
+    rows = vectors.select("vec_id", label.alias("label"), number.alias("x"), fine.alias("fine"))
     base = saved(rows.withColumns({"h1": F.xxhash64("label", "x"), "h2": F.xxhash64(F.lit(1), "x", "label")}))
     groups = saved(base.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("x").alias("x")))
 

@@ -69,6 +69,10 @@ def subtree(stretches: list[bytes], owners: list[int], r: Repeats) -> list[list[
     return out
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
 def scan_documents(rows: DataFrame, r: Repeats) -> DataFrame:
     """(id, th, text binary) to (id, th, n, w1, w2, sha, runs): number, digest and prefixes of the words."""
 
@@ -86,7 +90,7 @@ def scan_documents(rows: DataFrame, r: Repeats) -> DataFrame:
             out["runs"].append([{"g": x, "s": y, "c": z} for x, y, z in zip(g.view(np.int64).tolist(), s.tolist(), c.tolist())])
         return {"id": batch.column("id"), "th": batch.column("th")} | out
 
-    return map_rows(rows, "text", "id long, th long, n int, w1 long, w2 long, sha string, runs array<struct<g:long,s:int,c:int>>", run)
+    return map_rows(rows, "text", f"id {_kind(rows)}, th long, n int, w1 long, w2 long, sha string, runs array<struct<g:long,s:int,c:int>>", run)
 
 
 def stretches_of(candidates: DataFrame, r: Repeats, with_text: bool) -> DataFrame:
@@ -102,7 +106,7 @@ def stretches_of(candidates: DataFrame, r: Repeats, with_text: bool) -> DataFram
                     out[c].append(v)
         return out
 
-    return map_rows(candidates, "text", "g long, q long, id long, th long, s int, c int, stretch binary", run)
+    return map_rows(candidates, "text", f"g long, q long, id {_kind(candidates)}, th long, s int, c int, stretch binary", run)
 
 
 def find_repeats(docs: DataFrame, r: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,7 +119,7 @@ def find_repeats(docs: DataFrame, r: Repeats = Repeats(), doc_id: str = "doc_id"
     4. Each group's subtree marks the suffixes that a smaller id has too. Groups with over ``group`` different stretches use the longest
        prefix, the whole window: such a group is a single node, and its smallest id is a plain aggregate.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("text"))
     scan = saved(scan_documents(rows, r))
     copies = saved(scan.where("id is not null and n > 0").groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least"))
     scan = saved(lookup(scan, copies, ["w1", "w2"]).withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False))).drop("least", "w1", "w2"))
@@ -149,7 +153,7 @@ def find_repeats(docs: DataFrame, r: Repeats = Repeats(), doc_id: str = "doc_id"
     if many.isEmpty():
         hits = saved(small)
     else:
-        leaf = saved(map_rows(sized.where("many"), "stretch", "g long, q long, owner long, j int, k1 long, k2 long", windows))
+        leaf = saved(map_rows(sized.where("many"), "stretch", f"g long, q long, owner {_kind(rows)}, j int, k1 long, k2 long", windows))
         node = saved(leaf.groupBy("k1", "k2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("k1", "k2", "least"))
         large = lookup(leaf, node, ["k1", "k2"], "inner").where("least < owner").groupBy("g", "q").agg(F.collect_set("j").alias("hits"))
         hits = saved(small.union(large))
@@ -176,7 +180,7 @@ def dedup_substrings(docs: DataFrame, r: Repeats = Repeats(), doc_id: str = "doc
     in a document of a smaller id. Windows are judged on the input.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null or empty text has no words. A null doc_id is neither smaller nor larger than others: nothing is
-    removed from such rows, nor because of them. Rows of one doc_id never remove words from each other. An empty table gives an empty result.
+    removed from such rows, nor because of them. Rows of one doc_id never remove words from each other. Ids may be of any type with an order. An empty table gives an empty result.
     """
     scan, candidates, ranges = find_repeats(docs, r, doc_id, text)
 
@@ -190,7 +194,7 @@ def dedup_substrings(docs: DataFrame, r: Repeats = Repeats(), doc_id: str = "doc
         return {"id": batch.column("id"), "th": batch.column("th"), "removed": n, "kept_sha": sha}
 
     touched = candidates.select("id", "th", "text").dropDuplicates(["id", "th"]).join(ranges, ["id", "th"])
-    cuts = saved(map_rows(touched, "text", "id long, th long, removed long, kept_sha string", finish))
+    cuts = saved(map_rows(touched, "text", f"id {_kind(touched)}, th long, removed long, kept_sha string", finish))
     out = lookup(scan.select("id", "th", "n", "sha", "copy"), cuts, ["id", "th"])
     all_gone = F.col("copy") & (F.col("n") >= r.window)
     return out.select(
