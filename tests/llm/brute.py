@@ -16,6 +16,7 @@ def sha(text):
 
 
 def overlaps(docs, items, n=13):
+    """{doc: (words, hit words, items, digest of the items, contaminated, places of the hit stretches)}"""
     windows = {}
     for item, text in items:
         w = ALNUM_WORD.findall(lower(text))
@@ -31,7 +32,9 @@ def overlaps(docs, items, n=13):
                 if (found := windows.get(tuple(w[i : i + k]))) is not None:
                     hit.update(range(i, i + k))
                     ids |= found
-        out[doc] = (len(w), len(hit), len(ids), sha(",".join(sorted(map(str, ids)))), bool(hit) and 20 * len(hit) >= len(w))
+        spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        places = ",".join(f"{spans[i][0]}:{spans[next(j for j in range(i, len(w) + 1) if j not in hit) - 1][1]}" for i in sorted(hit) if i - 1 not in hit)
+        out[doc] = (len(w), len(hit), len(ids), sha(",".join(sorted(map(str, ids)))), bool(hit) and 20 * len(hit) >= len(w), places)
     return out
 
 
@@ -146,3 +149,39 @@ def repeats(docs, n=50):
                 gone.update(range(i, i + n))
         out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def fused(rows, model, fusion):
+    """{id: (lang, posterior)} of rows (id, text, host, suffix, declared), one by one; each row's own vote is left out of all tables."""
+    import math
+    from collections import Counter
+
+    langs = [*model.languages, "und"]
+    k, told = len(langs), {}
+    for i, text, *_ in rows:
+        n, x = model.score(text)
+        x = [v * (min(1.0, fusion.evidence / n) if n else 0.0) for v in x]
+        p = [math.exp(v - max(x)) for v in x]
+        told[i] = n, x, [round(v / sum(p) * 1e6) / 1e6 if n else 0.0 for v in p]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    out = {}
+    for i, _, host, suffix, declared in rows:
+        n, score, _ = told[i]
+        if not n:
+            out[i] = ("und", 0.0)
+            continue
+        votes = lambda ok: [sum(told[r[0]][2][j] for r in rows if r[0] != i and ok(r)) for j in range(k)]
+        lean = lambda own, prior, w: [(x + w * p) / (sum(own) + w) for x, p in zip(own, prior)]
+        prior = lean(votes(lambda r: True), [1 / k] * k, k)
+        if host is not None:
+            prior = lean(votes(lambda r: r[2] is not None and domain(r[2]) == domain(host)), prior, fusion.domain)
+            prior = lean(votes(lambda r: r[2] == host), prior, fusion.host)
+        score = [x + math.log(p) for x, p in zip(score, prior)]
+        for at, value in ((3, suffix), (4, declared)):
+            if value is not None:
+                values = len(Counter(r[at] for r in rows if r[at] is not None and told[r[0]][0]))
+                same, every = votes(lambda r: r[at] == value), votes(lambda r: r[at] is not None)
+                score = [x + math.log((s + 0.5) / (t + 0.5 * values)) for x, s, t in zip(score, same, every)]
+        best = max(score)
+        out[i] = (langs[score.index(best)], 1 / sum(math.exp(x - best) for x in score))
+    return out
