@@ -7,6 +7,7 @@ from siltloom.llm.language import op1_evidence_fusion
 from siltloom.llm.lines import op10_fuzzy_lines
 from siltloom.llm.minhash import op9_fast_similarity_sketch
 from siltloom.llm.mixing import op2_min_cost_flow
+from siltloom.llm.oracles import ORACLES
 from siltloom.llm.pivots import op3_pivot_permutations
 from siltloom.llm.secrets import op4_multipart_credentials
 from siltloom.llm.sharding import op6_histogram_sort
@@ -28,4 +29,4 @@ QUERIES = {
         op10_fuzzy_lines,
     )
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
