@@ -23,18 +23,30 @@ IMPLEMENTATION = r"(?iu)\b(?:m[oó]dulo|module|implementaci[oó]n|implementation
 MODULE_PATH = r"[\w-]+/[\w-]+/([\w-]+)"
 SUFFIXES = (
     "Impl Dao Service Repository Mapper Controller Dto Entity Config Util Factory Handler Listener Task Job Batch Processor Writer Reader Interceptor "
-    "Filter Servlet Endpoint Client Provider Delegate Adapter Facade Builder Validator Converter Formatter Parser Manager Resolver Registry Cache Event "
-    "Message Command Query Request Response Result Exception Helper"
+    "Filter Servlet Endpoint Client Provider Delegate Adapter Facade Builder Validator Converter Formatter Parser Renderer Generator Exporter Importer "
+    "Scheduler Monitor Tracker Logger Auditor Security Session Token Resolver Locator Registry Cache Pool Queue Stack Map Tree Graph Node Connection "
+    "Transaction Context Event Message Command Query Request Response Result Source Target Reference Wrapper Proxy Stub Mock Spy Matcher Verifier Checker "
+    "Tester Inspector Reviewer Normalizer Sanitizer Cleaner Splitter Joiner Merger Sorter Ranker Scorer Evaluator Calculator Computer Estimator Predictor "
+    "Classifier Clusterer Finder Searcher Indexer Extractor Loader Saver Persister Retriever Updater Deleter Creator Destroyer Initializer Finalizer "
+    "Activator Deactivator Enabler Disabler Opener Closer Starter Stopper Launcher Runner Executor Invoker Caller Dispatcher Router Balancer Distributor "
+    "Allocator Assigner Configurer Setter Getter Accessor Mutator Maker Producer Consumer Subscriber Publisher Emitter Receiver Sender Manager Exception Helper"
 ).split()
 STOPWORDS = (
     "este esta estos estas ese esa esos esas aquel aquella aquellos aquellas de del al el la los las un una unos unas y o que en con por para como es son "
     "lo le me te se si no mas más pero sino todo toda todos todas aqui aquí ahí allí donde cuando quien cual cuyo muy tan tanto cada alguno alguna algunos "
     "algunas ninguno ninguna mismo misma mismos mismas tal tales otro otra otros otras cualquiera demas demás poco poca pocos pocas mucho mucha muchos "
-    "muchas varios varias bastante hace hecho haber tener tiene tenido ser estar estoy está estan están era eran fue fueron sea sean sido siendo "
-    "poder puede pueden podria podría podrian podrían debe deben debiera debieran deberia debería deberian deberían decir dicho ver visto dar dado ir ido "
-    "venir venido querer querido saber sabido pensar pensado generame dame hazme mostrame creame descargame exportame guardame preparame armame haz muestra "
-    "genera crea descarga exporta guarda prepara arma markdown archivo formato pdf"
+    "muchas varios varias bastante hace hecho haber tener tiene tenido ser estar estoy está estan están era eran fue fueron sea sean sido siendo habiendo "
+    "teniendo haciendo dando viendo poder puede pueden podria podría podrian podrían debe deben debiera debieran deberia debería deberian deberían decir "
+    "diciendo dicho ver visto dar dado ir yendo ido venir viniendo venido querer queriendo querido saber sabiendo sabido pensar pensando pensado generame "
+    "dame hazme mostrame creame descargame exportame guardame preparame armame haz muestra genera crea descarga exporta guarda prepara arma markdown archivo "
+    "formato pdf"
 ).split()
+# What a question must hold to get a bundle of technical words, and the bundle.
+BUNDLES = (
+    (("query", "queries", "sql", "jpql", "select", "insert", "update"), "SQL query database DAO implementation"),
+    (("módulo", "modulo", "module", "implementación", "implementation", "explícame", "explica", "cómo funciona"), "Java class implementation methods business logic DAO service"),
+    (("dao", "repositorio", "repository"), "DAO implementation database queries"),
+)
 
 
 def strip(c: Column) -> Column:
@@ -117,9 +129,9 @@ def name_candidates(query: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(query, F.lit(r"\b[A-Z][a-zA-Z0-9]*\b"), F.lit(0)), lambda w: F.length(w) > 2)), 1, most)
 
 
-def class_names(query: Column, most: int = 3) -> Column:
-    """Identifiers with a known suffix, in text order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"\b([A-Z][a-zA-Z0-9]*(?:{'|'.join(SUFFIXES)}))\b"), F.lit(1))), 1, most)
+def class_names(query: Column, most: int = 3, suffixes: list[str] = SUFFIXES) -> Column:
+    """Identifiers that end in one of ``suffixes``, in text order."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"\b([A-Z][a-zA-Z0-9]*(?:{'|'.join(suffixes)}))\b"), F.lit(1))), 1, most)
 
 
 def keywords(query: Column, most: int = 12) -> Column:
@@ -132,18 +144,10 @@ def keywords(query: Column, most: int = 12) -> Column:
     return F.slice(F.array_distinct(F.concat(names, words)), 1, most)
 
 
-#: Words that call for a bundle of technical words, and the bundle.
-BUNDLES = (
-    ("query queries sql jpql select insert update", "SQL query database DAO implementation"),
-    ("módulo modulo module implementación implementation explícame explica cómo#funciona", "Java class implementation methods business logic DAO service"),
-    ("dao repositorio repository", "DAO implementation database queries"),
-)
-
-
 def enrich_query(query: Column) -> Column:
     """Questions about an implementation get the module's name and up to three bundles of technical words."""
     module = F.regexp_replace(F.nullif(F.regexp_extract(query, MODULE_PATH, 1), F.lit("")), "-", " ")
-    asked = lambda words: F.lower(query).rlike("|".join(w.replace("#", " ") for w in words.split()))
+    asked = lambda words: F.lower(query).rlike("|".join(words))
     return F.when(query.rlike(IMPLEMENTATION), F.concat_ws(" ", query, module, *[F.when(asked(words), bundle) for words, bundle in BUNDLES])).otherwise(query)
 
 

@@ -181,10 +181,11 @@ def _chunks(text: pd.Series, language: pd.Series) -> pd.DataFrame:
 
 
 def _chunked(files: DataFrame) -> DataFrame:
-    f = files.withColumn("language", language_of(F.col("file_path")))
-    small = f.where(F.length("content") <= SIZE).select("*", F.array(F.struct(F.lit(0).alias("position"), F.col("content").alias("text"))).alias("chunks"), F.lit(None).cast("string").alias("error"))
-    large = f.where(F.length("content") > SIZE).withColumn("__c", _chunks("content", "language")).select(*f.columns, "__c.chunks", "__c.error")
-    return small.unionByName(large)
+    """One pass: the helper gets the content of large files only, a null for the others."""
+    f = files.withColumn("language", language_of(F.col("file_path"))).withColumn("__small", F.length("content") <= SIZE)
+    f = f.where("content is not null").withColumn("__c", _chunks(F.when(~F.col("__small"), F.col("content")), "language"))
+    whole = F.array(F.struct(F.lit(0).alias("position"), F.col("content").alias("text")))
+    return f.select(*files.columns, "language", F.when(F.col("__small"), whole).otherwise(F.col("__c.chunks")).alias("chunks"), F.col("__c.error").alias("error"))
 
 
 def chunk_files(files: DataFrame) -> DataFrame:

@@ -82,28 +82,30 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "em
 
     queries: (query_id, vector, repo?, branch?), filters null for any; chunks: (chunk_id, repo, branch, embedding). Chunk vectors never move:
     each task multiplies its Arrow batches with the broadcast queries and keeps its own best k, so that only k rows a query and task are
-    shuffled for the final ranking. Queries are broadcast in passes of a fixed number of bytes.
+    shuffled for the final ranking. Queries are broadcast in passes of a fixed number of bytes; the driver holds one pass at a time.
     """
     spark = chunks.sparkSession
     named = queries.select("query_id", "vector", *[(F.col(c) if c in queries.columns else F.lit(None)).cast("string").alias(c) for c in ("repo", "branch")])
     rows = named.select("query_id", "vector", "repo", "branch").where("vector is not null").orderBy("query_id").toLocalIterator()
-    passes: list[list] = [[]]
-    held = 0
-    for r in rows:
-        held += 8 * len(r["vector"])
-        if held > QUERY_BYTES and passes[-1]:
-            passes.append([])
-            held = 8 * len(r["vector"])
-        passes[-1].append((r["query_id"], np.asarray(r["vector"], np.float64), r["repo"], r["branch"]))
+
+    def passes() -> Iterator[list]:
+        part, held = [], 0
+        for r in rows:
+            held += 8 * len(r["vector"])
+            if held > QUERY_BYTES and part:
+                yield part
+                part, held = [], 8 * len(r["vector"])
+            part.append((r["query_id"], np.asarray(r["vector"], np.float64), r["repo"], r["branch"]))
+        if part:
+            yield part
+
     id_type, query_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, chunk_id {id_type}, score double"
     found = spark.createDataFrame([], schema)
-    for part in passes:
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast(part)
+    for part in passes():
+        sent = spark.sparkContext.broadcast(part)  # kept in a file, not in the driver's memory
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             q = sent.value
             m = np.stack([v for _, v, _, _ in q])
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)

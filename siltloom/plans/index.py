@@ -15,13 +15,16 @@ from siltloom.operators.graph import merge_nodes, resolve_edges
 from siltloom.operators.sqlrefs import inline_sql
 from siltloom.operators.vectors import embed, validate_vectors
 from siltloom.sources.files import non_blank
-from siltloom.sources.tables import replace_slice
+from siltloom.sources.tables import replace_slice, stored
 
 
 def index_repos(files: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: int) -> dict[str, DataFrame]:
-    """Files (repo, branch, file_path, content) of any number of slices to the tables chunks, nodes, edges and stats; ``rejects`` holds invalid vectors."""
+    """Files (repo, branch, file_path, content) of any number of slices to the tables chunks, nodes, edges and stats; ``rejects`` holds invalid vectors.
+
+    The files are scanned for entities once; these are stored, as chunks, nodes, edges and statistics all need them.
+    """
     ok = non_blank(files.where(is_supported(F.col("file_path")) & not_ignored(F.col("file_path"))))
-    entities = scan_declarations(ok)
+    entities = stored(scan_declarations(ok))
     plain = index_chunks(ok, entities)
     java = F.col("language") == "java"
     key = ["repo", "branch", "file_path", "position", "entity_id"]

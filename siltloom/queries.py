@@ -5,8 +5,6 @@ The tables hold no code, so files, entities, graphs and events are derived from
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +36,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltloom-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 # Files from documents: a repo a source, a branch a language, an extension by turns.
 EXTENSIONS = (".java", ".py", ".sql", ".html", ".json", ".md", ".cs", ".js")
 FILES = (
@@ -348,7 +340,7 @@ def search_hybrid(spark, sf_dir):
     return retrieve.search_hybrid(queries, chunks, nodes, edges).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"WITH {CHUNKS}, {topk_sql(6)} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, repo, branch, file_path, 'unknown' AS language, '' AS text, 'vector' AS source FROM hits")
 def semantic_search(spark, sf_dir):
     none = lambda *names: {c: F.lit(None).cast("string") for c in names}
     chunks = vec_chunks(spark, sf_dir).withColumns(none("language", "text", "entity_id", "ast_type", "ast_name", "ast_signature"))
@@ -404,7 +396,18 @@ def keyword_scan(spark, sf_dir):
     return retrieve.keyword_scan(q, f, 20, 1000).select("repo", "branch", "file_path", F.md5("content").alias("digest"), "rank")
 
 
-@query()
+# Order-preserving distinct of a list, and the words that count as names or keywords.
+_FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_KEYS = (
+    r"t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: true) AS tokens FROM conversations), "
+    "n AS (SELECT conv_id, turn, list_filter(tokens, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]*') AND length(w) > 2) AS names, "
+    f"list_filter(tokens, lambda w: regexp_full_match(w, '[a-zA-Záéíóúñ]{{4,}}') AND NOT list_contains({_STOP}, lower(w)) AND NOT regexp_matches(lower(w), '(ando|iendo|ado|ido)$')) AS words FROM t), "
+    "k AS (SELECT *, list_concat(names, words) AS both_lists FROM n)"
+)
+
+
+@query(f"WITH {_KEYS} SELECT conv_id, turn, array_to_string(({_FIRSTS.format('both_lists')})[1:12], ',') AS keywords, array_to_string(({_FIRSTS.format('names')})[1:5], ',') AS names FROM k")
 def keywords(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"), F.array_join(T.name_candidates(F.col("text")), ",").alias("names"))
@@ -578,7 +581,7 @@ def validate_vectors(spark, sf_dir):
 @query("SELECT 'org/' || source AS repo, lang AS branch, count(*) AS n, bool_and(lang = 'en') AS fresh FROM documents WHERE lang <> 'fr' GROUP BY ALL")
 def replace_slice(spark, sf_dir):
     f = doc_files(spark, sf_dir).select("repo", "branch", "file_path", F.lit(1).alias("version"))
-    root = scratch(spark)
+    root = tables.scratch(spark)
     tables.replace_slice(f, root)
     new = f.where("branch = 'en'").withColumn("version", F.lit(2))
     tables.replace_slice(new, root, f.where("branch in ('en', 'fr')").select("repo", "branch").distinct())
@@ -657,3 +660,119 @@ def answer_context(spark, sf_dir):
     asked = read(spark, sf_dir, "conversations").where("conv_id % 100 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.concat("text", F.lit(" rama en")).alias("query"))
     questions = vectors.embed(asked, fn, 16, "query").withColumnRenamed("embedding", "vector")
     return retrieve.answer_context(questions, chunks, nodes, graph.resolve_edges(e, nodes), doc_files(spark, sf_dir)).select("query_id", F.length("context").alias("n_chars"))
+
+
+# Questions made of documents: a class, a module path, a repo and a branch by turns, then the text's first word.
+_ASKED = (
+    "asked AS (SELECT doc_id, doc_id % 5 AS t, lang, (['Orden' || doc_id || 'Scheduler', 'PedidoDao', 'Otra', 'Token' || doc_id, 'Una'])[doc_id % 5 + 1] AS name FROM documents), "
+    "q AS (SELECT *, 'explica ' || name || ' de org/src/mod-' || doc_id || ' rama ' || lang || ' yendo' AS question FROM asked)"
+)
+
+
+def doc_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    name = F.get(F.array(F.concat(F.lit("Orden"), n.cast("string"), F.lit("Scheduler")), F.lit("PedidoDao"), F.lit("Otra"), F.concat(F.lit("Token"), n.cast("string")), F.lit("Una")), (n % 5).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("explica "), name, F.lit(" de org/src/mod-"), n.cast("string"), F.lit(" rama "), "lang", F.lit(" yendo")).alias("question"))
+
+
+@query(f"WITH {_ASKED} SELECT doc_id, 'org/src' AS repo, lang AS branch FROM q")
+def repo_branch(spark, sf_dir):
+    return doc_questions(spark, sf_dir).select("doc_id", T.first_repo(F.col("question")).alias("repo"), T.first_branch(F.col("question")).alias("branch"))
+
+
+@query(f"WITH {_ASKED} SELECT doc_id, CASE WHEN t IN (0, 1) THEN name ELSE '' END AS classes FROM q")
+def class_names(spark, sf_dir):
+    return doc_questions(spark, sf_dir).select("doc_id", F.array_join(T.class_names(F.col("question")), ",").alias("classes"))
+
+
+@query(f"WITH {_ASKED} SELECT doc_id, question || ' mod ' || doc_id || ' Java class implementation methods business logic DAO service' || CASE WHEN t = 1 THEN ' DAO implementation database queries' ELSE '' END AS enriched FROM q")
+def enrich_query(spark, sf_dir):
+    return doc_questions(spark, sf_dir).select("doc_id", T.enrich_query(F.col("question")).alias("enriched"))
+
+
+@query("SELECT doc_id, 'a/b_' || doc_id || '.sql,C.SQL' AS refs FROM documents")
+def sql_refs(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    text = F.concat(F.replace(F.replace("text", F.lit("'")), F.lit('"')), F.lit(" '/a/b_"), F.col("doc_id").cast("string"), F.lit(".sql' \"C.SQL\" 'no.sqlx'"))
+    return d.select("doc_id", F.array_join(T.sql_refs(text), ",").alias("refs"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || ' [' || length(text) || ']' ELSE text END) AS digest FROM documents")
+def truncate(spark, sf_dir):
+    notice = F.concat(F.lit(" ["), F.length("text").cast("string"), F.lit("]"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.truncate(F.col("text"), 500, notice)).alias("digest"))
+
+
+@query("SELECT vec_id, CAST(8 AS INTEGER) AS dim, CAST(embedding[8] AS DOUBLE) AS last FROM embeddings")
+def fit_dim(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", vectors.fit_dim(F.col("embedding"), 8).alias("v"))
+    return e.select("vec_id", F.size("v").alias("dim"), F.element_at("v", -1).cast("double").alias("last"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'def f_' || c_custkey || '(x)' ELSE 'void f_' || c_custkey || '()' END AS signature, 'Named' AS annotation, 'org_' || c_mktsegment AS folder FROM customer")
+def names_of_code(spark, sf_dir):
+    c, n = read(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    python = F.col("c_custkey") % 2 == 0
+    code = F.when(python, F.concat(F.lit("def f_"), n, F.lit("(x):\n    return 1"))).otherwise(F.concat(F.lit("void f_"), n, F.lit("() {\n  return;\n}")))
+    return c.select(
+        "c_custkey", T.signature_of(code, F.when(python, "python").otherwise("java")).alias("signature"), T.annotation_name(F.concat(F.lit("@Named(\"x"), n, F.lit('")'))).alias("annotation"),
+        P.safe_directory(F.concat(F.lit("org/"), "c_mktsegment")).alias("folder"),
+    )
+
+
+# Paths of which the filters keep some: by turns a source, a binary, a dependency, a hidden file, a lock file, a build folder.
+_PATHS = (
+    "paths AS (SELECT doc_id, doc_id % 7 AS t, (['src/a_' || doc_id || '.java', 'bin/a_' || doc_id || '.exe', 'node_modules/m/a_' || doc_id || '.js', 'web/.gitignore', 'sub/package-lock.json', "
+    "'x/build/a_' || doc_id || '.py', 'x/target/A_' || doc_id || '.SQL'])[doc_id % 7 + 1] AS file_path FROM documents)"
+)
+
+
+@query(f"WITH {_PATHS} SELECT doc_id, file_path, t NOT IN (1, 3) AS supported, t NOT IN (2, 4, 5) AS wanted, t IN (0, 4) AS mirrored, t = 6 AS is_sql FROM paths")
+def path_filters(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    kinds = [("src/a_", ".java"), ("bin/a_", ".exe"), ("node_modules/m/a_", ".js"), ("web/.gitignore", None), ("sub/package-lock.json", None), ("x/build/a_", ".py"), ("x/target/A_", ".SQL")]
+    path = F.get(F.array(*[F.concat(F.lit(a), n, F.lit(b)) if b else F.lit(a) for a, b in kinds]), (F.col("doc_id") % 7).cast("int"))
+    f = read(spark, sf_dir, "documents").select("doc_id", path.alias("file_path"))
+    p = F.col("file_path")
+    return f.select("doc_id", "file_path", P.is_supported(p).alias("supported"), P.not_ignored(p).alias("wanted"), P.in_mirror(p).alias("mirrored"), P.is_sql(p).alias("is_sql"))
+
+
+# Files over 8,000 characters with a statement, an object or a member for each word of the document; the first line never ends a block alone.
+def _block_files(line: str) -> str:
+    return (
+        "w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), "
+        f"l AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w))) AS i, length(array_to_string(list_transform(w, lambda x: {line}), chr(10))) AS size, unnest(list_transform(w, lambda x: {line})) AS line FROM w), "
+        "b AS (SELECT doc_id, CASE WHEN i < 2 THEN 0 ELSE i END AS position, string_agg(line, chr(10) ORDER BY i) AS block FROM l WHERE size > 8000 GROUP BY ALL) "
+    )
+
+
+def _block_chunks(spark, sf_dir, extension, line):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    content = F.array_join(F.transform(words, line), "\n")
+    f = read(spark, sf_dir, "documents").select(F.lit("org/a").alias("repo"), F.lit("HEAD").alias("branch"), F.concat(F.col("doc_id").cast("string"), F.lit(extension)).alias("file_path"), content.alias("content"))
+    c = chunking.chunk_files(f.where(F.length("content") > 8000))
+    return c.select(F.split_part("file_path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"), F.md5("text").alias("digest"))
+
+
+_SQL_LINE = "'UPDATE t SET x = ''' || md5(x) || ';'' WHERE y = 1; -- ;'"
+
+
+@query(f"WITH {_block_files(_SQL_LINE)} SELECT doc_id, position, md5(block) AS digest FROM b")
+def split_sql(spark, sf_dir):
+    return _block_chunks(spark, sf_dir, ".sql", lambda w: F.concat(F.lit("UPDATE t SET x = '"), F.md5(w), F.lit(";' WHERE y = 1; -- ;")))
+
+
+_JSON_LINE = """'{"w": "' || md5(x) || '}", "v": [1, {}]},'"""
+
+
+@query(f"WITH {_block_files(_JSON_LINE)} SELECT doc_id, position, md5(block) AS digest FROM b")
+def split_json(spark, sf_dir):
+    return _block_chunks(spark, sf_dir, ".json", lambda w: F.concat(F.lit('{"w": "'), F.md5(w), F.lit('}", "v": [1, {}]},')))
+
+
+_JAVA_LINE = "'@Named' || chr(10) || chr(10) || '  public void m_' || md5(x) || '() {' || chr(10) || '  }'"
+
+
+@query(f"WITH {_block_files(_JAVA_LINE)} SELECT doc_id, 4 * i AS position, md5(line) AS digest FROM l WHERE size > 8000")
+def split_java(spark, sf_dir):
+    return _block_chunks(spark, sf_dir, ".java", lambda w: F.concat(F.lit("@Named\n\n  public void m_"), F.md5(w), F.lit("() {\n  }")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +17,29 @@ def drop_slices(table: DataFrame, slices: DataFrame) -> DataFrame:
     return table.join(s, (F.col("repo") == F.col("__r")) & (F.col("__b").isNull() | (F.col("branch") == F.col("__b"))), "left_anti")
 
 
-def replace_slice(df: DataFrame, path: str, slices: DataFrame | None = None, files: int = 1) -> None:
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir; where that is unset in local mode a temporary one, on a cluster an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='siltloom-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder once, and read back: for what is costly and used several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_slice(df: DataFrame, path: str, slices: DataFrame | None = None) -> None:
     """Write ``df`` over its slices of the Parquet table at ``path``, which is partitioned by repo and branch; other slices stay.
 
-    ``slices`` lists what is replaced, so that a slice without new rows becomes empty: dynamic overwriting alone would keep its old rows. Each slice is
-    dealt to ``files`` tasks by a hash of the file path, so that a large repo isn't one task.
+    ``slices`` lists what is replaced, so that a slice without new rows becomes empty: dynamic overwriting alone would keep its old rows. Rows are
+    rebalanced by slice: adaptive execution splits a large slice over several tasks by its bytes, and joins small ones.
     """
     spark = df.sparkSession
-    dealt = df.withColumn("__s", F.pmod(F.xxhash64("file_path" if "file_path" in df.columns else "repo"), F.lit(files))).repartition("repo", "branch", "__s").drop("__s")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SLICE).parquet(path)
+    df.hint("rebalance", *SLICE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SLICE).parquet(path)
     if slices is not None:
         gone = slices.select(*SLICE).distinct().join(df.select(*SLICE).distinct(), SLICE, "left_anti")
         for r in gone.toLocalIterator():  # one row a slice to clear, not data
