@@ -88,7 +88,7 @@ def test_mixing(spark, docs):
         size[r.source] += r["size"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
     assert all(r.source_size == size[r.source] for r in rows)
-    assert rows == op2_min_cost_flow(spark, SF).collect() or sorted(rows) == sorted(op2_min_cost_flow(spark, SF).collect())
+    assert sorted(rows) == sorted(op2_min_cost_flow(spark, SF).collect())
 
 
 def test_quotas():
@@ -361,7 +361,7 @@ def test_linked_blocks_agree_with_pairs():
     texts = [f"a b c d e f g h i j k l m n o p q {x}".encode() for x in ("r s", "r t", "u v", "r s t")] + [b"", b"zz"]
     sets = [shingles(t, 3) for t in texts]
     a, b = linked(np.arange(6), np.array([len(s) for s in sets]), np.concatenate(sets).view(np.int64), near)
-    assert {(x, y) for x, y in zip(a, b)} == {(1, 0), (3, 0)} or set(a) <= {1, 2, 3}
+    assert {(x, y) for x, y in zip(a, b)} == {(1, 0), (3, 0)}
 
 
 def test_near_duplicates_odd(odd):
