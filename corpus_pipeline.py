@@ -14,7 +14,10 @@ from siltloom.llm.sharding import shard_by_bytes
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go: no letters, or a text that fits every language worse than chance."""
+    """Documents of no known language go: no letters (nulls and empty texts too), or a text that fits every language worse than chance.
+
+    Repeated rows stay or go together, as do all rows where none has a label; an empty table gives an empty result; further columns stay as they are.
+    """
     return keep_identified(docs)
 
 
@@ -42,18 +45,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark windows of 13 words on at least 5 % of their words go."""
+    """Documents with benchmark windows of 13 words on at least 5 % of their words go.
+
+    Each row is judged by itself, so that repeated rows go together; null and empty texts stay. Columns named n_words, n_hit, items or hits would be
+    replaced; the documents have none.
+    """
     found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), offsets=False)
     return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources get the shares 5, 2, 1 (repeating) of all words; documents are left out or repeated up to three times."""
+    """Sources get the shares 5, 2, 1 (repeating) of all words; documents are left out or repeated up to three times.
+
+    A null source is a source of its own, the last; texts without words stay once; repeated rows are taken one by one. An empty table gives an empty result.
+    """
     return repeat_to_weights(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """16 shards of nearly equal bytes: adds shard and slot."""
+    """16 shards of nearly equal bytes: adds shard and slot, which replace columns of these names.
+
+    Null texts count one byte, as empty ones do; rows that are alike can lie in different shards; an empty table gives an empty result.
+    """
     return shard_by_bytes(docs)
 
 
