@@ -67,16 +67,24 @@ def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     Of a line with many shingles only those with small hashes reach the aggregation (``spare`` a bin on average): where a bin gets one, it gets its
     true minimum. Lines that repeat their own shingles may leave more than a quarter of the bins empty so; these few are sketched from all shingles.
     """
+    first = saved(_banded(_minima(lines, fuzzy, True), fuzzy).withColumn("id", F.monotonically_increasing_id()))
+    poor = saved(first.where("poor").select("h1", "h2"))
+    kept = first.select("id", "h1", "h2", "times", "bands")
+    if poor.isEmpty():
+        return kept
+    h1, h2 = line_key(F.col("line"))
+    whole = _minima(lookup(lines.withColumns({"h1": h1, "h2": h2}), poor, ["h1", "h2"], "inner", NARROW), fuzzy, False)
+    again = saved(_banded(whole, fuzzy).withColumn("id", -1 - F.monotonically_increasing_id()).select(*kept.columns))
+    return first.where("not poor").select(*kept.columns).unionByName(again)
+
+
+def _banded(minima: DataFrame, fuzzy: Fuzzy) -> DataFrame:
+    """(h1, h2, times, bands, poor): band keys; an empty bin takes the next full one. ``poor`` marks thinned lines with over a quarter of the bins empty."""
     columns = [F.col(f"m{i}") for i in range(fuzzy.bins)]
     empty = sum((F.when(m.isNull(), 1).otherwise(0) for m in columns), F.lit(0))
-    first = saved(_minima(lines, fuzzy, True).withColumn("poor", (empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)))
-    poor = saved(first.where("poor").select("h1", "h2"))
-    if not poor.isEmpty():
-        again = _minima(lookup(lines.withColumns({"h1": line_key(F.col("line"))[0], "h2": line_key(F.col("line"))[1]}), poor, ["h1", "h2"], "inner", NARROW), fuzzy, False)
-        first = first.where("not poor").drop("poor").unionByName(saved(again))
     near = [F.coalesce(*[columns[(i + j) % fuzzy.bins] + (7919 if j else 0) for j in range(min(4, fuzzy.bins))], _next_full(columns, i) + 7919) for i in range(fuzzy.bins)]
     keys = [F.xxhash64(F.lit(b), *near[b * fuzzy.rows : (b + 1) * fuzzy.rows]) for b in range(fuzzy.bands)]
-    return saved(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "times", F.array(*keys).alias("bands")))
+    return minima.select("h1", "h2", "times", F.array(*keys).alias("bands"), ((empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)).alias("poor"))
 
 
 def _next_full(columns: list[Column], i: int) -> Column:
@@ -98,18 +106,18 @@ def _minima(lines: DataFrame, fuzzy: Fuzzy, thin: bool) -> DataFrame:
 
 
 def linked(groups: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """(band, low array, high array of (id, root, bands, line)) to edges (a, b) that connect the alike lines of each row.
+    """(band, low array, high array of (id, root, met, bands, line)) to edges (a, b) that connect the alike lines of each row.
 
     The sets of a row are made once. Each line of ``high`` in turn is compared with the components found so far, in each until a line is alike, and joins
-    those that hold one; at first the lines of ``low`` stand there by their roots. Lines of one root aren't compared, nor are pairs that share an earlier
-    band, where they meet as well. A row gives an edge a member at most, never its pairs.
+    those that hold one; at first the lines of ``low`` stand there by their roots. Lines of one root aren't compared, nor are those with equal ``met``, nor
+    pairs that share an earlier band, where they meet as well. A row gives an edge a member at most, never its pairs.
     """
     units = lambda m: shingle_set(F.encode(m["line"], "UTF-16LE"), fuzzy.shingle)
-    made = F.transform(F.concat("low", "high"), lambda m: F.struct(m["id"].alias("id"), m["root"].alias("root"), F.slice(m["bands"], F.lit(1), F.col("band")).alias("before"), units(m).alias("set")))
+    made = F.transform(F.concat("low", "high"), lambda m: F.struct(m["id"].alias("id"), m["root"].alias("root"), m["met"].alias("met"), F.slice(m["bands"], F.lit(1), F.col("band")).alias("before"), units(m).alias("set")))
 
     def alike(x: Column, y: Column) -> Column:
         n, m = F.size(x["set"]), F.size(y["set"])
-        worth = (x["root"] != y["root"]) & (100 * F.least(n, m) >= fuzzy.percent * F.greatest(n, m)) & ~F.arrays_overlap(x["before"], y["before"])
+        worth = (x["root"] != y["root"]) & (x["met"] != y["met"]) & (100 * F.least(n, m) >= fuzzy.percent * F.greatest(n, m)) & ~F.arrays_overlap(x["before"], y["before"])
         return worth & ((100 + fuzzy.percent) * F.size(F.array_intersect(x["set"], y["set"])) >= fuzzy.percent * (n + m))
 
     def step(s: Column, found: Column, i: Column) -> Column:
@@ -131,7 +139,7 @@ def linked(groups: DataFrame, fuzzy: Fuzzy) -> DataFrame:
 
 
 def in_buckets(members: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> tuple[DataFrame, DataFrame]:
-    """Edges inside all buckets (k, band, id, bands), and the buckets (k, m, units) that one row doesn't hold.
+    """Edges inside all buckets (k, band, id, bands), and the buckets (k, m, units, parts) that one row doesn't hold.
 
     Of buckets with equal members only the one of the first band is taken. A larger bucket is dealt out to parts; each part also holds the bucket's
     first member, so that near copies become one component for about one comparison a member.
@@ -144,9 +152,9 @@ def in_buckets(members: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> tuple[Data
     dealt = lookup(members, buckets, ["k"], "inner", NARROW)
     part = F.when(F.col("id") == F.col("a"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
     rows = spread(dealt.select("k", "band", "id", "bands", F.explode(part).alias("part")).join(texts, "id"), "k", "part")
-    rows = rows.groupBy("k", "part", "band").agg(F.array_sort(F.collect_list(F.struct("id", F.col("id").alias("root"), "bands", "line"))).alias("high")).where(F.size("high") > 1)
-    nothing = F.array().cast("array<struct<id:long,root:long,bands:array<long>,line:string>>")
-    return saved(linked(rows.select("band", nothing.alias("low"), "high"), fuzzy)), saved(buckets.where("parts > 1").select("k", "m", "units"))
+    rows = rows.groupBy("k", "part", "band").agg(F.array_sort(F.collect_list(F.struct("id", F.col("id").alias("root"), F.col("id").alias("met"), "bands", "line"))).alias("high")).where(F.size("high") > 1)
+    nothing = F.array().cast("array<struct<id:long,root:long,met:long,bands:array<long>,line:string>>")
+    return saved(linked(rows.select("band", nothing.alias("low"), "high"), fuzzy)), saved(buckets.where("parts > 1").select("k", "m", "units", "parts"))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -157,19 +165,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def across_parts(members: DataFrame, roots: DataFrame, large: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """Edges between members of different components of the buckets that are too large for one row.
 
-    The members outside a bucket's largest component meet all of its members, dealt out in blocks of both.
+    The members outside a bucket's largest component meet all of its members, dealt out in blocks of both; those of one part have met before.
     """
     placed = lookup(lookup(members, large, ["k"], "inner", NARROW), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("root", F.coalesce("root", "id"))
     placed = saved(placed.join(texts.select("id", F.greatest(F.lit(1), F.length("line")).alias("size")), "id"))
     spans = placed.groupBy("k", "root").agg(F.count("*").alias("c"), F.sum("size").alias("u")).groupBy("k").agg(F.count("*").alias("roots"), F.max(F.struct("c", "u", "root")).alias("most")).where("roots > 1")
-    parts = lambda c, u: F.greatest(F.lit(1), F.ceil(F.greatest(2 * c / fuzzy.block, 2 * u / fuzzy.units)).cast("int"))
+    parts = lambda c, u: F.greatest(F.lit(1), F.ceil(F.greatest(c / fuzzy.block, 2 * u / fuzzy.units)).cast("int"))
     spans = saved(lookup(spans, large, ["k"], "inner").select("k", F.col("most.root").alias("most"), parts(F.col("m"), F.col("units")).alias("all"), parts(F.col("m") - F.col("most.c"), F.col("units") - F.col("most.u")).alias("few")))
-    rows = lookup(placed.drop("m", "units"), spans, ["k"], "inner")
+    rows = lookup(placed.withColumn("met", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("m", "units", "parts"), spans, ["k"], "inner")
     block, every = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    x = rows.where("root <> most").withColumn("i", block("few")).withColumn("j", every("all")).select("k", "band", "i", "j", "id", "root", "bands", F.lit(True).alias("high"))
-    y = rows.withColumn("j", block("all")).withColumn("i", every("few")).select("k", "band", "i", "j", "id", "root", "bands", F.lit(False).alias("high"))
+    x = rows.where("root <> most").withColumn("i", block("few")).withColumn("j", every("all")).select("k", "band", "i", "j", "id", "root", "met", "bands", F.lit(True).alias("high"))
+    y = rows.withColumn("j", block("all")).withColumn("i", every("few")).select("k", "band", "i", "j", "id", "root", "met", "bands", F.lit(False).alias("high"))
     met = spread(x.unionByName(y).join(texts, "id"), "k", "i", "j").groupBy("k", "band", "i", "j")
-    side = lambda high: F.array_sort(F.collect_list(F.when(F.col("high") == high, F.struct("id", "root", "bands", "line"))))
+    side = lambda high: F.array_sort(F.collect_list(F.when(F.col("high") == high, F.struct("id", "root", "met", "bands", "line"))))
     both = met.agg(side(False).alias("low"), side(True).alias("high")).where((F.size("low") > 0) & (F.size("high") > 0))
     return saved(linked(both, fuzzy))
 
