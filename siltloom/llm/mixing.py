@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -39,8 +39,8 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], need: dict[str | N
     """Tokens that each pattern gives to each of its sources: a min-cost flow of largest value.
 
     Network: start -> pattern (one arc of the pattern's size for each use, at rising cost) -> its sources -> end (quota).
-    Successive shortest paths with potentials; each path fills an arc, so the work follows the aggregated
-    graph, not the documents.
+    Shortest paths with potentials; all paths of one cost are filled together, level by level, so that there are as many searches for the
+    shortest one as costs, and the work follows the arcs of the aggregated graph, not the documents.
     """
     sources = sorted(need, key=lambda s: (s is None, s or ""))
     first = {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
@@ -66,28 +66,71 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], need: dict[str | N
     for s in sources:
         arc(first[s], 1, need[s], 0)
     height = [0] * len(graph)
-    while True:
-        dist, via, queue = {0: 0}, {}, [(0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > dist[a]:
-                continue
+    while _raise(height, graph, to, cap, cost):
+        free = lambda a, e: cap[e] and not cost[e] + height[a] - height[to[e]]
+        while level := _levels(graph, to, free):
+            _fill(graph, to, cap, level, free)
+    return [{s: cap[e ^ 1] for s, e in g.items()} for g in given]
+
+
+def _raise(height: list[int], graph: list[list[int]], to: list[int], cap: list[int], cost: list[int]) -> bool:
+    """Raise the potentials so that the arcs of all shortest paths with room cost nothing; False if no path is left."""
+    dist, queue = {0: 0}, [(0, 0)]
+    while queue:
+        d, a = heapq.heappop(queue)
+        if a == 1:
+            break
+        if d > dist[a]:
+            continue
+        for e in graph[a]:
+            if cap[e] and (x := d + cost[e] + height[a] - height[to[e]]) < dist.get(to[e], 1 << 62):
+                dist[to[e]] = x
+                heapq.heappush(queue, (x, to[e]))
+    if 1 not in dist:
+        return False
+    for a in range(len(graph)):
+        height[a] += min(dist.get(a, dist[1]), dist[1])
+    return True
+
+
+def _levels(graph: list[list[int]], to: list[int], free: Callable[[int, int], bool]) -> dict[int, int] | None:
+    """Number of free arcs from the start to each node; None if they don't reach the end."""
+    level, row = {0: 0}, [0]
+    while row and 1 not in level:
+        below: list[int] = []
+        for a in row:
             for e in graph[a]:
-                if cap[e] and (x := d + cost[e] + height[a] - height[to[e]]) < dist.get(to[e], 1 << 62):
-                    dist[to[e]], via[to[e]] = x, e
-                    heapq.heappush(queue, (x, to[e]))
-        if 1 not in dist:
-            return [{s: cap[e ^ 1] for s, e in g.items()} for g in given]
-        for a, d in dist.items():
-            height[a] += d
-        path, a = [], 1
-        while a:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        flow = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= flow
-            cap[e ^ 1] += flow
+                if to[e] not in level and free(a, e):
+                    level[to[e]] = level[a] + 1
+                    below.append(to[e])
+        row = below
+    return level if 1 in level else None
+
+
+def _fill(graph: list[list[int]], to: list[int], cap: list[int], level: dict[int, int], free: Callable[[int, int], bool]) -> None:
+    """Push flow along free arcs that lead one level on, until each such path has a full arc. A node's arcs are tried once."""
+    tried = [0] * len(graph)
+    path: list[int] = []
+    a = 0
+    while True:
+        if a == 1:
+            flow = min(cap[e] for e in path)
+            for e in path:
+                cap[e] -= flow
+                cap[e ^ 1] += flow
+            full = next(i for i, e in enumerate(path) if not cap[e])
+            a = to[path[full] ^ 1]
+            del path[full:]
+        while tried[a] < len(graph[a]) and not (level.get(to[graph[a][tried[a]]]) == level[a] + 1 and free(a, graph[a][tried[a]])):
+            tried[a] += 1
+        if tried[a] < len(graph[a]):
+            path.append(graph[a][tried[a]])
+            a = to[path[-1]]
+        elif path:
+            a = to[path.pop() ^ 1]
+            tried[a] += 1
+        else:
+            return
 
 
 def mix_sources(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), costs: Sequence[int] = COSTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,8 @@
 """Each query against a plain version of its contract, and each operator on odd input."""
 
+import itertools
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -107,6 +110,48 @@ def test_flow_is_cheapest():
     assert sum(route([(("a", "b"), 7), (("b",), 5)], {"a": 20, "b": 12})[i].get(s, 0) for i in range(2) for s in "ab") == 32
 
 
+def best_flow(patterns, need, costs):
+    """(largest flow, its lowest cost) by trying all splits."""
+    def price(n, used):
+        return sum(w * max(0, min(n, used - k * n)) for k, w in enumerate(costs))
+
+    splits = []
+    for members, n in patterns:
+        some = itertools.product(*(range(min(need[s], len(costs) * n) + 1) for s in members))
+        splits.append([dict(zip(members, x)) for x in some if sum(x) <= len(costs) * n])
+    best = (0, 0)
+    for given in itertools.product(*splits):
+        if all(sum(g.get(s, 0) for g in given) <= need[s] for s in need):
+            total = sum(sum(g.values()) for g in given)
+            best = min(best, (-total, sum(price(n, sum(g.values())) for g, (_, n) in zip(given, patterns))))
+    return best
+
+
+def test_flow_against_all_splits():
+    rnd = random.Random(5)
+    for _ in range(150):
+        names = "abc"[: rnd.randint(1, 3)]
+        patterns = [(tuple(sorted(rnd.sample(names, rnd.randint(1, min(2, len(names)))))), rnd.randint(0, 2)) for _ in range(rnd.randint(0, 3))]
+        need = {s: rnd.randint(0, 4) for s in names}
+        given = route(patterns, need)
+        assert all(sum(g.get(s, 0) for g in given) <= need[s] for s in need)
+        cost = sum(w * max(0, min(n, sum(g.values()) - k * n)) for g, (_, n) in zip(given, patterns) for k, w in enumerate((0, 1, 3)))
+        assert (-sum(sum(g.values()) for g in given), cost) == best_flow(patterns, need, (0, 1, 3))
+
+
+def test_flow_of_many_sources():
+    rnd = random.Random(6)
+    names = [f"s{i}" for i in range(4000)]
+    patterns = [(tuple(sorted(rnd.sample(names, rnd.randint(1, 3)))), rnd.randint(1, 1000)) for _ in range(8000)]
+    need = {s: rnd.randint(0, 3000) for s in names}
+    start = time.monotonic()
+    given = route(patterns, need)
+    assert time.monotonic() - start < 30
+    for s in names:
+        assert sum(g.get(s, 0) for g in given if s in g) <= need[s]
+    assert all(0 <= sum(g.values()) <= 3 * n for g, (_, n) in zip(given, patterns))
+
+
 def test_mixing_odd(spark, odd):
     rows = odd.select(F.struct("doc_id", "source", "text").alias("id"), F.array("source").alias("sources"), F.length("text").alias("size"))
     taken, report = mix_sources(rows)
