@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 from siltloom.llm.common import components, lookup, map_groups, map_rows, saved
 
 
+#: Parts of the hash range by which vectors are sampled.
+SHARES = 1 << 40
+
+
 @dataclass(frozen=True)
 class Index:
     """``nearest``: pivots that describe a vector; ``shared``: pivots that a candidate pair must have in common (2 at least);
-    ``most_pivots``: bound of the pivot table (chosen from 4 x as many sampled vectors); ``block``: rows compared with each other at once.
+    ``most_pivots``: bound of the pivots of one dimension (chosen from about 4 x as many sampled vectors), a quarter of that of all; ``block``: rows compared with each other at once.
     """
 
     cosine: float = 0.93
@@ -28,20 +32,35 @@ class Index:
     block: int = 1024
 
 
-def choose_pivots(vectors: DataFrame, n: int, index: Index) -> np.ndarray:
-    """About sqrt(n) pivots of the most frequent dimension, from a sample by hash; sampled vectors near a chosen pivot are passed over,
-    for a group of near copies must not supply most of the pivots."""
-    wanted = int(min(index.most_pivots, max(index.least_pivots, 2 ** np.ceil(np.log2(max(n, 1) ** 0.5)))))
-    sample = vectors.orderBy(F.xxhash64(F.lit(11), "rep"), "rep").limit(4 * wanted).select("dim", "v").collect()
-    if not sample:
-        return np.zeros((0, 0))
-    dims = [r["dim"] for r in sample]
-    dim = max(sorted(set(dims)), key=dims.count)
-    pool = unit([bytes(r["v"]) for r in sample if r["dim"] == dim])
+def choose_pivots(vectors: DataFrame, index: Index) -> dict[int, np.ndarray]:
+    """About sqrt(n) pivots of each dimension, from a sample by hash; sampled vectors near a chosen pivot are passed over,
+    for a group of near copies must not supply most of the pivots. Frequent dimensions come first; from ``4 * most_pivots`` pivots on the others get none."""
+    wanted: dict[int, tuple[int, int]] = {}
+    left = 4 * index.most_pivots
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(left // index.least_pivots).collect()
+    for dim, n in sizes:
+        most = int(min(index.most_pivots, max(index.least_pivots, 2 ** np.ceil(np.log2(n**0.5)))))
+        if most <= left:
+            wanted[dim] = (most, n)
+            left -= most
+    if not wanted:
+        return {}
+    share = vectors.sparkSession.createDataFrame([(d, int(min(1, 4 * w / n) * SHARES)) for d, (w, n) in wanted.items()], "dim int, share long")
+    place = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(SHARES))
+    sample = vectors.join(F.broadcast(share), "dim").where(place < F.col("share")).select("dim", "v", place.alias("at"), "rep").collect()
+    pivots = {}
+    for dim, (most, _) in wanted.items():
+        rows = sorted((r.at, r.rep, bytes(r.v)) for r in sample if r.dim == dim)
+        if rows:
+            pivots[dim] = _apart(unit([v for *_, v in rows]), most, index.spread)
+    return pivots
+
+
+def _apart(pool: np.ndarray, most: int, spread: float) -> np.ndarray:
     chosen: list[int] = []
     best = np.full(len(pool), -1.0)
     for i in range(len(pool)):
-        if len(chosen) < wanted and best[i] < index.spread:
+        if len(chosen) < most and best[i] < spread:
             chosen.append(i)
             best = np.maximum(best, pool @ pool[i])
     return pool[chosen]
@@ -57,7 +76,7 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
     """(vec_id, label, embedding) to (vec_id, n_links, component_id, kept): links are pairs of one label with cosine >= ``index.cosine``.
 
     1. Equal vectors of a label become one representative (smallest id) with a count; the rest works on representatives.
-    2. Each is described by its ``nearest`` pivots in order, and put on the inverted list of each of them. Lists above ``block`` rows are split
+    2. Pivots are chosen for each dimension. Each representative is described by its ``nearest`` pivots in order, and put on the inverted list of each of them. Lists above ``block`` rows are split
        by a second pivot of the description, which loses no pair with two shared pivots; still longer ones are dealt out to pairs of blocks.
     3. In a list, pairs with ``shared`` pivots in common are verified in double precision, each pair on the list of its first shared pivots only.
        A task returns link counts and one edge for each member of a component, never the pairs.
@@ -80,27 +99,25 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
         return {"rep": batch.column("rep"), "m": batch.column("m"), "label": batch.column("label"), "dim": [len(x) for x in lists], "v": [np.array(x, np.float64).tobytes() for x in lists]}
 
     reps = saved(map_rows(groups, "x", "rep long, m long, label long, dim int, v binary", packed))
-    pivots = choose_pivots(reps, reps.count(), index)
+    pivots = choose_pivots(reps, index)
     held = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def described(batch: pa.RecordBatch) -> dict:
         p, out = held.value, []
         for v in batch.column("v").to_pylist():
-            x = unit([v])
-            k = min(index.nearest, len(p))
-            if p.shape[1] != x.shape[1]:
-                out.append([-1, -2])  # no pivot fits: the vectors of such a length share one list
+            of = p.get(len(v) // 8)
+            if of is None or len(of) < index.shared:
+                out.append([-1 - i for i in range(index.shared)])  # a dimension without pivots: its vectors share one list, dealt out in blocks
                 continue
-            d = p @ x[0]
-            out.append(np.lexsort((np.arange(len(d)), -d))[:k].tolist())
+            d = of @ unit([v])[0]
+            out.append(np.lexsort((np.arange(len(d)), -d))[: index.nearest].tolist())
         return {c: batch.column(c) for c in ("rep", "m", "label", "dim", "v")} | {"near": out}
 
     told = saved(map_rows(reps, "v", "rep long, m long, label long, dim int, v binary, near array<int>", described))
-    shared = min(index.shared, max(1, len(pivots)))
     entry = told.withColumn("p", F.explode("near"))
     long_lists = saved(entry.groupBy("label", "dim", "p").count().where(F.col("count") > index.block).select("label", "dim", "p", F.lit(True).alias("long")))
     entry = lookup(entry, long_lists, ["label", "dim", "p"])
-    second = F.when(F.col("long") & F.lit(shared > 1), F.filter("near", lambda q: q > F.col("p"))).otherwise(F.array(F.lit(-9)))
+    second = F.when(F.col("long"), F.filter("near", lambda q: q > F.col("p"))).otherwise(F.array(F.lit(-9)))
     entry = entry.withColumn("q", F.explode(second)).drop("long")
     parts = saved(entry.groupBy("label", "dim", "p", "q").count().where(F.col("count") > index.block).select("label", "dim", "p", "q", F.ceil(F.col("count") / index.block).cast("int").alias("parts")))
     entry = lookup(entry, parts, ["label", "dim", "p", "q"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -119,7 +136,7 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(rep), 256):
             both = has[at : at + 256] @ has.T
-            x, y = np.nonzero(both >= shared)
+            x, y = np.nonzero(both >= index.shared)
             x += at
             ok = (x < y) & ((side[x] != side[y]) if lo != hi else True)
             x, y = x[ok], y[ok]

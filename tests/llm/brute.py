@@ -87,8 +87,8 @@ def linked_vectors(rows, least=0.93):
             x = root[x]
         return x
 
-    for label in {lab for _, lab, _ in ok}:
-        own = [(i, v / np.linalg.norm(v)) for i, lab, v in ok if lab == label]
+    for label, dim in {(lab, len(v)) for _, lab, v in ok}:
+        own = [(i, v / np.linalg.norm(v)) for i, lab, v in ok if (lab, len(v)) == (label, dim)]
         x = np.array([v for _, v in own])
         for a, b in zip(*np.nonzero(np.triu(x @ x.T >= least, 1))):
             p, q = own[a][0], own[b][0]

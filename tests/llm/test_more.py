@@ -3,6 +3,7 @@
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from siltloom.llm import common
 from siltloom.llm.decontamination import find_overlaps
 from siltloom.llm.language import Fusion, identify, keep_identified, labelled, train
 from siltloom.llm.minhash import near_duplicates
-from siltloom.llm.pivots import link_vectors
+from siltloom.llm.pivots import Index, choose_pivots, link_vectors
 from siltloom.llm.sharding import shard_by_bytes
 from siltloom.llm.substrings import dedup_substrings
 
@@ -80,3 +81,22 @@ def test_saved_tables_can_be_dropped(spark):
     common.drop_saved(spark)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_vectors_of_two_lengths(spark):
+    """Each length has pivots of its own, so that the rarer one isn't compared all against all; links are those of brute force."""
+    rnd = np.random.default_rng(4)
+    rows = []
+    for dim, n in ((24, 500), (16, 400), (1, 3), (7, 1)):
+        x = rnd.normal(size=(n, dim))
+        if n > 10:
+            x[n // 2 :] = x[: n // 2] + rnd.normal(size=(n // 2, dim)) * 0.1
+        rows += [(len(rows) + i, 1, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert {r[0]: tuple(r[1:]) for r in link_vectors(d).collect()} == brute.linked_vectors(rows)
+    reps = spark.createDataFrame([(i, len(v), np.array(v).tobytes()) for i, _, v in rows], "rep long, dim int, v binary")
+    pivots = choose_pivots(reps, Index())
+    assert set(pivots) == {24, 16, 1, 7}
+    assert all(len(pivots[d]) > 30 and pivots[d].shape[1] == d for d in (24, 16))
+    assert set(choose_pivots(reps, Index(most_pivots=16, least_pivots=64))) == {24}
+    assert choose_pivots(reps.limit(0), Index()) == {}
