@@ -105,6 +105,11 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2)
     return reached.join(nodes.select("id", "name"), "id").select("query_id", "seed_id", "id", "name", "distance")
 
 
+def by_distance(reached: DataFrame) -> DataFrame:
+    """Reached nodes of each query, the near ones first, then by name and id; a range sort, so that no query's nodes need fit one task."""
+    return reached.orderBy("query_id", "distance", "name", "id")
+
+
 def nearest(reached: DataFrame) -> DataFrame:
     """The smallest distance of each query and node."""
     return reached.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))

@@ -306,7 +306,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def expand_2(spark, sf_dir):
     nodes, edges = trade_graph(spark, sf_dir)
     seeds = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
-    return graph.expand(seeds, nodes, edges, 2).select("query_id", "id", "name", "distance")
+    return graph.by_distance(graph.expand(seeds, nodes, edges, 2).select("query_id", "id", "name", "distance"))
 
 
 @query(

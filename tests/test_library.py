@@ -153,6 +153,8 @@ def test_trails(spark, seed):
         walk(s, frozenset(), s)
     found = G.expand(spark.createDataFrame([(1, s) for s in seeds], "query_id int, id string"), nodes, table, 3)
     assert {(r.seed_id, r.id, r.distance) for r in found.collect()} == want
+    ordered = [(r.query_id, r.distance, r.name, r.id) for r in G.by_distance(found).collect()]
+    assert len(ordered) == len(want) and ordered == sorted(ordered)
 
 
 def test_topk_against_brute_force(spark):
