@@ -118,10 +118,11 @@ def map_rows(df: DataFrame, text: str, schema: str | T.StructType, fn: Callable[
     return df.mapInArrow(run, fields)
 
 
-def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Table], dict]) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Table], dict], together: bool = False) -> DataFrame:
     """Map groups of rows with equal integer keys; groups of one row are left out. Callers bound the size of a group.
 
-    Rows are dealt by the keys and sorted; a task holds one batch and one group at a time.
+    Rows are dealt by the keys and sorted; a task holds one batch and one group at a time. ``together``: ``fn`` gets the groups that end in a batch in
+    one call, not one by one.
     """
     fields = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
@@ -142,9 +143,12 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[pa.Tab
             columns = [held.column(k).to_numpy() for k in keys]
             new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
             starts = [0, *new.tolist()]
-            for a, b in zip(starts, starts[1:]):
-                if b - a > 1:
-                    out.append(fn(held.slice(a, b - a)))
+            if together:
+                sizes = np.diff(starts)
+                if (sizes > 1).any():
+                    out.append(fn(held.slice(0, starts[-1]).filter(pa.array(np.repeat(sizes > 1, sizes)))))
+            else:
+                out += [fn(held.slice(a, b - a)) for a, b in zip(starts, starts[1:]) if b - a > 1]
             held = held.slice(starts[-1])
             if out:
                 yield made()

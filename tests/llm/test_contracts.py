@@ -20,7 +20,7 @@ from siltloom.llm.mixing import mix_sources, op2_min_cost_flow, quotas, route
 from siltloom.llm.pivots import Index, link_vectors, op3_pivot_permutations
 from siltloom.llm.secrets import op4_multipart_credentials, scan_secrets
 from siltloom.llm.sharding import op6_histogram_sort, shard_by_bytes
-from siltloom.llm.substrings import Repeats, dedup_substrings, op7_prefix_suffix_trees
+from siltloom.llm.substrings import Repeats, dedup_substrings, deep_repeats, op7_prefix_suffix_trees
 from siltloom.llm.tokens import count_tokens, op5_count_only_viterbi, unigram_vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -307,7 +307,7 @@ def test_substrings(spark, docs):
     assert by_id(op7_prefix_suffix_trees(spark, SF)) == brute.repeats(pairs(docs))
 
 
-@pytest.mark.parametrize("r", [Repeats(window=8, prefix=3), Repeats(window=8, prefix=3, group=2), Repeats(window=5, prefix=5)])
+@pytest.mark.parametrize("r", [Repeats(window=8, prefix=3), Repeats(window=8, prefix=3, group=2), Repeats(window=8, prefix=3, group=40), Repeats(window=5, prefix=5), Repeats(window=5, prefix=5, group=3)])
 def test_substrings_on_few_words(spark, r):
     import random
 
@@ -318,6 +318,23 @@ def test_substrings_on_few_words(spark, r):
     assert by_id(dedup_substrings(d, r)) == brute.repeats(rows, r.window)
 
 
+def test_longest_repeats():
+    """Against all pairs of suffixes: the longest match with a smaller owner, for suffixes that aren't the rest of a longer match."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        texts = [[rng.choice([b"a", b"b", b"c"][: rng.choice([1, 2, 3])]) for _ in range(rng.randrange(1, 25))] for _ in range(rng.randrange(1, 7))]
+        owners, window = [rng.randrange(4) for _ in texts], rng.randrange(1, 7)
+        longest = {}
+        for a, s in enumerate(texts):
+            for k in range(len(s)):
+                others = [u[m:] for c, u in enumerate(texts) if owners[c] < owners[a] for m in range(len(u))]
+                longest[a, k] = max((next((i for i, (x, y) in enumerate(zip(s[k:], u)) if x != y), min(len(s) - k, len(u))) for u in others), default=0)
+        want = {(a, k, n) for (a, k), n in longest.items() if n >= window and longest.get((a, k - 1), 0) != n + 1}
+        assert set(zip(*(x.tolist() for x in deep_repeats(texts, owners, False, window)))) == want
+
+
 def test_substrings_odd(odd):
     got = dedup_substrings(odd).collect()
     assert len(got) == odd.count()
