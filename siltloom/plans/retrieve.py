@@ -127,14 +127,20 @@ def class_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 
 
 def class_files(questions: DataFrame, nodes: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Class names without an entity: the first two indexed paths that contain the name, as whole files with score 1.0."""
+    """Class names without an entity: the first two indexed paths that contain the name, as whole files with score 1.0.
+
+    Paths are searched once for each name asked of a repo and branch, not for each question.
+    """
     asked = questions.where("repo is not null").select("query_id", "repo", "branch", F.explode(T.class_names(F.col("query"))).alias("name"))
     found = lookup_names(asked, nodes, 1).select("query_id", "name")
     missing = asked.join(found, ["query_id", "name"], "left_anti")
     paths = chunks.select("repo", F.col("branch").alias("file_branch"), "file_path").distinct()
-    hit = missing.join(paths, "repo").where("(branch is null or branch = file_branch) and contains(file_path, name)")
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "name").orderBy("file_path"))).where("rank <= 2")
-    return hit.select("query_id", "repo", F.col("file_branch").alias("branch"), "file_path", "name").join(files.select("repo", "branch", "file_path", "content"), ["repo", "branch", "file_path"]).withColumn("score", F.lit(1.0))
+    hit = missing.select("repo", "branch", "name").distinct().join(paths, "repo").where("(branch is null or branch = file_branch) and contains(file_path, name)")
+    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("repo", "branch", "name").orderBy("file_path"))).where("rank <= 2").drop("rank")
+    hit = hit.select(F.col("repo").alias("r"), F.col("branch").alias("b"), F.col("name").alias("n"), "file_branch", "file_path")
+    placed = missing.join(hit, (F.col("repo") == F.col("r")) & F.col("branch").eqNullSafe(F.col("b")) & (F.col("name") == F.col("n")))
+    placed = placed.select("query_id", "repo", F.col("file_branch").alias("branch"), "file_path", "name")
+    return placed.join(files.select("repo", "branch", "file_path", "content"), ["repo", "branch", "file_path"]).withColumn("score", F.lit(1.0))
 
 
 def build_context(hits: DataFrame) -> DataFrame:

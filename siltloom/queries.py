@@ -635,6 +635,62 @@ def scan_declarations(spark, sf_dir):
     return entities.scan_declarations(f).select("type", "name", "start_line", "end_line", relations.alias("relations"))
 
 
+# Java, TypeScript and Go files made of documents: the text as comments, an import, then declarations that end in the document's id.
+_JAVA_CODE = (
+    "import a.b;\n// Holds #\n@Named\npublic class J#<T> extends Base implements Left, Right {\n    private int size, more = 2;\n    void run(int x) {\n        helper(x);\n    }\n}\n"
+    "interface I# {\n    int get(int x);\n}\nenum E# { ONE, TWO }"
+)
+_TYPESCRIPT_CODE = "import a from 'b';\n// Holds #\nexport class J# extends Base {\n  run(x) {\n    helper(x);\n  }\n}\nfunction f#(x) {\n  return g(x);\n}\nconst h# = (x) => {\n  k(x);\n};"
+_GO_CODE = 'import "b"\n// Holds #\ntype S# struct {\n  a int\n}\ntype I# interface {\n  Get(x int) int\n}\nfunc F#(x int) int {\n  return g(x)\n}\nfunc (s *S#) M#() {\n  h()\n}'
+
+
+def _declared_sql(*rows: str) -> str:
+    """Rows of ``type name first last docstring signature relations``, parted by bars; lines count from the end of the comments, # stands for the id."""
+    values = ", ".join("(" + ", ".join(f"'{x}'" for x in r.split("|")) + ")" for r in rows)
+    fill = lambda c: f"nullif(replace({c}, '#', CAST(doc_id AS VARCHAR)), '')"
+    line = lambda c: f"CAST({_LINES} + 1 + CAST({c} AS INTEGER) AS INTEGER)"
+    return (
+        f"WITH v(type, name, a, z, doc, signature, relations) AS (VALUES {values}) SELECT type, {fill('name')} AS name, {line('a')} AS start_line, {line('z')} AS end_line, "
+        f"{fill('doc')} AS docstring, {fill('signature')} AS signature, relations FROM documents CROSS JOIN v"
+    )
+
+
+def _declared(spark, sf_dir, extension, code):
+    n = F.col("doc_id").cast("string")
+    content = F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")), F.lit("\n"), F.replace(F.lit(code), F.lit("#"), n))
+    f = read(spark, sf_dir, "documents").select(F.lit("org/a").alias("repo"), F.lit("HEAD").alias("branch"), F.concat(n, F.lit(extension)).alias("file_path"), content.alias("content"))
+    relations = F.array_join(F.transform("relations", lambda r: F.concat_ws(" ", r["type"], r["target_name"])), ",")
+    return entities.scan_declarations(f).select("type", "name", "start_line", "end_line", "docstring", "signature", relations.alias("relations"))
+
+
+@query(
+    _declared_sql(
+        "Class|J#|4|9|Holds #|public class J#<T> extends Base implements Left, Right|EXTENDS Base,IMPLEMENTS Left,IMPLEMENTS Right,HAS_FIELD size,HAS_FIELD more,HAS_METHOD run", "Field|size|5|5|||", "Field|more|5|5|||",
+        "Method|run|6|8||void run(int x)|CALLS helper", "Interface|I#|10|12||interface I#|HAS_METHOD get", "Method|get|11|11||int get(int x);|", "Enum|E#|13|13||enum E#|HAS_FIELD ONE,HAS_FIELD TWO", "Field|ONE|13|13|||", "Field|TWO|13|13|||",
+    )
+)
+def scan_java(spark, sf_dir):
+    return _declared(spark, sf_dir, ".java", _JAVA_CODE)
+
+
+@query(
+    _declared_sql(
+        "Class|J#|3|7|Holds #|export class J# extends Base|EXTENDS Base,HAS_METHOD run", "Method|run|4|6||run(x)|CALLS helper", "Function|f#|8|10||function f#(x)|CALLS g", "Function|h#|11|13||const h# = (x) =>|CALLS k",
+    )
+)
+def scan_typescript(spark, sf_dir):
+    return _declared(spark, sf_dir, ".ts", _TYPESCRIPT_CODE)
+
+
+@query(
+    _declared_sql(
+        "Struct|S#|3|5|Holds #|type S# struct|", "Interface|I#|6|8||type I# interface|HAS_METHOD Get", "Method|Get|7|7||Get(x int) int|", "Function|F#|9|11||func F#(x int) int|CALLS g", "Method|M#|12|14||func (s *S#) M#()|CALLS h",
+    )
+)
+def scan_go(spark, sf_dir):
+    return _declared(spark, sf_dir, ".go", _GO_CODE)
+
+
 @query("SELECT doc_id, 'Class' AS type, 'J' || doc_id AS name, 'java' AS language, 0 AS start_line, md5(text) AS digest, 0 AS n_relations FROM documents")
 def entities_from_json(spark, sf_dir):
     body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("J"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("code"))).alias("entities")))
@@ -662,6 +718,49 @@ def answer_context(spark, sf_dir):
     return retrieve.answer_context(questions, chunks, nodes, graph.resolve_edges(e, nodes), doc_files(spark, sf_dir)).select("query_id", F.length("context").alias("n_chars"))
 
 
+# Classes of documents, ten names in all, each calling the next; the tenth is no entity, but stands in paths. Every tenth question names no branch.
+_CLASSES = (
+    "c AS (SELECT doc_id, 'org/' || source AS repo, lang AS branch, 'Orden' || doc_id % 10 || 'Scheduler' AS name, 'src/Orden' || doc_id % 10 || 'Scheduler_' || doc_id || '.java' AS file_path, text FROM documents), "
+    "e AS (SELECT *, repo || ':' || branch || ':' || file_path || ':Class:' || name AS id FROM c WHERE doc_id % 10 <> 9), "
+    "q AS (SELECT doc_id, repo, CASE WHEN doc_id // 10 % 10 <> 0 THEN branch END AS branch, name, 'Orden' || (doc_id + 1) % 10 || 'Scheduler' AS next FROM c), "
+    "own AS (SELECT q.doc_id, q.next, q.repo, q.branch, arg_min(e.id, (e.file_path, e.id)) AS id FROM q JOIN e ON q.name = e.name AND q.repo = e.repo AND (q.branch IS NULL OR q.branch = e.branch) GROUP BY ALL)"
+)
+
+
+def doc_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, entities, files)."""
+    n, named = F.col("doc_id"), lambda i: F.concat(F.lit("Orden"), (i % 10).cast("string"), F.lit("Scheduler"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org/"), "source").alias("repo"), F.col("lang").alias("branch"), named(n).alias("name"), "text")
+    f = d.select("*", F.concat(F.lit("src/"), "name", F.lit("_"), n.cast("string"), F.lit(".java")).alias("file_path"), F.col("text").alias("content"))
+    call = F.struct(F.lit("CALLS").alias("type"), named(n + 1).alias("target_name"), F.lit("Class").alias("target_type"), F.create_map().cast("map<string,string>").alias("properties"))
+    none = F.lit(None).cast("string")
+    e = f.where("doc_id % 10 <> 9").select(
+        F.lit("Class").alias("type"), "name", "file_path", "repo", "branch", F.lit("java").alias("language"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), none.alias("signature"), none.alias("docstring"),
+        F.col("text").alias("code"), F.array().cast("array<string>").alias("annotations"), F.array(call).alias("relations"),
+    )
+    q = d.select(n.alias("query_id"), F.concat(F.lit("explica "), "name").alias("query"), "repo", F.when(F.floor(n / 10) % 10 != 0, F.col("branch")).alias("branch"))
+    return q, e, f
+
+
+@query(
+    f"WITH {_CLASSES} SELECT doc_id AS query_id, id, 1.0::DOUBLE AS score, 'entity' AS source FROM own UNION ALL "
+    "SELECT o.doc_id, arg_min(t.id, (t.file_path, t.id)), 0.95::DOUBLE, 'relation' FROM own o JOIN e s ON s.id = o.id JOIN e t ON t.name = o.next AND t.repo = s.repo AND t.branch = s.branch GROUP BY o.doc_id"
+)
+def class_context(spark, sf_dir):
+    q, e, _ = doc_classes(spark, sf_dir)
+    nodes = graph.merge_nodes(e)
+    return retrieve.class_context(q, nodes, graph.resolve_edges(e, nodes)).select("query_id", "id", F.col("score").cast("double").alias("score"), "source")
+
+
+@query(
+    f"WITH {_CLASSES}, missing AS (SELECT * FROM q WHERE doc_id NOT IN (SELECT doc_id FROM own)), hit AS (SELECT m.doc_id, c.branch, c.file_path, c.text, row_number() OVER (PARTITION BY m.doc_id ORDER BY c.file_path) AS r "
+    "FROM missing m JOIN c ON c.repo = m.repo AND (m.branch IS NULL OR m.branch = c.branch) AND c.name = m.name) SELECT doc_id AS query_id, branch, file_path, md5(text) AS digest FROM hit WHERE r <= 2"
+)
+def class_files(spark, sf_dir):
+    q, e, f = doc_classes(spark, sf_dir)
+    return retrieve.class_files(q, graph.merge_nodes(e), f, f).select("query_id", "branch", "file_path", F.md5("content").alias("digest"))
+
+
 # Questions made of documents: a class, a module path, a repo and a branch by turns, then the text's first word.
 _ASKED = (
     "asked AS (SELECT doc_id, doc_id % 5 AS t, lang, (['Orden' || doc_id || 'Scheduler', 'PedidoDao', 'Otra', 'Token' || doc_id, 'Una'])[doc_id % 5 + 1] AS name FROM documents), "
