@@ -705,19 +705,6 @@ def index_repos(spark, sf_dir):
     return index.index_repos(doc_files(spark, sf_dir).drop("doc_id", "size"), vectors.hashed_embedding(16), 16)["stats"]
 
 
-@query()
-def answer_context(spark, sf_dir):
-    """Contexts for conversations' first messages, over the documents' entities."""
-    e = doc_entities(spark, sf_dir)
-    fn = vectors.hashed_embedding(16)
-    nodes = graph.merge_nodes(e)
-    c = entities.entity_chunks(e).withColumn("chunk_id", F.sha1(F.concat_ws("|", "entity_id", F.col("position").cast("string"))))
-    chunks = vectors.embed(c, fn, 16)
-    asked = read(spark, sf_dir, "conversations").where("conv_id % 100 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.concat("text", F.lit(" rama en")).alias("query"))
-    questions = vectors.embed(asked, fn, 16, "query").withColumnRenamed("embedding", "vector")
-    return retrieve.answer_context(questions, chunks, nodes, graph.resolve_edges(e, nodes), doc_files(spark, sf_dir)).select("query_id", F.length("context").alias("n_chars"))
-
-
 # Classes of documents, ten names in all, each calling the next; the tenth is no entity, but stands in paths. Every tenth question names no branch.
 _CLASSES = (
     "c AS (SELECT doc_id, 'org/' || source AS repo, lang AS branch, 'Orden' || doc_id % 10 || 'Scheduler' AS name, 'src/Orden' || doc_id % 10 || 'Scheduler_' || doc_id || '.java' AS file_path, text FROM documents), "
@@ -761,6 +748,22 @@ def class_files(spark, sf_dir):
     return retrieve.class_files(q, graph.merge_nodes(e), f, f).select("query_id", "branch", "file_path", F.md5("content").alias("digest"))
 
 
+@query()
+def answer_context(spark, sf_dir):
+    """Contexts of questions about classes, one for each hundredth document, over all documents' classes and files: their length and the sources they draw on."""
+    _, e, f = doc_classes(spark, sf_dir)
+    fn = vectors.hashed_embedding(16)
+    nodes = graph.merge_nodes(e)
+    c = entities.entity_chunks(e).withColumn("chunk_id", F.sha1(F.concat_ws("|", "entity_id", F.col("position").cast("string"))))
+    n = F.col("doc_id")
+    name = F.concat(F.lit("Orden"), (F.floor(n / 100) % 10).cast("string"), F.lit("Scheduler"))
+    asked = read(spark, sf_dir, "documents").where(n % 100 == 0).select(n.alias("query_id"), F.concat(F.lit("explica "), name, F.lit(" de org/"), "source", F.lit(" rama "), "lang").alias("query"))
+    questions = vectors.embed(asked, fn, 16, "query").withColumnRenamed("embedding", "vector")
+    out = retrieve.answer_context(questions, vectors.embed(c, fn, 16), nodes, graph.resolve_edges(e, nodes), f)
+    sources = F.array_sort(F.array_distinct(F.regexp_extract_all("context", F.lit(r"\| Source: ([\w+]+) \|"), F.lit(1))))
+    return out.select("query_id", F.length("context").alias("n_chars"), F.array_join(sources, ",").alias("sources"))
+
+
 # Questions made of documents: a class, a module path, a repo and a branch by turns, then the text's first word.
 _ASKED = (
     "asked AS (SELECT doc_id, doc_id % 5 AS t, lang, (['Orden' || doc_id || 'Scheduler', 'PedidoDao', 'Otra', 'Token' || doc_id, 'Una'])[doc_id % 5 + 1] AS name FROM documents), "

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from siltloom.operators import graph as G
 from siltloom.operators.entities import docstring_before, index_chunks, scan_declarations, scan_source
 from siltloom.operators.sqlrefs import inline_sql, references, resolve_sql_refs
 from siltloom.operators.vectors import embed, hashed_embedding, validate_vectors, vector_topk
+from siltloom.plans import retrieve as R
 from siltloom.plans.chat import route_messages
 from siltloom.plans.index import index_repos, store
 from siltloom.sources import files as S
@@ -272,3 +274,31 @@ def test_keywords(spark):
 def test_chunks_of_one_file_keep_order():
     rows = [C.chunk_text("\n".join(["func a() {", "x" * 9000, "}"] * 2), "go")]
     assert all(a[0] < b[0] for r in rows for a, b in itertools.pairwise(r))
+
+
+def test_answer_context_has_all_stages(spark):
+    """One question with a known class, its relation, a class that only stands in a path, and a word that only a file holds."""
+    relation = "array<struct<type:string,target_name:string,target_type:string,properties:map<string,string>>>"
+    calls = [{"type": "CALLS", "target_name": "pagar", "target_type": "Method", "properties": {}}]
+    rows = [("Class", "PedidoDao", "src/P.java", "class PedidoDao { pagar(); }", calls), ("Method", "pagar", "src/Q.java", "void pagar() { }", []), ("Class", "OtraDao", "src/O.java", "class OtraDao { }", [])]
+    schema = f"type string, name string, file_path string, code string, relations {relation}"
+    e = spark.createDataFrame(rows, schema).selectExpr(
+        "type", "name", "file_path", "'org/a' as repo", "'main' as branch", "'java' as language", "1 as start_line", "2 as end_line", "cast(null as string) as signature", "cast(null as string) as docstring", "code",
+        "cast(array() as array<string>) as annotations", "relations",
+    )
+    nodes = G.merge_nodes(e)
+    contents = [("src/P.java", "class PedidoDao { pagar(); }"), ("src/FaltaScheduler.java", "class FaltaScheduler { }"), ("src/z.py", "# Factura de todos"), ("src/no.py", "# nada")]
+    files = spark.createDataFrame([("org/a", "main", *c) for c in contents] + [("org/b", "main", "src/z.py", "# Factura ajena")], "repo string, branch string, file_path string, content string")
+    vector = [0.0] * 3 + [1.0]
+    chunk = nodes.selectExpr("sha1(id) as chunk_id", "id as entity_id", "repo", "branch", "file_path", "language", "0 as position", "code as text", "type as ast_type", "name as ast_name", "signature as ast_signature")
+    paths = spark.createDataFrame([("f", None, "org/a", "main", "src/FaltaScheduler.java", "java", 0, "", None, None, None)], ", ".join(f"{c} {t}" for c, t in chunk.dtypes))
+    chunks = chunk.union(paths).withColumn("embedding", F.array(*[F.lit(x).cast("float") for x in (1.0, 0.0, 0.0, 0.0)]))
+    q = spark.createDataFrame([(1, "explica PedidoDao y FaltaScheduler y Factura de org/a rama main", vector), (2, "hola", vector)], "query_id long, query string, vector array<float>")
+    got = {r.query_id: r.context for r in R.answer_context(q, chunks, nodes, G.resolve_edges(e, nodes), files).collect()}
+    parts = got[1].split("\n\n---\n\n")
+    assert [p.split("]")[0] for p in parts] == [f"[Fragmento {i + 1}" for i in range(len(parts))]
+    found = [(re.search(r"Source: (\S+)", p)[1], re.search(r"Archivo: (\S+)", p)[1]) for p in parts]
+    of = {path: source.split("+") for source, path in found}
+    assert "entity" in of["src/P.java"] and "relation" in of["src/Q.java"] and "fetch" in of["src/FaltaScheduler.java"] and of["src/z.py"] == ["clone"], found
+    assert "src/no.py" not in of and "ajena" not in got[1]
+    assert len(found) == len(set(found))

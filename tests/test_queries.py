@@ -30,7 +30,7 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"answer_context"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
