@@ -705,27 +705,27 @@ def index_repos(spark, sf_dir):
     return index.index_repos(doc_files(spark, sf_dir).drop("doc_id", "size"), vectors.hashed_embedding(16), 16)["stats"]
 
 
-# Classes of documents, ten names in all, each calling the next; the tenth is no entity, but stands in paths. Every tenth question names no branch.
+# Classes of documents, ten names for every 2,000 documents, each calling the next; the tenth is no entity, but stands in paths. Every seventh question names no branch.
 _CLASSES = (
-    "c AS (SELECT doc_id, 'org/' || source AS repo, lang AS branch, 'Orden' || doc_id % 10 || 'Scheduler' AS name, 'src/Orden' || doc_id % 10 || 'Scheduler_' || doc_id || '.java' AS file_path, text FROM documents), "
-    "e AS (SELECT *, repo || ':' || branch || ':' || file_path || ':Class:' || name AS id FROM c WHERE doc_id % 10 <> 9), "
-    "q AS (SELECT doc_id, repo, CASE WHEN doc_id // 10 % 10 <> 0 THEN branch END AS branch, name, 'Orden' || (doc_id + 1) % 10 || 'Scheduler' AS next FROM c), "
+    "c AS (SELECT doc_id, 'org/' || source AS repo, lang AS branch, 'Orden' || doc_id // 20 % 10 || 'De' || doc_id // 2000 || 'Scheduler' AS name, 'src/Orden' || doc_id // 20 % 10 || 'De' || doc_id // 2000 || 'Scheduler_' || doc_id || '.java' AS file_path, text FROM documents), "
+    "e AS (SELECT *, repo || ':' || branch || ':' || file_path || ':Class:' || name AS id FROM c WHERE doc_id // 20 % 10 <> 9), "
+    "q AS (SELECT doc_id, repo, CASE WHEN doc_id % 7 <> 0 THEN branch END AS branch, name, 'Orden' || (doc_id // 20 + 1) % 10 || 'De' || doc_id // 2000 || 'Scheduler' AS next FROM c), "
     "own AS (SELECT q.doc_id, q.next, q.repo, q.branch, arg_min(e.id, (e.file_path, e.id)) AS id FROM q JOIN e ON q.name = e.name AND q.repo = e.repo AND (q.branch IS NULL OR q.branch = e.branch) GROUP BY ALL)"
 )
 
 
 def doc_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, entities, files)."""
-    n, named = F.col("doc_id"), lambda i: F.concat(F.lit("Orden"), (i % 10).cast("string"), F.lit("Scheduler"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org/"), "source").alias("repo"), F.col("lang").alias("branch"), named(n).alias("name"), "text")
+    n, i, named = F.col("doc_id"), F.floor(F.col("doc_id") / 20), lambda i: F.concat(F.lit("Orden"), (i % 10).cast("string"), F.lit("De"), F.floor(F.col("doc_id") / 2000).cast("string"), F.lit("Scheduler"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("org/"), "source").alias("repo"), F.col("lang").alias("branch"), named(i).alias("name"), "text")
     f = d.select("*", F.concat(F.lit("src/"), "name", F.lit("_"), n.cast("string"), F.lit(".java")).alias("file_path"), F.col("text").alias("content"))
-    call = F.struct(F.lit("CALLS").alias("type"), named(n + 1).alias("target_name"), F.lit("Class").alias("target_type"), F.create_map().cast("map<string,string>").alias("properties"))
+    call = F.struct(F.lit("CALLS").alias("type"), named(i + 1).alias("target_name"), F.lit("Class").alias("target_type"), F.create_map().cast("map<string,string>").alias("properties"))
     none = F.lit(None).cast("string")
-    e = f.where("doc_id % 10 <> 9").select(
+    e = f.where(i % 10 != 9).select(
         F.lit("Class").alias("type"), "name", "file_path", "repo", "branch", F.lit("java").alias("language"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), none.alias("signature"), none.alias("docstring"),
         F.col("text").alias("code"), F.array().cast("array<string>").alias("annotations"), F.array(call).alias("relations"),
     )
-    q = d.select(n.alias("query_id"), F.concat(F.lit("explica "), "name").alias("query"), "repo", F.when(F.floor(n / 10) % 10 != 0, F.col("branch")).alias("branch"))
+    q = d.select(n.alias("query_id"), F.concat(F.lit("explica "), "name").alias("query"), "repo", F.when(n % 7 != 0, F.col("branch")).alias("branch"))
     return q, e, f
 
 
@@ -756,7 +756,7 @@ def answer_context(spark, sf_dir):
     nodes = graph.merge_nodes(e)
     c = entities.entity_chunks(e).withColumn("chunk_id", F.sha1(F.concat_ws("|", "entity_id", F.col("position").cast("string"))))
     n = F.col("doc_id")
-    name = F.concat(F.lit("Orden"), (F.floor(n / 100) % 10).cast("string"), F.lit("Scheduler"))
+    name = F.concat(F.lit("Orden"), (F.floor(n / 100) % 10).cast("string"), F.lit("De"), F.floor(n / 2000).cast("string"), F.lit("Scheduler"))
     asked = read(spark, sf_dir, "documents").where(n % 100 == 0).select(n.alias("query_id"), F.concat(F.lit("explica "), name, F.lit(" de org/"), "source", F.lit(" rama "), "lang").alias("query"))
     questions = vectors.embed(asked, fn, 16, "query").withColumnRenamed("embedding", "vector")
     out = retrieve.answer_context(questions, vectors.embed(c, fn, 16), nodes, graph.resolve_edges(e, nodes), f)
