@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siltloom.llm.centroids import op13_threshold_algorithm
+from siltloom.llm.context_mixing import op11_context_mixing
 from siltloom.llm.decontamination import op8_aho_corasick
 from siltloom.llm.language import op1_evidence_fusion
 from siltloom.llm.lines import op10_fuzzy_lines
@@ -13,6 +15,7 @@ from siltloom.llm.secrets import op4_multipart_credentials
 from siltloom.llm.sharding import op6_histogram_sort
 from siltloom.llm.substrings import op7_prefix_suffix_trees
 from siltloom.llm.tokens import op5_count_only_viterbi
+from siltloom.llm.whitening import op12_householder_whitening
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +30,9 @@ QUERIES = {
         op8_aho_corasick,
         op9_fast_similarity_sketch,
         op10_fuzzy_lines,
+        op11_context_mixing,
+        op12_householder_whitening,
+        op13_threshold_algorithm,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
