@@ -1,4 +1,4 @@
-"""Code entities: declarations scanned line by line, imported ones, and their chunks."""
+"""Code entities: scanned declarations, imported ones, and their chunks."""
 
 from __future__ import annotations
 
@@ -11,251 +11,55 @@ from pyspark.sql import functions as F
 
 from siltloom.functions.paths import ast_language
 from siltloom.functions.text import CLASS_LIMIT, class_notice, entity_embed_text, entity_id, truncate
+from siltloom.operators.scopes import scan_source
 
 RELATION = "array<struct<type:string,target_name:string,target_type:string,properties:map<string,string>>>"
 ENTITY = (
     "type string, name string, file_path string, repo string, branch string, language string, start_line int, end_line int, "
     f"signature string, docstring string, code string, annotations array<string>, relations {RELATION}"
 )
-LOOK_BACK = 9
+_NAMES = [f.split(" ")[0] for f in re.split(r", (?=\w+ (?:string|int|array))", ENTITY)]
 
-_PY = re.compile(r"(\s*)(?:async\s+)?(class|def)\s+(\w+)\s*(?:\(([^)]*)\))?")
-_PY_FIELD = re.compile(r"\s+(?:self\.)?(\w+)\s*(?::[^=]+)?=(?!=)")
-_JAVA_TYPE = re.compile(r"\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(class|interface|enum)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.<>, ]+?))?(?:\s+implements\s+([\w.<>, ]+?))?\s*(?:\{|$)")
-_JAVA_METHOD = re.compile(r"\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?(?:[\w.<>\[\], ?]+\s+)?(\w+)\s*\([^;{]*\)\s*(?:throws\s+[\w., ]+)?\s*(\{|;)")
-_JAVA_FIELD = re.compile(r"\s*(?:(?:public|private|protected|static|final|volatile|transient)\s+)+[\w.<>\[\], ?]+?\s+((?:\w+\s*(?:=[^,;]*)?\s*,\s*)*\w+)\s*(?:=.*)?;")
-_JS_CLASS = re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)(?:\s+extends\s+([\w.]+))?")
-_JS_FUNCTION = re.compile(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(|(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")
-_JS_METHOD = re.compile(r"\s+(?:(?:static|async|get|set|public|private|protected|readonly)\s+)*#?(\w+)\s*\([^;]*\)\s*(?::[^{]+)?\{")
-_GO_TYPE = re.compile(r"type\s+(\w+)\s+(\w+|\S.*)")
-_GO_FUNCTION = re.compile(r"func\s+(?:\(([^)]*)\)\s*)?(\w+)\s*\(")
-_GO_METHOD = re.compile(r"\s+(\w+)\(")
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-_NOT_CALLS = frozenset("if for while switch catch return new super this function def class print synchronized func elif assert with and or not in is lambda await yield typeof sizeof".split())
 
+def scan_files(files: DataFrame) -> DataFrame:
+    """Files (repo, branch, file_path, content) to entities and rejects in one pass: rows of entities, whose ``error`` is null, and one row with the reason for each
+    file that the scanner can't take. Files in other languages and null contents give no rows. Store the result where both are needed.
+    """
 
-def docstring_before(lines: list[str], start: int) -> str | None:
-    """The comment above line ``start`` (0-based): up to nine lines back, past blank and annotation lines, without comment marks."""
-    found = []
-    for line in map(str.strip, reversed(lines[max(0, start - LOOK_BACK) : start])):
-        if line.startswith(("//", "#", "--")):
-            found.append(line.lstrip("/#-").strip())
-        elif line.startswith(("/*", "*")):
-            found.append(line.lstrip("/*").strip())
-        elif line and not line.startswith("@"):
-            break
-    return "\n".join(reversed(found)) if found else None
-
-
-def _notes(lines: list[str], start: int) -> list[str]:
-    out = []
-    for line in map(str.strip, reversed(lines[max(0, start - LOOK_BACK) : start])):
-        if not line.startswith("@"):
-            break
-        out.append(line.lstrip("@").split("(")[0].strip())
-    return out[::-1]
-
-
-def _brace_end(lines: list[str], start: int) -> int:
-    """Line that closes the first brace opened from ``start`` on; ``start`` if a statement ends before one opens."""
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        line = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//.*', "", lines[i])
-        for c in line:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    return i
-        if not opened and line.rstrip().endswith(";"):
-            return i
-    return len(lines) - 1 if opened else start
-
-
-def _indent_end(lines: list[str], start: int, indent: int) -> int:
-    last = start
-    for i in range(start + 1, len(lines)):
-        if lines[i].strip():
-            if len(lines[i]) - len(lines[i].lstrip()) <= indent and not lines[i].lstrip().startswith((")", "]")):
-                break
-            last = i
-    return last
-
-
-def _relation(kind: str, name: str, target: str) -> dict:
-    return {"type": kind, "target_name": name, "target_type": target, "properties": {}}
-
-
-def _names(text: str | None) -> list[str]:
-    return [n for part in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", text or "")).split(",") if (n := part.strip().split(".")[-1])]
-
-
-def _calls(code: str, own: str, target: str) -> list[dict]:
-    body = code.partition("\n")[2] or code.partition("{")[2]
-    return [_relation("CALLS", n, target) for n in dict.fromkeys(_CALL.findall(body)) if n not in _NOT_CALLS and n != own]
-
-
-class Scan:
-    """Collects the entities of one file."""
-
-    def __init__(self, source: str, language: str):
-        self.lines, self.language, self.found = source.split("\n"), language, []
-
-    def add(self, kind: str, name: str, start: int, end: int, relations: list[dict] | None = None, doc: bool = True) -> dict:
-        code = "\n".join(self.lines[start : end + 1]).strip("\n")
-        mark = ":" if self.language == "python" else "{"
-        e = {
-            "type": kind, "name": name, "language": self.language, "start_line": start + 1, "end_line": end + 1, "signature": code.split(mark)[0].strip() if kind != "Field" else None,
-            "docstring": docstring_before(self.lines, start) if doc else None, "code": code, "annotations": _notes(self.lines, start), "relations": relations or [],
-        }
-        self.found.append(e)
-        return e
-
-    def python(self) -> None:
-        owners: list[tuple[int, int, dict]] = []  # indent, end, class
-        inside = -1  # end of a function's body: what it holds is no entity
-        for i, line in enumerate(self.lines):
-            while owners and i > owners[-1][1]:
-                owners.pop()
-            if i <= inside:
-                continue
-            if m := _PY.match(line):
-                indent = len(m[1])
-                end = _indent_end(self.lines, i, indent)
-                owner = owners[-1][2] if owners else None
-                if m[2] == "class":
-                    bases = [b for b in _names(m[4]) if "=" not in b]
-                    owners.append((indent, end, self.add("Class", m[3], i, end, [_relation("EXTENDS", b, "Class") for b in bases])))
-                else:
-                    kind = "Method" if owner else "Function"
-                    e = self.add(kind, m[3], i, end)
-                    e["relations"] = _calls(e["code"], m[3], kind)
-                    if owner:
-                        owner["relations"].append(_relation("HAS_METHOD", m[3], "Method"))
-                    inside = end
-            elif owners and (m := _PY_FIELD.match(line)):
-                self.add("Field", m[1], i, i, doc=False)
-                owners[-1][2]["relations"].append(_relation("HAS_FIELD", m[1], "Field"))
-
-    def java(self) -> None:
-        owners: list[tuple[int, dict]] = []
-        inside = -1
-        for i, line in enumerate(self.lines):
-            while owners and i > owners[-1][0]:
-                owners.pop()
-            if i <= inside or line.strip().startswith(("//", "*", "/*", "@")):
-                continue
-            if m := _JAVA_TYPE.match(line):
-                end = _brace_end(self.lines, i)
-                relations = [_relation("EXTENDS", n, "Class") for n in _names(m[3])] + [_relation("IMPLEMENTS", n, "Interface") for n in _names(m[4])]
-                e = self.add({"class": "Class", "interface": "Interface", "enum": "Enum"}[m[1]], m[2], i, end, relations)
-                if m[1] == "enum":
-                    body = e["code"].partition("{")[2].split(";")[0].rpartition("}")[0] or e["code"].partition("{")[2].split(";")[0]
-                    for name in re.findall(r"(?:^|,)\s*(\w+)", re.sub(r"\([^)]*\)|\{[^}]*\}|//.*", "", body)):
-                        self.add("Field", name, i, i, doc=False)
-                        e["relations"].append(_relation("HAS_FIELD", name, "Field"))
-                owners.append((end, e))
-            elif owners and (m := _JAVA_METHOD.match(line)) and m[1] not in _NOT_CALLS:
-                end = _brace_end(self.lines, i) if m[2] == "{" else i
-                e = self.add("Method", m[1], i, end)
-                e["relations"] = _calls(e["code"], m[1], "Method")
-                owners[-1][1]["relations"].append(_relation("HAS_METHOD", m[1], "Method"))
-                inside = end
-            elif owners and (m := _JAVA_FIELD.match(line)):
-                for name in (re.split(r"[\s=]", part.strip())[0] for part in m[1].split(",")):
-                    self.add("Field", name, i, i, doc=False)
-                    owners[-1][1]["relations"].append(_relation("HAS_FIELD", name, "Field"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for repo, branch, path, content, language in pdf.itertuples(index=False):
+                of = {"repo": repo, "branch": branch, "file_path": path}
+                try:
+                    out += [e | of for e in scan_source(content, language)]
+                except Exception as e:
+                    out.append(of | {"language": language, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=[*_NAMES, "error"], dtype=object)
 
-    def javascript(self) -> None:
-        owner, end_of = None, -1
-        inside = -1
-        for i, line in enumerate(self.lines):
-            if i > end_of:
-                owner = None
-            if i <= inside:
-                continue
-            if m := _JS_CLASS.match(line):
-                end_of = _brace_end(self.lines, i)
-                owner = self.add("Class", m[1], i, end_of, [_relation("EXTENDS", m[2].split(".")[-1], "Class")] if m[2] else [])
-            elif owner and (m := _JS_METHOD.match(line)) and m[1] not in _NOT_CALLS:
-                inside = _brace_end(self.lines, i)
-                e = self.add("Method", m[1], i, inside)
-                e["relations"] = _calls(e["code"], m[1], "Method")
-                owner["relations"].append(_relation("HAS_METHOD", m[1], "Method"))
-            elif not owner and (m := _JS_FUNCTION.match(line)):
-                inside = _brace_end(self.lines, i)
-                e = self.add("Function", m[1] or m[2], i, inside)
-                e["relations"] = _calls(e["code"], m[1] or m[2], "Function")
+    known = files.select("repo", "branch", "file_path", "content", ast_language(F.col("file_path")).alias("language")).where("language is not null and content is not null")
+    return known.mapInPandas(run, f"{ENTITY}, error string")
 
-    typescript = javascript
 
-    def go(self) -> None:
-        inside = -1
-        for i, line in enumerate(self.lines):
-            if i <= inside:
-                continue
-            if m := _GO_TYPE.match(line):
-                inside = _brace_end(self.lines, i) if "{" in line else i
-                kind = "Interface" if m[2].startswith("interface") else "Struct"
-                e = self.add(kind, m[1], i, inside)
-                if kind == "Interface":
-                    for j in range(i + 1, inside):
-                        if n := _GO_METHOD.match(self.lines[j]):
-                            self.add("Method", n[1], j, j)
-                            e["relations"].append(_relation("HAS_METHOD", n[1], "Method"))
-            elif m := _GO_FUNCTION.match(line):
-                inside = _brace_end(self.lines, i)
-                kind = "Method" if m[1] else "Function"
-                e = self.add(kind, m[2], i, inside, doc=False)
-                e["relations"] = _calls(e["code"], m[2], "Function")
+def entities_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where("error is null").drop("error")
 
 
-def scan_source(source: str, language: str) -> list[dict]:
-    scan = Scan(source, language)
-    getattr(scan, language)()
-    return scan.found
+def rejects_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where("error is not null").select("repo", "branch", "file_path", "error")
 
 
 def scan_declarations(files: DataFrame) -> DataFrame:
-    """Files (repo, branch, file_path, content) to entities, by a line scanner for Python, Java, JavaScript, TypeScript and Go.
+    """Files (repo, branch, file_path, content) to entities of Python, Java, JavaScript, TypeScript and Go: a lexer and a stack of scopes over whole texts.
 
-    The contract is the entity table, not a grammar: line span, signature, comment above, code, relations. Other files give no rows; nor does
-    one that fails, which ``scan_rejects`` lists.
+    The contract is the entity table: line span, signature, comment above, code, annotations, relations.
     """
-    names = [f.split(" ")[0] for f in re.split(r", (?=\w+ (?:string|int|array))", ENTITY)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for repo, branch, path, content, language in pdf.itertuples(index=False):
-                try:
-                    found = scan_source(content, language)
-                except Exception:  # listed by scan_rejects
-                    found = []
-                out += [e | {"repo": repo, "branch": branch, "file_path": path} for e in found]
-            yield pd.DataFrame(out, columns=names)
-
-    known = files.select("repo", "branch", "file_path", "content", ast_language(F.col("file_path")).alias("language")).where("language is not null and content is not null")
-    return known.mapInPandas(run, ENTITY)
+    return entities_of(scan_files(files))
 
 
 def scan_rejects(files: DataFrame) -> DataFrame:
     """Files on which the scanner fails, with the reason."""
-
-    @F.pandas_udf("string")
-    def reason(content: pd.Series, language: pd.Series) -> pd.Series:
-        def why(text: str, name: str) -> str | None:
-            try:
-                scan_source(text, name)
-            except Exception as e:
-                return f"{type(e).__name__}: {e}"
-            return None
-
-        return pd.Series([why(t, x) for t, x in zip(content, language)], dtype=object)
-
-    known = files.withColumn("language", ast_language(F.col("file_path"))).where("language is not null and content is not null")
-    return known.select("repo", "branch", "file_path", reason("content", "language").alias("error")).where("error is not null")
+    return rejects_of(scan_files(files))
 
 
 def entities_from_json(raw: DataFrame, json: str = "json", language: str = "java") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltloom.functions.paths import is_supported, not_ignored
 from siltloom.operators.catalog import index_stats
-from siltloom.operators.entities import index_chunks, scan_declarations
+from siltloom.operators.entities import entities_of, index_chunks, rejects_of, scan_files
 from siltloom.operators.graph import merge_nodes, resolve_edges
 from siltloom.operators.sqlrefs import inline_sql
 from siltloom.operators.vectors import embed, validate_vectors
@@ -19,12 +19,14 @@ from siltloom.sources.tables import replace_slice, stored
 
 
 def index_repos(files: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: int) -> dict[str, DataFrame]:
-    """Files (repo, branch, file_path, content) of any number of slices to the tables chunks, nodes, edges and stats; ``rejects`` holds invalid vectors.
+    """Files (repo, branch, file_path, content) of any number of slices to the tables chunks, nodes, edges and stats; ``rejects`` holds invalid vectors,
+    ``file_rejects`` files that can't be scanned.
 
-    The files are scanned for entities once; these are stored, as chunks, nodes, edges and statistics all need them.
+    The files are scanned once; the result is stored, as chunks, nodes, edges, statistics and rejects all need it.
     """
     ok = non_blank(files.where(is_supported(F.col("file_path")) & not_ignored(F.col("file_path"))))
-    entities = stored(scan_declarations(ok))
+    scanned = stored(scan_files(ok))
+    entities = entities_of(scanned)
     plain = index_chunks(ok, entities)
     java = F.col("language") == "java"
     key = ["repo", "branch", "file_path", "position", "entity_id"]
@@ -32,7 +34,7 @@ def index_repos(files: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: in
     chunks = chunks.withColumn("chunk_id", F.sha1(F.concat_ws("\x01", "repo", "branch", "file_path", F.col("position").cast("string"), F.coalesce("entity_id", F.lit("")), F.sha1("text"))))
     good, bad = validate_vectors(embed(chunks, fn, dim), dim)
     nodes = merge_nodes(entities)
-    return {"chunks": good, "rejects": bad, "nodes": nodes, "edges": resolve_edges(entities, nodes), "stats": index_stats(ok, entities, chunks)}
+    return {"chunks": good, "rejects": bad, "file_rejects": rejects_of(scanned), "nodes": nodes, "edges": resolve_edges(entities, nodes), "stats": index_stats(ok, entities, chunks)}
 
 
 def store(tables: dict[str, DataFrame], root: str, slices: DataFrame) -> None:

@@ -651,13 +651,13 @@ def _declared_sql(*rows: str) -> str:
     line = lambda c: f"CAST({_LINES} + 1 + CAST({c} AS INTEGER) AS INTEGER)"
     return (
         f"WITH v(type, name, a, z, doc, signature, relations) AS (VALUES {values}) SELECT type, {fill('name')} AS name, {line('a')} AS start_line, {line('z')} AS end_line, "
-        f"{fill('doc')} AS docstring, {fill('signature')} AS signature, relations FROM documents CROSS JOIN v"
+        f"{fill('doc')} AS docstring, {fill('signature')} AS signature, replace(relations, '#', CAST(doc_id AS VARCHAR)) AS relations FROM documents CROSS JOIN v"
     )
 
 
-def _declared(spark, sf_dir, extension, code):
+def _declared(spark, sf_dir, extension, code, comment="// "):
     n = F.col("doc_id").cast("string")
-    content = F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")), F.lit("\n"), F.replace(F.lit(code), F.lit("#"), n))
+    content = F.concat(F.lit(comment), F.replace("text", F.lit("\n"), F.lit(f"\n{comment}")), F.lit("\n"), F.replace(F.lit(code), F.lit("#"), n))
     f = read(spark, sf_dir, "documents").select(F.lit("org/a").alias("repo"), F.lit("HEAD").alias("branch"), F.concat(n, F.lit(extension)).alias("file_path"), content.alias("content"))
     relations = F.array_join(F.transform("relations", lambda r: F.concat_ws(" ", r["type"], r["target_name"])), ",")
     return entities.scan_declarations(f).select("type", "name", "start_line", "end_line", "docstring", "signature", relations.alias("relations"))
@@ -691,6 +691,61 @@ def scan_go(spark, sf_dir):
     return _declared(spark, sf_dir, ".go", _GO_CODE)
 
 
+# The same with what a scanner of lines gets wrong: headers over several lines, braces on lines of their own and in comments and strings, annotations on the line, nested types.
+_JAVA_SHAPES = (
+    "import a.b;\n/* { */\npublic class A#<T extends Z>\n    extends Base<T>\n    implements p.Left, Right<T[]>\n{\n    static { boot(); }\n    int[] a, b[] = {1, 2};\n    @Override public String show() { return \"class N { \" + more(a); }\n"
+    "    A#(int x,\n         @Nullable String y)\n        throws IOException\n    {\n        // lost( {\n        call(x);\n        z();\n    }\n    enum E { ONE(1), TWO; int n; }\n    record P(int x) implements Q { }\n}"
+)
+_SCRIPT_SHAPES = (
+    "class A# extends ns.B {\n  x = () => { no() };\n  constructor(a,\n    b)\n  {\n    super(a);\n    call(`${b(1)} } {`);\n  }\n  get v() { return w(/[}]/); }\n}\nif (q) {\n  function f#() { const y = 1; r(); }\n}\nconst one = x => two(x)\n"
+    "run(() => { class D# extends A# { m() {} } });"
+)
+_GO_SHAPES = "type (\n  A# struct {\n    x int\n  }\n  B interface {\n    Get(x int) (int,\n      error)\n    Put()\n  }\n  C = int\n)\nfunc F#[T any](x map[string]struct{}) interface{} { return g(x, `func no() {`) }\nfunc (s *A#) M(\n  x int,\n) int {\n  h()\n}"
+_PYTHON_SHAPES = (
+    "T = ```\ndef no(): pass\n```\n@deco(\n  1)\nasync def f#(a={1: 2}):\n    def inner(): pass\n    return g(a)(\n1)\nclass A#(p.Base, metaclass=M):\n    x: int = 1\n    y == 2\n    class In(B):\n        def m(self): return self.q(')')\nif T:\n    def c(): pass".replace("`", '"')
+)
+
+
+@query(
+    _declared_sql(
+        "Class|A#|3|21|{ */|public class A#<T extends Z>\n    extends Base<T>\n    implements p.Left, Right<T[]>|EXTENDS Base,IMPLEMENTS Left,IMPLEMENTS Right,HAS_FIELD a,HAS_FIELD b,HAS_METHOD show,HAS_METHOD A#", "Field|a|8|8|||", "Field|b|8|8|||",
+        "Method|show|9|9||public String show()|CALLS more", "Method|A#|10|18||A#(int x,\n         @Nullable String y)\n        throws IOException|CALLS call,CALLS z", "Enum|E|19|19||enum E|HAS_FIELD ONE,HAS_FIELD TWO,HAS_FIELD n",
+        "Field|ONE|19|19|||", "Field|TWO|19|19|||", "Field|n|19|19|||", "Class|P|20|20||record P(int x) implements Q|IMPLEMENTS Q",
+    )
+)
+def scan_java_shapes(spark, sf_dir):
+    return _declared(spark, sf_dir, ".java", _JAVA_SHAPES)
+
+
+@query(
+    _declared_sql(
+        "Class|A#|1|10|@|class A# extends ns.B|EXTENDS B,HAS_METHOD constructor,HAS_METHOD v", "Method|constructor|3|8||constructor(a,\n    b)|CALLS call,CALLS b", "Method|v|9|9||get v()|CALLS w", "Function|f#|12|12||function f#()|CALLS r",
+        "Function|one|14|14||const one = x =>|CALLS two", "Class|D#|15|15||class D# extends A#|EXTENDS A#,HAS_METHOD m", "Method|m|15|15||m()|",
+    ).replace("nullif(replace(doc, '#', CAST(doc_id AS VARCHAR)), '')", "CASE WHEN doc = '@' THEN array_to_string(list_transform(string_split(text, chr(10))[-9:], lambda x: ltrim(ltrim('// ' || x, '/#-'))), chr(10)) END")
+)
+def scan_script_shapes(spark, sf_dir):
+    return _declared(spark, sf_dir, ".js", _SCRIPT_SHAPES)
+
+
+@query(
+    _declared_sql(
+        "Struct|A#|2|4||A# struct|", "Interface|B|5|9||B interface|HAS_METHOD Get,HAS_METHOD Put", "Method|Get|6|7||Get(x int) (int,\n      error)|", "Method|Put|8|8||Put()|",
+        "Function|F#|12|12||func F#[T any](x map[string]struct{}) interface{}|CALLS g", "Method|M|13|17||func (s *A#) M(\n  x int,\n) int|CALLS h",
+    )
+)
+def scan_go_shapes(spark, sf_dir):
+    return _declared(spark, sf_dir, ".go", _GO_SHAPES)
+
+
+@query(
+    _declared_sql(
+        "Function|f#|6|9||async def f#(a={1: 2})|CALLS g", "Class|A#|10|14||class A#(p.Base, metaclass=M)|EXTENDS Base,HAS_FIELD x", "Field|x|11|11|||", "Class|In|13|14||class In(B)|EXTENDS B,HAS_METHOD m", "Method|m|14|14||def m(self)|CALLS q", "Function|c|16|16||def c()|",
+    )
+)
+def scan_python_shapes(spark, sf_dir):
+    return _declared(spark, sf_dir, ".py", _PYTHON_SHAPES, "# ")
+
+
 @query("SELECT doc_id, 'Class' AS type, 'J' || doc_id AS name, 'java' AS language, 0 AS start_line, md5(text) AS digest, 0 AS n_relations FROM documents")
 def entities_from_json(spark, sf_dir):
     body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("J"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("code"))).alias("entities")))

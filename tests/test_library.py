@@ -13,7 +13,8 @@ from siltloom.functions import paths as P
 from siltloom.functions import text as T
 from siltloom.operators import chunking as C
 from siltloom.operators import graph as G
-from siltloom.operators.entities import docstring_before, index_chunks, scan_declarations, scan_source
+from siltloom.operators.entities import index_chunks, scan_declarations
+from siltloom.operators.scopes import docstring_before, scan_source
 from siltloom.operators.sqlrefs import inline_sql, references, resolve_sql_refs
 from siltloom.operators.vectors import embed, hashed_embedding, validate_vectors, vector_topk
 from siltloom.plans import retrieve as R
