@@ -708,9 +708,9 @@ _PYTHON_SHAPES = (
 
 @query(
     _declared_sql(
-        "Class|A#|3|21|{ */|public class A#<T extends Z>\n    extends Base<T>\n    implements p.Left, Right<T[]>|EXTENDS Base,IMPLEMENTS Left,IMPLEMENTS Right,HAS_FIELD a,HAS_FIELD b,HAS_METHOD show,HAS_METHOD A#", "Field|a|8|8|||", "Field|b|8|8|||",
-        "Method|show|9|9||public String show()|CALLS more", "Method|A#|10|18||A#(int x,\n         @Nullable String y)\n        throws IOException|CALLS call,CALLS z", "Enum|E|19|19||enum E|HAS_FIELD ONE,HAS_FIELD TWO,HAS_FIELD n",
-        "Field|ONE|19|19|||", "Field|TWO|19|19|||", "Field|n|19|19|||", "Class|P|20|20||record P(int x) implements Q|IMPLEMENTS Q",
+        "Class|A#|3|20|{ */|public class A#<T extends Z>\n    extends Base<T>\n    implements p.Left, Right<T[]>|EXTENDS Base,IMPLEMENTS Left,IMPLEMENTS Right,HAS_FIELD a,HAS_FIELD b,HAS_METHOD show,HAS_METHOD A#", "Field|a|8|8|||", "Field|b|8|8|||",
+        "Method|show|9|9||public String show()|CALLS more", "Method|A#|10|17||A#(int x,\n         @Nullable String y)\n        throws IOException|CALLS call,CALLS z", "Enum|E|18|18||enum E|HAS_FIELD ONE,HAS_FIELD TWO,HAS_FIELD n",
+        "Field|ONE|18|18|||", "Field|TWO|18|18|||", "Field|n|18|18|||", "Class|P|19|19||record P(int x) implements Q|IMPLEMENTS Q",
     )
 )
 def scan_java_shapes(spark, sf_dir):
