@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltloom.functions.text import entity_id
+from siltloom.sources.tables import stored
 
 #: Relation types that a neighbourhood follows.
 FOLLOWED = ("EXTENDS", "IMPLEMENTS", "HAS_METHOD", "HAS_FIELD", "CALLS", "INJECTED")
@@ -53,6 +56,88 @@ def resolve_edges(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.join(dst, ["repo", "branch", "target_name"]).select("repo", "branch", "src_id", "rel_type", "dst_id", "properties")
 
 
+@dataclass(frozen=True)
+class Links:
+    """Edges in two parts that meet in groups: ``refs`` (id, rel_type, group) lead from a source to a group, ``members`` (group, id) from there to its nodes.
+
+    A source and each node of its group are an edge. A name with m sources and n nodes takes m + n rows here, not m x n.
+    """
+
+    refs: DataFrame
+    members: DataFrame
+
+
+def links(entities: DataFrame, nodes: DataFrame) -> Links:
+    """The edges of ``resolve_edges`` by target name, not multiplied out: a group is a name in a repo and branch."""
+    group = F.concat_ws("\x01", "repo", "branch", "name")
+    refs = relations(entities).withColumnRenamed("target_name", "name").select(F.col("src_id").alias("id"), "rel_type", group.alias("group")).distinct()
+    members = nodes.select(group.alias("group"), "id")
+    return Links(refs, members.join(refs.select("group").distinct(), "group", "left_semi"))
+
+
+def links_of(edges: DataFrame) -> Links:
+    """Edges (src_id, rel_type, dst_id) whose groups are their destinations."""
+    refs = edges.select(F.col("src_id").alias("id"), "rel_type", F.col("dst_id").alias("group")).distinct()
+    return Links(refs, refs.select("group", F.col("group").alias("id")).distinct())
+
+
+def edges_of(found: Links) -> DataFrame:
+    """(src_id, rel_type, dst_id), multiplied out: for a part of the graph that is known to be small."""
+    return found.refs.select(F.col("id").alias("src_id"), "rel_type", "group").join(found.members.select("group", F.col("id").alias("dst_id")), "group").select("src_id", "rel_type", "dst_id")
+
+
+def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
+    """(query_id, seed_id, id, distance): the smallest distance from 1 to ``depth`` (5 at most) of each node that a trail from the seed (query_id, id) reaches,
+    over undirected edges of the followed types; the seed's own row is its shortest closed trail. The rows of ``nearest(expand(...))`` by seed.
+
+    Breadth-first, a level at a time. A hop goes from nodes to groups and from groups to nodes; levels and groups are stored, and what was met before is
+    dropped, so that the work grows with the nodes reached and the links they have, whatever the number of trails. A node's neighbours are of its own level, the one before or
+    the one after: only two levels are looked up. For the closed trails each node carries the smallest and largest first edge of its shortest trails: where
+    both differ at level h, two trails meet and close after 2h edges; where an edge joins two nodes of level h with different first edges, after 2h + 1.
+    For these a group is met once more one level after it was met first.
+    """
+    depth = max(1, min(5, depth))
+    refs = stored(found.refs.where(F.col("rel_type").isin(*FOLLOWED)))
+    members = found.members
+    key = ["query_id", "seed_id"]
+    at = seeds.select("query_id", F.col("id").alias("seed_id"), "id").distinct()
+    none = F.lit(None).cast("long")
+    level = [stored(at.select(*key, "id", none.alias("lo"), none.alias("hi")))]
+    groups: list[DataFrame] = []
+    closed = None
+    reached = None
+    firsts = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    for hop in range(1, depth + 1):
+        down = level[-1].join(refs, "id").select(*key, "group", F.lit(True).alias("down"), F.col("rel_type") if hop == 1 else F.lit(None).cast("string").alias("rel_type"), "lo", "hi")
+        up = level[-1].join(members, "id").select(*key, "group", F.lit(False), F.lit(None).cast("string"), "lo", "hi")
+        met = down.union(up).groupBy(*key, "group", "down", "rel_type").agg(*firsts)
+        for old in groups[:-1]:
+            met = met.join(old.select(*key, "group", "down"), [*key, "group", "down"], "left_anti")
+        groups.append(stored(met))
+        below = groups[-1].where("down").join(members, "group")
+        above = groups[-1].where("not down").drop("rel_type").join(refs, "group")
+        if hop == 1:  # an edge's number
+            below = below.withColumn("lo", F.xxhash64("seed_id", "rel_type", "id")).withColumn("hi", F.col("lo"))
+            above = above.withColumn("lo", F.xxhash64("id", "rel_type", "seed_id")).withColumn("hi", F.col("lo"))
+        step = below.select(*key, "id", "lo", "hi").union(above.select(*key, "id", "lo", "hi")).groupBy(*key, "id").agg(*firsts)
+        known = [(len(level) - 1 - i, t) for i, t in enumerate(reversed(level[-2:]))]
+        table = known[0][1].select(*key, "id", F.lit(known[0][0]).alias("was"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
+        for n, t in known[1:]:
+            table = table.union(t.select(*key, "id", F.lit(n), "lo", "hi"))
+        step = stored(step.join(table, [*key, "id"], "left"))
+        new = step.where("was is null and id <> seed_id").select(*key, "id", "lo", "hi")
+        loops = step.where("id = seed_id").select(*key, F.lit(1).alias("distance")) if hop == 1 else step.where(f"was = {hop - 1} and id <> seed_id and (least(lo, lo0) <> greatest(hi, hi0))").select(*key, F.lit(2 * hop - 1).alias("distance"))
+        pairs = new.where("lo <> hi").select(*key, F.lit(2 * hop).alias("distance"))
+        closed = loops.union(pairs) if closed is None else closed.union(loops).union(pairs)
+        level.append(new)
+        here = new.select(*key, "id", F.lit(hop).alias("distance"))
+        reached = here if reached is None else reached.union(here)
+        if hop < depth and new.isEmpty():
+            break
+    own = closed.groupBy(*key).agg(F.min("distance").alias("distance")).where(F.col("distance") <= depth)
+    return reached.union(own.select(*key, F.col("seed_id").alias("id"), "distance"))
+
+
 def edge_fanout(entities: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """Target names that several nodes of a slice have: how many nodes and how many relations meet there."""
     n = nodes.groupBy("repo", "branch", "name").agg(F.count("*").alias("n_nodes")).where(F.col("n_nodes") >= least)

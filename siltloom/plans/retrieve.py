@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltloom.functions import text as T
 from siltloom.functions.paths import in_mirror
-from siltloom.operators.graph import entity_with_relations, expand, lookup_names, nearest
+from siltloom.operators.graph import Links, entity_with_relations, links_of, lookup_names, nearest, neighbourhood
 from siltloom.operators.vectors import vector_topk
 
 HIT = ("repo", "branch", "file_path", "language", "text", "entity_id", "ast_type", "ast_name", "ast_signature")
@@ -43,9 +43,10 @@ def search_augmented(queries: DataFrame, chunks: DataFrame, limit: int = 50, max
     return best.join(chunks.drop("embedding"), ["repo", "branch", "file_path"])
 
 
-def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """Neighbours of seed entities: (query_id, key, distance), the smallest one."""
-    return nearest(expand(seeds, nodes, edges, depth)).withColumnRenamed("id", "key")
+def graph_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Links, depth: int = 2) -> DataFrame:
+    """Neighbours of seed entities: (query_id, key, distance), the smallest one. Edges may be resolved ones or links by name."""
+    near = neighbourhood(seeds, edges if isinstance(edges, Links) else links_of(edges), depth)
+    return nearest(near).join(nodes.select("id"), "id", "left_semi").withColumnRenamed("id", "key")
 
 
 def fuse(hits: DataFrame) -> DataFrame:

@@ -320,6 +320,30 @@ def expand_3(spark, sf_dir):
     return graph.nearest(graph.expand(seeds, nodes, edges, 3))
 
 
+@query(
+    f"WITH RECURSIVE {_TRADE}, s AS (SELECT n_nationkey AS query_id, 'nation:' || n_nationkey AS id FROM nation), p(query_id, seed, id, distance) AS (SELECT query_id, id, id, 0 FROM s UNION SELECT p.query_id, p.seed, u.b, p.distance + 1 FROM p JOIN u ON u.a = p.id WHERE p.distance < 5) "
+    "SELECT query_id, id, min(distance) AS distance FROM p WHERE id <> seed GROUP BY ALL"
+)
+def expand_5(spark, sf_dir):
+    """The trade graph is a forest, so that no seed lies on a closed trail."""
+    _, edges = trade_graph(spark, sf_dir)
+    seeds = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
+    return graph.nearest(graph.neighbourhood(seeds, graph.links_of(edges), 5))
+
+
+@query(
+    f"WITH {ENTITIES}, r AS (SELECT DISTINCT id, repo, branch, unnest(words) AS w FROM nodes), u AS (SELECT r.id AS a, n.id AS b, r.id || ':' || n.id AS e FROM r JOIN nodes n ON n.repo = r.repo AND n.branch = r.branch AND n.name = r.w), "
+    "b AS (SELECT a, b, e FROM u UNION ALL SELECT b, a, e FROM u WHERE a <> b), s AS (SELECT id FROM nodes WHERE doc_id % 100 = 0) "
+    "SELECT id AS seed_id, b AS id, min(d) AS distance FROM (SELECT s.id, x.b, 1 AS d FROM s JOIN b x ON x.a = s.id UNION SELECT s.id, y.b, 2 FROM s JOIN b x ON x.a = s.id JOIN b y ON y.a = x.b AND y.e <> x.e) GROUP BY ALL"
+)
+def neighbours_by_name(spark, sf_dir):
+    """Neighbourhoods of each hundredth document's entity over links by name that are never multiplied out."""
+    e = doc_entities(spark, sf_dir)
+    nodes = graph.merge_nodes(e)
+    seeds = nodes.where(F.regexp_extract("file_path", r"_(\d+)\.", 1).cast("long") % 100 == 0).select(F.lit(0).alias("query_id"), "id")
+    return graph.neighbourhood(seeds, graph.links(e, nodes), 2).drop("query_id")
+
+
 # Vectors as entities of a binary tree: e<n> calls e<n // 2>; odd vectors have no entity.
 @query(
     f"WITH {CHUNKS}, {topk_sql(36)}, v AS (SELECT h.query_id, CASE WHEN h.chunk_id % 2 = 0 THEN 'e' || h.chunk_id ELSE h.repo || ':' || h.branch || ':' || h.file_path || ':' || (h.chunk_id // 50) END AS key, h.chunk_id, s FROM hits h), "

@@ -17,12 +17,21 @@ def drop_slices(table: DataFrame, slices: DataFrame) -> DataFrame:
     return table.join(s, (F.col("repo") == F.col("__r")) & (F.col("__b").isNull() | (F.col("branch") == F.col("__b"))), "left_anti")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir; where that is unset in local mode a temporary one, on a cluster an error."""
+def _own_folder(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='siltloom-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{(base or f'{tempfile.gettempdir()}/siltloom').rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir; where that is unset in local mode below the temporary folder, on a cluster an error."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables that ``stored`` wrote in this application; results that weren't written or read yet can't be read any more."""
+    _remove(spark, _own_folder(spark))
 
 
 def stored(df: DataFrame) -> DataFrame:

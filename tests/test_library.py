@@ -13,7 +13,7 @@ from siltloom.functions import paths as P
 from siltloom.functions import text as T
 from siltloom.operators import chunking as C
 from siltloom.operators import graph as G
-from siltloom.operators.entities import index_chunks, scan_declarations
+from siltloom.operators.entities import RELATION, index_chunks, scan_declarations
 from siltloom.operators.scopes import docstring_before, scan_source
 from siltloom.operators.sqlrefs import inline_sql, references, resolve_sql_refs
 from siltloom.operators.vectors import embed, hashed_embedding, validate_vectors, vector_topk
@@ -160,6 +160,45 @@ def test_trails(spark, seed):
     assert len(ordered) == len(want) and ordered == sorted(ordered)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbourhood_is_the_nearest_of_all_trails(spark, seed):
+    """Self-loops, parallel edges of other types and directions, cycles of three to five edges, several seeds a query."""
+    rng = random.Random(seed)
+    edges = sorted({(rng.choice("abcdefgh"), rng.choice(("CALLS", "EXTENDS", "OTHER")), rng.choice("abcdefgh")) for _ in range(8 + seed)})
+    nodes = spark.createDataFrame([(x, x) for x in sorted({v for a, _, b in edges for v in (a, b)})], "id string, name string")
+    table = spark.createDataFrame(edges, "src_id string, rel_type string, dst_id string")
+    seeds = spark.createDataFrame([(i % 3, x) for i, x in enumerate("abcdefgh")], "query_id int, id string")
+    for depth in (1, 2, 5):
+        want = G.expand(seeds, nodes, table, depth).groupBy("query_id", "seed_id", "id").agg(F.min("distance").alias("distance"))
+        assert {tuple(r) for r in G.neighbourhood(seeds, G.links_of(table), depth).collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_are_the_resolved_edges(spark, seed):
+    rng = random.Random(seed)
+    relation = lambda: {"type": rng.choice(("CALLS", "EXTENDS", "OTHER")), "target_name": rng.choice(("A", "B", "C", "D", "")), "target_type": "Class", "properties": {}}
+    rows = [("Class", rng.choice("ABCD"), f"f{i % 7}", f"r{i % 2}", "b", [relation() for _ in range(rng.randrange(3))]) for i in range(12)]
+    e = spark.createDataFrame(rows, f"type string, name string, file_path string, repo string, branch string, relations {RELATION}")
+    for c in ("language", "signature", "docstring", "code"):
+        e = e.withColumn(c, F.lit(""))
+    e = e.withColumns({"start_line": F.lit(1), "end_line": F.lit(1), "annotations": F.array().cast("array<string>")})
+    nodes = G.merge_nodes(e)
+    edges, found = G.resolve_edges(e, nodes), G.links(e, nodes)
+    assert {tuple(r) for r in G.edges_of(found).collect()} == {tuple(r) for r in edges.select("src_id", "rel_type", "dst_id").collect()}
+    seeds = nodes.select(F.lit(1).alias("query_id"), "id")
+    want = G.expand(seeds, nodes, edges, 4).groupBy("query_id", "seed_id", "id").agg(F.min("distance").alias("distance"))
+    assert {tuple(r) for r in G.neighbourhood(seeds, found, 4).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_a_hot_name_costs_sources_plus_nodes(spark):
+    """300 sources call a name that 400 nodes have: 120,000 edges are never made."""
+    n, sources = 400, 300
+    refs = spark.range(sources).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("CALLS").alias("rel_type"), F.lit("hot").alias("group"))
+    members = spark.range(n).select(F.lit("hot").alias("group"), F.concat(F.lit("n"), "id").alias("id"))
+    found = G.neighbourhood(spark.createDataFrame([(1, "s0")], "query_id int, id string"), G.Links(refs, members), 2)
+    assert found.groupBy("distance").count().orderBy("distance").collect() == [(1, n), (2, sources - 1)]  # the shortest closed trail of s0 has four edges
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 8))
