@@ -59,11 +59,10 @@ def sturm_counts(d: np.ndarray, e: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many eigenvalues lie below each of ``at``: sign changes of the Sturm sequence."""
     tiny = np.finfo(float).tiny
     least = np.maximum(np.finfo(float).eps * (np.abs(d).max(initial=0) + 2 * np.abs(e).max(initial=0)), tiny) * 1e-3
-    q = d[0] - at
-    count = (q < 0).astype(np.int64)
-    for i in range(1, len(d)):
-        q = np.where(np.abs(q) < least, -least, q)
-        q = d[i] - at - e[i - 1] ** 2 / q
+    count = np.zeros(len(at), np.int64)
+    for i in range(len(d)):
+        q = d[i] - at - (e[i - 1] ** 2 / q if i else 0)
+        q = np.where(np.abs(q) < least, -least, q)  # as if ``at`` lay a little higher
         count += q < 0
     return count
 
