@@ -55,4 +55,24 @@ vertices AS (SELECT doc_id AS v FROM d), {_COMPONENTS}
 SELECT v AS doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, v = root AS kept FROM roots LEFT JOIN sizes ON v = doc_id
 """
 
-ORACLES = {"op3_pivot_permutations": PIVOTS, "op7_prefix_suffix_trees": SUBSTRINGS, "op8_aho_corasick": OVERLAPS, "op9_fast_similarity_sketch": NEAR}
+
+
+def _clusters(rounds: int = 5) -> str:
+    """k rows, then in turn assignments a0, a1, ... to centroids c0, c1, ... and the floors of their means."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (k.x[i] - m.x[i]) * (k.x[i] - m.x[i])))"
+    parts = [
+        "k AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda y: CAST(floor(256 * y) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT x, sha256('2:' || vec_id) AS h FROM k) QUALIFY row_number() OVER (ORDER BY h, x) <= 40)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT k.vec_id, k.x, m.c, CAST({gap} AS BIGINT) AS d FROM k CROSS JOIN c{r} m) GROUP BY vec_id)")
+        means = f"SELECT c, list(v ORDER BY i) AS x FROM (SELECT c, i, CAST((s - (s % n + n) % n) // n AS BIGINT) AS v FROM (SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) t(i) GROUP BY c, i)) GROUP BY c"
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT m.c, coalesce(n.x, m.x) AS x FROM c{r} m LEFT JOIN ({means}) n USING (c))")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(m.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} m USING (c)"
+    )
+
+
+ORACLES = {"op13_threshold_algorithm": _clusters(), "op3_pivot_permutations": PIVOTS, "op7_prefix_suffix_trees": SUBSTRINGS, "op8_aho_corasick": OVERLAPS, "op9_fast_similarity_sketch": NEAR}
