@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EMBED_LIMIT, BATCH = 20000, 25
-#: Bytes of query vectors that one pass broadcasts; more queries are scored in several passes over the chunks.
+#: Bytes of query vectors that are broadcast; beyond that queries and chunks meet in blocks.
 QUERY_BYTES = 64 << 20
+#: Bytes of the chunk vectors that a task holds then, and the queries that it scores at once.
+BLOCK_BYTES, QUERIES = 64 << 20, 256
 
 
 def fit_dim(vector: Column, dim: int) -> Column:
@@ -77,64 +81,132 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
+class Best:
+    """The k best (score, then chunk id) for each query of a block, kept as columns and cut back when they grow."""
+
+    def __init__(self, queries: pa.Table | pa.RecordBatch, k: int):
+        v = queries.column("vector").to_pylist()
+        self.dim, self.k = max(map(len, v)), k
+        self.fits = np.array([len(x) == self.dim for x in v])
+        self.m = unit(np.array([x if len(x) == self.dim else [0.0] * self.dim for x in v], np.float64))
+        self.ids, self.scopes = queries.column("query_id"), list(zip(queries.column("repo").to_pylist(), queries.column("branch").to_pylist()))
+        self.kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.size = 0
+
+    def add(self, x: np.ndarray, ids: pa.Array, repo: pa.Array, branch: pa.Array) -> None:
+        """Chunks of unit vectors. A query's candidates of this block are those not below its k-th best here; ties all stay for now."""
+        s = np.round(self.m @ x.T, 12)  # the order of additions, which hangs on the block's shape, must not part equal scores
+        s[~self.fits] = -np.inf
+        for r, b in set(self.scopes) - {(None, None)}:
+            out = np.zeros(len(x), bool)
+            for want, own in ((r, repo), (b, branch)):
+                if want is not None:
+                    out |= ~pc.fill_null(pc.equal(own, want), False).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero([scope == (r, b) for scope in self.scopes])
+            s[np.ix_(rows, out)] = -np.inf
+        k = min(self.k, s.shape[1])
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        q, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        self.kept.append((q, s[q, j], ids.take(pa.array(j))))
+        self.size += len(q)
+        if self.size > 4 * self.k * len(self.scopes) + 100_000:
+            self.cut()
+
+    def cut(self) -> pa.RecordBatch:
+        q, s = np.concatenate([a for a, *_ in self.kept]), np.concatenate([b for _, b, _ in self.kept])
+        ids = pa.concat_arrays([c for *_, c in self.kept])
+        rank = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+        order = np.lexsort((rank, -s, q))
+        first = np.searchsorted(q[order], q[order])  # where the query's rows begin
+        order = order[np.arange(len(order)) - first < self.k]
+        self.kept, self.size = [(q[order], s[order], ids.take(pa.array(order)))], len(order)
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(q[order])), self.kept[0][2], pa.array(s[order])], ["query_id", "chunk_id", "score"])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(norm > 0, x / np.where(norm == 0, 1, norm), 0)
+
+
+def _same_length(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of those with ``dim`` numbers."""
+    ok = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    return ok, unit(pc.list_flatten(column.take(pa.array(ok))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "embedding", query_bytes: int = QUERY_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` best chunks by cosine for each query: (query_id, chunk_id, score, rank), exact, ties by chunk_id.
 
-    queries: (query_id, vector, repo?, branch?), filters null for any; chunks: (chunk_id, repo, branch, embedding). Chunk vectors never move:
-    each task multiplies its Arrow batches with the broadcast queries and keeps its own best k, so that only k rows a query and task are
-    shuffled for the final ranking. Queries are broadcast in passes of a fixed number of bytes; the driver holds one pass at a time.
+    queries: (query_id, vector, repo?, branch?), filters null for any; chunks: (chunk_id, repo, branch, embedding). The queries are counted first. Up to ``query_bytes``
+    of them are broadcast: chunk vectors then stay where they are. More never pass through the driver: chunks are dealt once by hash to groups of ``block_bytes``, queries go to each group,
+    and a task holds one group's matrix while blocks of queries stream past it. Both ways scan the chunks once, whatever the number of queries; each block of chunks gives k rows a query, which are
+    ranked at last. Scores are rounded to 12 digits. A chunk whose vector is null or of another length, and a query whose vector is null, give no rows.
     """
-    spark = chunks.sparkSession
-    named = queries.select("query_id", "vector", *[(F.col(c) if c in queries.columns else F.lit(None)).cast("string").alias(c) for c in ("repo", "branch")])
-    rows = named.select("query_id", "vector", "repo", "branch").where("vector is not null").orderBy("query_id").toLocalIterator()
-
-    def passes() -> Iterator[list]:
-        part, held = [], 0
-        for r in rows:
-            held += 8 * len(r["vector"])
-            if held > QUERY_BYTES and part:
-                yield part
-                part, held = [], 8 * len(r["vector"])
-            part.append((r["query_id"], np.asarray(r["vector"], np.float64), r["repo"], r["branch"]))
-        if part:
-            yield part
-
-    id_type, query_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    found = spark.createDataFrame([], schema)
-    for part in passes():
-        sent = spark.sparkContext.broadcast(part)  # kept in a file, not in the driver's memory
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q = sent.value
-            m = np.stack([v for _, v, _, _ in q])
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            top: list[pd.DataFrame | None] = [None] * len(q)
-            for pdf in batches:
-                pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == m.shape[1])]
-                if not len(pdf):
-                    continue
-                x = np.stack([np.asarray(v, np.float64) for v in pdf[vector]])
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = m @ np.where(norm > 0, x / np.where(norm == 0, 1, norm), 0).T
-                ids, repo, branch = pdf["chunk_id"].to_numpy(), pdf["repo"].to_numpy(), pdf["branch"].to_numpy()
-                for i, (_, _, r, b) in enumerate(q):
-                    ok = np.ones(len(ids), bool)
-                    if r is not None:
-                        ok &= repo == r
-                    if b is not None:
-                        ok &= branch == b
-                    s = scores[i][ok]
-                    near = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
-                    if len(s) > k:
-                        near = np.flatnonzero(s >= s[near].min())  # ties at the end are settled below
-                    own = pd.DataFrame({"chunk_id": ids[ok][near], "score": s[near]})
-                    own = own if top[i] is None else pd.concat([top[i], own])
-                    top[i] = own.sort_values(["score", "chunk_id"], ascending=[False, True]).head(k)
-            for (query_id, *_), own in zip(q, top):
-                if own is not None and len(own):
-                    yield own.assign(query_id=query_id)[["query_id", "chunk_id", "score"]]
-
-        found = found.union(chunks.select("chunk_id", "repo", "branch", vector).mapInPandas(best, schema))
+    named = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *[(F.col(c) if c in queries.columns else F.lit(None)).cast("string").alias(c) for c in ("repo", "branch")]).where("vector is not null")
+    own = chunks.select("chunk_id", F.col("repo").cast("string").alias("repo"), F.col("branch").cast("string").alias("branch"), F.col(vector).cast("array<double>").alias("v"))
+    n, dim = named.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    found = _in_place(named, own, k) if n * max(1, dim) * 8 <= query_bytes else _in_blocks(named, own, k, max(1, dim), block_bytes)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
     return ranked.where(F.col("rank") <= k)
+
+
+def _schema(queries: DataFrame, chunks: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+
+
+def _in_place(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    held = queries.sparkSession.sparkContext.broadcast(queries.orderBy("query_id").toArrow())  # counted before
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value.combine_chunks()
+        lengths = sorted({len(v) for v in asked.column("vector").to_pylist()} - {0})
+        best = [(d, Best(asked.filter(pc.equal(pc.list_value_length(asked.column("vector")), d)).combine_chunks().to_batches()[0], k)) for d in lengths]
+        for batch in batches:
+            for d, b in best:
+                ok, x = _same_length(batch.column("v"), d)
+                if len(ok):
+                    at = pa.array(ok)
+                    b.add(x, batch.column("chunk_id").take(at), batch.column("repo").take(at), batch.column("branch").take(at))
+        for _, b in best:
+            if b.kept:
+                yield b.cut()
+
+    return chunks.mapInArrow(run, _schema(queries, chunks))
+
+
+def _in_blocks(queries: DataFrame, chunks: DataFrame, k: int, dim: int, block_bytes: int) -> DataFrame:
+    """Rows of a group come sorted, its chunks before the queries."""
+    groups = max(1, -(-chunks.count() * dim * 8 // block_bytes))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    left = chunks.select(F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "chunk_id", none(queries, "query_id"), "repo", "branch", F.col("v").alias("vector"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), none(chunks, "chunk_id"), "query_id", "repo", "branch", "vector")
+    together = left.unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, matrices = None, [], {}
+        for batch in batches:
+            g, kind = batch.column("g").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if g[a] != group:
+                    group, held, matrices = g[a], [], {}
+                if kind[a] == 0:
+                    held.append(part)
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks() if held else None
+                held = [table.to_batches()[0]] if table is not None and table.num_rows else []
+                for at in range(0, part.num_rows if held else 0, QUERIES):
+                    some = part.slice(at, QUERIES)
+                    lengths = pc.list_value_length(some.column("vector"))
+                    for d in sorted(set(lengths.to_pylist()) - {0}):
+                        if d not in matrices:
+                            matrices[d] = _same_length(held[0].column("vector"), d)
+                        ok, x = matrices[d]
+                        if len(ok):
+                            best, of = Best(some.filter(pc.equal(lengths, d)), k), pa.array(ok)
+                            best.add(x, held[0].column("chunk_id").take(of), held[0].column("repo").take(of), held[0].column("branch").take(of))
+                            if best.kept:
+                                yield best.cut()
+
+    return together.mapInArrow(run, _schema(queries, chunks))

@@ -212,7 +212,28 @@ def test_topk_against_brute_force(spark):
         got = [r.chunk_id for r in vector_topk(q, chunks, 5).where(F.col("query_id") == i).orderBy("rank").collect()]
         assert got == want
     plan = vector_topk(q, chunks, 5)._jdf.queryExecution().toString()
-    assert plan.index("MapInPandas") > plan.index("Window")  # vectors stay below the only exchange
+    assert plan.index("MapInArrow") > plan.index("Window")  # vectors stay below the only exchange
+
+
+@pytest.mark.parametrize("block", [1 << 30, 2000, 1])
+def test_topk_with_more_queries_than_a_broadcast(spark, block, tmp_path):
+    """Both ways give the same rows, ties, scopes, unlike lengths and nulls included; the chunks are scanned once."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 6)).astype(float)  # many ties
+    rows = [(i, f"r{i % 3}" if i % 7 else None, "b" if i % 2 else "c", x.tolist()) for i, x in enumerate(v)] + [(900, "r0", "b", None), (901, "r0", "b", [1.0]), (902, "r1", "c", [float(i) for i in range(4)])]
+    spark.createDataFrame(rows, "chunk_id int, repo string, branch string, embedding array<float>").write.parquet(f"{tmp_path}/c")
+    chunks = spark.read.parquet(f"{tmp_path}/c")
+    asked = [(i, v[i].tolist(), f"r{i % 4}" if i % 3 == 0 else None, "b" if i % 5 == 0 else None) for i in range(290)] + [(500, None, None, None), (501, [2.0], None, None), (502, [1.0, 2.0, 0.0, 1.0], None, "c"), (503, [], None, None), (504, [0.0] * 6, None, None)]
+    q = spark.createDataFrame(asked, "query_id int, vector array<double>, repo string, branch string")
+    want = sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in vector_topk(q, chunks, 5).collect())
+    blocked = vector_topk(q, chunks, 5, query_bytes=100, block_bytes=block)
+    assert sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in blocked.collect()) == want
+    assert {r[0] for r in want} == {*range(290), 501, 502, 504} - {i for i in range(290) if i % 3 == 0 and i % 4 == 3}
+    for i in (1, 6, 15, 20):
+        u = lambda x: x / (np.linalg.norm(x) or 1)
+        ok = [j for j in range(300) if (asked[i][2] is None or rows[j][1] == asked[i][2]) and (asked[i][3] is None or rows[j][2] == "b")]
+        assert [r[2] for r in want if r[0] == i] == sorted(ok, key=lambda j: (-round(u(v[i]) @ u(v[j]), 12), j))[:5]
+    assert vector_topk(q, chunks, 5, query_bytes=100)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_embedding_and_checks(spark):
