@@ -15,12 +15,13 @@ IGNORED = "node_modules .git dist build __pycache__ .next coverage vendor packag
 MIRROR_EXTENSIONS = ".java .sql .xml .properties .yml .yaml .json .html .js .ts .py .md .txt .jsp .jspf".split()
 MIRROR_IGNORED = ".git node_modules __pycache__ target build dist .next coverage vendor".split()
 LANGUAGES = {
-    "python": ".py", "javascript": ".js .jsx", "typescript": ".ts .tsx", "java": ".java", "csharp": ".cs", "go": ".go", "ruby": ".rb", "php": ".php",
-    "sql": ".sql .plsql .pks .pkb", "graphql": ".graphql", "protobuf": ".proto", "markdown": ".md", "text": ".txt", "html": ".html .htm", "css": ".css",
-    "scss": ".scss", "sass": ".sass", "less": ".less", "json": ".json", "xml": ".xml", "yaml": ".yaml .yml", "properties": ".properties", "conf": ".conf",
-    "cfg": ".cfg", "ini": ".ini", "jsp": ".jsp .jspf .tag", "vue": ".vue", "svelte": ".svelte", "freemarker": ".ftl", "handlebars": ".hbs",
-    "mustache": ".mustache", "twig": ".twig", "shell": ".sh .bash .zsh", "powershell": ".ps1", "batch": ".bat .cmd", "dockerfile": ".dockerfile", "env": ".env",
-    "gitignore": ".gitignore", "gitattributes": ".gitattributes",
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cs": "csharp",
+    ".go": "go", ".rb": "ruby", ".php": "php", ".sql": "sql", ".plsql": "sql", ".pks": "sql", ".pkb": "sql", ".graphql": "graphql",
+    ".proto": "protobuf", ".md": "markdown", ".txt": "text", ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".sass": "sass",
+    ".less": "less", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".properties": "properties", ".conf": "conf", ".cfg": "cfg",
+    ".ini": "ini", ".jsp": "jsp", ".jspf": "jsp", ".tag": "jsp", ".vue": "vue", ".svelte": "svelte", ".ftl": "freemarker", ".hbs": "handlebars",
+    ".mustache": "mustache", ".twig": "twig", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".ps1": "powershell", ".bat": "batch",
+    ".cmd": "batch", ".dockerfile": "dockerfile", ".env": "env", ".gitignore": "gitignore", ".gitattributes": "gitattributes",
 }
 AST_LANGUAGES = {"java": "java", "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "go": "go"}
 
@@ -57,8 +58,7 @@ def in_mirror(path: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    by_extension = {e: name for name, all_of in LANGUAGES.items() for e in all_of.split()}
-    return F.coalesce(F.try_element_at(_map(by_extension), extension(path)), F.lit("text"))
+    return F.coalesce(F.try_element_at(_map(LANGUAGES), extension(path)), F.lit("text"))
 
 
 def ast_language(path: Column) -> Column:

@@ -21,6 +21,7 @@ REPO_LIST = r"(?i)^\s*(?:repos|repositorios|listar\s+repos?)\s*$"
 INDEX = ("indexa ", "indexar ", "reindexa ", "reindexar ", "index ")
 IMPLEMENTATION = r"(?iu)\b(?:m[oó]dulo|module|implementaci[oó]n|implementation|expl[íi]came|explica|c[oó]mo\s+funciona|queries?|sql|dao|repositorio|service|servicio|m[eé]todos?|clase|class|business\s+logic|l[oó]gica)\b"
 MODULE_PATH = r"[\w-]+/[\w-]+/([\w-]+)"
+# Ends of class names that count even after capitals only; longer names are told by their parts.
 SUFFIXES = (
     "Impl Dao Service Repository Mapper Controller Dto Entity Config Util Factory Handler Listener Task Job Batch Processor Writer Reader Interceptor "
     "Filter Servlet Endpoint Client Provider Delegate Adapter Facade Builder Validator Converter Formatter Parser Renderer Generator Exporter Importer "
@@ -129,9 +130,13 @@ def name_candidates(query: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(query, F.lit(r"\b[A-Z][a-zA-Z0-9]*\b"), F.lit(0)), lambda w: F.length(w) > 2)), 1, most)
 
 
-def class_names(query: Column, most: int = 3, suffixes: list[str] = SUFFIXES) -> Column:
-    """Identifiers that end in one of ``suffixes``, in text order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"\b([A-Z][a-zA-Z0-9]*(?:{'|'.join(suffixes)}))\b"), F.lit(1))), 1, most)
+def class_names(query: Column, most: int = 3, suffixes: list[str] | None = None) -> Column:
+    """Names of classes, in text order: identifiers of two capitalised parts or more, whatever the last one is, and those that end in one of SUFFIXES after capitals only (``ABImpl``).
+
+    With ``suffixes`` those that end in one of these alone.
+    """
+    parts = [] if suffixes else ["[a-z0-9][A-Z][a-zA-Z0-9]*"]
+    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"\b([A-Z][a-zA-Z0-9]*(?:{'|'.join([*parts, *(suffixes or SUFFIXES)])}))\b"), F.lit(1))), 1, most)
 
 
 def keywords(query: Column, most: int = 12) -> Column:

@@ -866,6 +866,21 @@ def class_names(spark, sf_dir):
     return doc_questions(spark, sf_dir).select("doc_id", F.array_join(T.class_names(F.col("question")), ",").alias("classes"))
 
 
+# Names with the last words that classes have, each document another; every third stands behind capitals only.
+_LAST_WORDS = "Model Strategy Policy Gateway Engine Server Template Pipeline Worker Impl Dao Ledger Widget Saga Quartz Zone".split()
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, text, ({_LAST_WORDS})[doc_id % 16 + 1] AS w FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'AB' ELSE 'Orden' || doc_id END || w AS name, doc_id % 3 > 0 OR w IN ('Impl', 'Dao') AS fits FROM w) "
+    "SELECT doc_id, concat_ws(',', CASE WHEN fits THEN name END, 'PagoLibre') AS classes FROM n"
+)
+def class_name_shapes(spark, sf_dir):
+    n = F.col("doc_id")
+    name = F.concat(F.when(n % 3 == 0, "AB").otherwise(F.concat(F.lit("Orden"), n.cast("string"))), F.get(F.array(*map(F.lit, _LAST_WORDS)), (n % 16).cast("int")))
+    asked = F.concat(F.lit("explica "), name, F.lit(" y PagoLibre, Otra"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.class_names(asked), ",").alias("classes"))
+
+
 @query(f"WITH {_ASKED} SELECT doc_id, question || ' mod ' || doc_id || ' Java class implementation methods business logic DAO service' || CASE WHEN t = 1 THEN ' DAO implementation database queries' ELSE '' END AS enriched FROM q")
 def enrich_query(spark, sf_dir):
     return doc_questions(spark, sf_dir).select("doc_id", T.enrich_query(F.col("question")).alias("enriched"))

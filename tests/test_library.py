@@ -330,6 +330,9 @@ def test_keywords(spark):
     words = column(spark, ["El ConsultarServiceImpl usa Foo y Dao; mostrando tablas cuando hay inventarios"], lambda c: F.array_join(T.keywords(c), ","))
     assert words == ["ConsultarServiceImpl,Foo,Dao,tablas,inventarios"]
     assert column(spark, ["see OrderServiceImpl and UserDao, Plain"], lambda c: F.array_join(T.class_names(c), ",")) == ["OrderServiceImpl,UserDao"]
+    asked = "explica OrderModel y PaymentStrategy y UserGateway2 y Reporte y ABImpl y iPhone"
+    assert column(spark, [asked], lambda c: F.array_join(T.class_names(c, 9), ",")) == ["OrderModel,PaymentStrategy,UserGateway2,ABImpl"]
+    assert column(spark, [asked], lambda c: F.array_join(T.class_names(c, 9, ["Model"]), ",")) == ["OrderModel"]
 
 
 def test_chunks_of_one_file_keep_order():
