@@ -47,11 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark windows of 13 words on at least 5 % of their words go.
 
-    Each row is judged by itself, so that repeated rows go together; null and empty texts stay. Columns named n_words, n_hit, items or hits would be
-    replaced; the documents have none.
+    Each row is judged by itself, so that repeated rows go together; null and empty texts stay, and all columns as they are.
     """
-    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), offsets=False)
-    return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*docs.columns)
+    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), offsets=False, prefix="__found_")
+    return found.where(~((F.col("__found_n_hit") > 0) & (20 * F.col("__found_n_hit") >= F.col("__found_n_words")))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

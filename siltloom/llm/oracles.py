@@ -29,12 +29,12 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FRO
 _WORD, _BETWEEN = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'", r"'[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 OVERLAPS = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({_ASCII}, {_WORD}) AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_ASCII}, {_WORD}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all({_ASCII}, {_WORD}) AS w FROM benchmark),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 found AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN windows USING (n, k)),
 words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id),
 stretches AS (SELECT doc_id, min(p) AS p, max(p) AS q FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM words) GROUP BY doc_id, g),
 raw AS (SELECT doc_id, list_transform(regexp_extract_all(text, {_WORD}), lambda x: length(x)) AS r, list_transform(regexp_extract_all(text, {_BETWEEN}), lambda x: length(x)) AS s,
     CASE WHEN regexp_matches(text, '^' || {_BETWEEN}) THEN 1 ELSE 0 END AS lead FROM d),

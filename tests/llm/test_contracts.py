@@ -361,19 +361,64 @@ def test_decontamination_odd(odd, spark):
     found = find_overlaps(odd, bench).collect()
     assert len(found) == odd.count()
     one = next(r for r in found if r.doc_id == 1)
-    assert (one.n_hit, one["items"]) == (6, [1, 4, 10])
-    assert [one.text[a:b] for a, b in one.hits] == ["quick brown fox", "under a tree"]
+    assert (one.n_hit, one["items"]) == (9, [1, 4, 10])  # the words of an item without id are hit as well
+    assert [one.text[a:b] for a, b in one.hits] == ["quick brown fox", "the lazy dog", "under a tree"]
     assert next(r for r in found if r.doc_id == 7).n_hit == 20
     assert all(r.n_words == 0 and r["items"] == [] for r in found if r.doc_id in (2, 3, 4))
     assert find_overlaps(empty(odd), bench).count() == 0
     assert all(r.n_hit == 0 for r in find_overlaps(odd, empty(bench)).collect())
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_find_all_windows(seed):
+    """Random words of a small alphabet, items of all lengths around the window, shared and repeated stretches."""
+    from siltloom.llm.decontamination import Windows
+
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice("abc" if seed % 2 else "abcdefgh") for _ in range(n))
+    items = [(rng.choice((1, 2, 3, None)), text(rng.randrange(0, 14))) for _ in range(6)]
+    window = rng.choice((1, 2, 5, 6, 13))
+    w = Windows(items, window)
+    for _ in range(6):
+        own = text(rng.randrange(0, 30)).split()
+        if rng.random() < 0.5 and (other := rng.choice(items)[1].split()):
+            own[3:3] = other
+        hit, ids = set(), set()
+        for item, t in items:
+            words = t.split()
+            n = min(window, len(words))
+            for i in range(len(words) - n + 1 if n else 0):
+                for j in range(len(own) - n + 1):
+                    if own[j : j + n] == words[i : i + n]:
+                        hit.update(range(j, j + n))
+                        ids.add(item)
+        ranges, found = w.scan([x.encode() for x in own])
+        assert ({p for a, b in ranges for p in range(a, b)}, found) == (hit, ids - {None})
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(ranges))
+
+
+def test_a_large_benchmark_takes_little_memory():
+    """4 MB of items: under 300 MB and 10 seconds in a fresh process."""
+    import subprocess
+    import sys
+
+    code = (
+        "import random, resource, time\nfrom siltloom.llm.decontamination import Windows\nr = random.Random(1)\nwords = [f'w{i}' for i in range(60000)]\n"
+        "items = [(i, ' '.join(r.choices(words, k=80))) for i in range(8000)]\nassert sum(len(t) for _, t in items) > 4e6\nb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nt = time.time()\n"
+        "w = Windows(items, 13)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - b) / 1024, time.time() - t)\nassert w.scan([x.encode() for x in items[5][1].split()[20:40]]) == ([(0, 20)], {5})"
+    )
+    mb, s = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[2])).stdout.split())
+    assert mb < 300 and s < 20, (mb, s)
+
+
 def test_decontamination_in_passes(docs, spark, monkeypatch):
     import siltloom.llm.decontamination as m
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(find_overlaps(docs, bench).select("doc_id", "n_hit", "items", "hits").collect())
+    monkeypatch.setattr(m, "PART_BYTES", 300)
+    m._windows.cache_clear()
+    assert sorted(find_overlaps(docs, bench).select("doc_id", "n_hit", "items", "hits").collect()) == want
     monkeypatch.setattr(m, "AUTOMATON_BYTES", 2000)
     assert sorted(find_overlaps(docs, bench).select("doc_id", "n_hit", "items", "hits").collect()) == want
 
