@@ -18,15 +18,15 @@ NARROW = 1_000_000
 class Fuzzy:
     """Lines are alike from ``percent`` of Jaccard similarity of their sets of ``shingle`` characters (UTF-16 units) on.
 
-    ``bands`` x ``rows`` minima of one permutation: a pair of similarity 0.8 meets in a band with probability 0.997; ``spare``: shingles a bin
+    ``bands`` x ``rows`` minima of one permutation: a pair of similarity 0.8 meets in a band with probability 0.995, one of 0.2 with 0.016; ``spare``: shingles a bin
     that reach the aggregation, on average. About ``block`` members of a bucket, of about ``units`` characters at most, are compared with each other in a row.
     """
 
     shingle: int = 8
     percent: int = 80
-    bands: int = 8
-    rows: int = 3
-    spare: int = 3
+    bands: int = 10
+    rows: int = 4
+    spare: int = 2
     block: int = 256
     units: int = 1 << 20
 
@@ -61,7 +61,7 @@ def shingle_set(units: Column, n: int) -> Column:
 
 
 def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """Each distinct line once: (id, h1, h2, times, bands). One pass and one aggregation by the line's hash, with partial
+    """Each distinct line once: (id, h1, h2, times, size, bands), size its places of shingles. One pass and one aggregation by the line's hash, with partial
     minima in the task that splits the line, so that neither texts nor shingles are exchanged. Empty bins take the next full one.
 
     Of a line with many shingles only those with small hashes reach the aggregation (``spare`` a bin on average): where a bin gets one, it gets its
@@ -69,7 +69,7 @@ def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """
     first = saved(_banded(_minima(lines, fuzzy, True), fuzzy).withColumn("id", F.monotonically_increasing_id()))
     poor = saved(first.where("poor").select("h1", "h2"))
-    kept = first.select("id", "h1", "h2", "times", "bands")
+    kept = first.select("id", "h1", "h2", "times", "size", "bands")
     if poor.isEmpty():
         return kept
     h1, h2 = line_key(F.col("line"))
@@ -79,12 +79,12 @@ def sketch_lines(lines: DataFrame, fuzzy: Fuzzy) -> DataFrame:
 
 
 def _banded(minima: DataFrame, fuzzy: Fuzzy) -> DataFrame:
-    """(h1, h2, times, bands, poor): band keys; an empty bin takes the next full one. ``poor`` marks thinned lines with over a quarter of the bins empty."""
+    """(h1, h2, times, size, bands, poor): band keys; an empty bin takes the next full one. ``poor`` marks thinned lines with over a quarter of the bins empty."""
     columns = [F.col(f"m{i}") for i in range(fuzzy.bins)]
     empty = sum((F.when(m.isNull(), 1).otherwise(0) for m in columns), F.lit(0))
     near = [F.coalesce(*[columns[(i + j) % fuzzy.bins] + (7919 if j else 0) for j in range(min(4, fuzzy.bins))], _next_full(columns, i) + 7919) for i in range(fuzzy.bins)]
     keys = [F.xxhash64(F.lit(b), *near[b * fuzzy.rows : (b + 1) * fuzzy.rows]) for b in range(fuzzy.bands)]
-    return minima.select("h1", "h2", "times", F.array(*keys).alias("bands"), ((empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)).alias("poor"))
+    return minima.select("h1", "h2", "times", (F.col("most") + 1).alias("size"), F.array(*keys).alias("bands"), ((empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)).alias("poor"))
 
 
 def _next_full(columns: list[Column], i: int) -> Column:
@@ -144,8 +144,7 @@ def in_buckets(members: DataFrame, texts: DataFrame, fuzzy: Fuzzy) -> tuple[Data
     Of buckets with equal members only the one of the first band is taken. A larger bucket is dealt out to parts; each part also holds the bucket's
     first member, so that near copies become one component for about one comparison a member.
     """
-    sized = members.join(texts.select("id", F.length("line").alias("size")), "id")
-    sums = sized.groupBy("band", "k").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), F.sum("size").alias("units"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
+    sums = members.groupBy("band", "k").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), F.sum("size").alias("units"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
     once = sums.groupBy("a", "z", "m", "units", "same").agg(F.min(F.struct("band", "k"))["k"].alias("k"))
     parts = F.ceil(F.greatest(F.col("m") / fuzzy.block, F.col("units") / fuzzy.units)).cast("int")
     buckets = saved(once.select("k", "a", "m", "units", parts.alias("parts")))
@@ -168,7 +167,7 @@ def across_parts(members: DataFrame, roots: DataFrame, large: DataFrame, texts:
     The members outside a bucket's largest component meet all of its members, dealt out in blocks of both; those of one part have met before.
     """
     placed = lookup(lookup(members, large, ["k"], "inner", NARROW), roots.withColumnRenamed("v", "id"), ["id"], most=NARROW).withColumn("root", F.coalesce("root", "id"))
-    placed = saved(placed.join(texts.select("id", F.greatest(F.lit(1), F.length("line")).alias("size")), "id"))
+    placed = saved(placed)
     spans = placed.groupBy("k", "root").agg(F.count("*").alias("c"), F.sum("size").alias("u")).groupBy("k").agg(F.count("*").alias("roots"), F.max(F.struct("c", "u", "root")).alias("most")).where("roots > 1")
     parts = lambda c, u: F.greatest(F.lit(1), F.ceil(F.greatest(c / fuzzy.block, 2 * u / fuzzy.units)).cast("int"))
     spans = saved(lookup(spans, large, ["k"], "inner").select("k", F.col("most.root").alias("most"), parts(F.col("m"), F.col("units")).alias("all"), parts(F.col("m") - F.col("most.c"), F.col("units") - F.col("most.u")).alias("few")))
@@ -194,7 +193,7 @@ def repeated_lines(docs: DataFrame, fuzzy: Fuzzy = Fuzzy(), doc_id: str = "doc_i
     """
     lines = lines_of(docs, doc_id, text)
     distinct = sketch_lines(lines, fuzzy)
-    buckets = distinct.select("id", "bands", F.posexplode("bands").alias("band", "k"))
+    buckets = distinct.select("id", "size", "bands", F.posexplode("bands").alias("band", "k"))
     shared = saved(buckets.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
     members = saved(lookup(buckets, shared, ["k"], "inner", NARROW))
     wanted = members.select("id").distinct().withColumn("met", F.lit(True))

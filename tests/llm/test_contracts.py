@@ -547,4 +547,4 @@ def test_lines_stay_in_the_jvm(docs):
 
     plan = lines_of(docs, "doc_id", "text")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert sketch_lines(lines_of(docs, "doc_id", "text"), Fuzzy()).columns == ["id", "h1", "h2", "times", "bands"]
+    assert sketch_lines(lines_of(docs, "doc_id", "text"), Fuzzy()).columns == ["id", "h1", "h2", "times", "size", "bands"]
