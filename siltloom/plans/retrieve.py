@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from siltloom.functions import text as T
 from siltloom.functions.paths import in_mirror
 from siltloom.operators.graph import Links, entity_with_relations, links_of, lookup_names, nearest, neighbourhood
+from siltloom.operators.postings import Postings, holding, post
 from siltloom.operators.vectors import vector_topk
+from siltloom.sources.tables import stored
 
 HIT = ("repo", "branch", "file_path", "language", "text", "entity_id", "ast_type", "ast_name", "ast_signature")
 FEW_HITS, FEW_CHARACTERS = 6, 4000
@@ -100,16 +102,30 @@ def needs_fallback(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return d.withColumn("scarce", (F.col("n_hits") < FEW_HITS) | (F.col("n_chars") < FEW_CHARACTERS))
 
 
-def keyword_scan(queries: DataFrame, files: DataFrame, max_files: int = 20, max_chars: int | None = None) -> DataFrame:
+def file_postings(files: DataFrame) -> Postings:
+    """The trigram index of the mirror's files (repo, branch, file_path, content), in lower case; made once, for any number of scans."""
+    return post(_scanned(files), ("repo",))
+
+
+def _scanned(files: DataFrame) -> DataFrame:
+    """A file's number is a hash of its place."""
+    return files.where(in_mirror(F.col("file_path"))).select("repo", F.xxhash64("repo", "branch", "file_path").alias("doc"), F.lower("content").alias("text"))
+
+
+def keyword_scan(queries: DataFrame, files: DataFrame, max_files: int = 20, max_chars: int | None = None, postings: Postings | None = None) -> DataFrame:
     """Files of a query's repo and branch that hold any of its keywords, in any case: the first ``max_files`` by path, contents cut with a notice.
 
-    queries: (query_id, repo, branch, keywords). The join is an equi-join on repo and branch; a content is lower-cased once for each query of its repo.
+    queries: (query_id, repo, branch, keywords). With ``postings`` of the files a content is read only where its trigrams say that it may hold a keyword; without, contents are scanned once for each
+    distinct keyword of their repo. Files are ranked by their places; contents join last.
     """
-    q = queries.select("query_id", "repo", F.col("branch").alias("b"), F.expr("transform(filter(keywords, k -> k <> ''), k -> lower(k))").alias("words"))
-    found = files.where(in_mirror(F.col("file_path"))).join(q, "repo").where("b is null or b = branch")
-    once = F.array(F.struct(F.lower("content").alias("text"), F.col("words")))  # lower-cased once, not for each word
-    found = found.where(F.exists(once, lambda x: F.exists(x["words"], lambda w: F.contains(x["text"], w))))
+    q = queries.select("query_id", "repo", F.col("branch").alias("b"), F.explode(F.expr("array_distinct(transform(filter(keywords, k -> k <> ''), k -> lower(k)))")).alias("pattern"))
+    places = files.where(in_mirror(F.col("file_path"))).select("repo", "branch", "file_path", F.xxhash64("repo", "branch", "file_path").alias("doc"))
+    words = q.select("repo", "pattern").distinct()
+    texts = _scanned(files)
+    met = holding(words, postings, texts) if postings else words.join(texts, "repo").where(F.contains("text", "pattern")).select("repo", "pattern", "doc")
+    found = q.join(met, ["repo", "pattern"]).select("query_id", "repo", "b", "doc").distinct().join(places, ["repo", "doc"]).where("b is null or b = branch")
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("file_path"))).where(F.col("rank") <= max_files)
+    found = found.drop("b", "doc").join(files.select("repo", "branch", "file_path", "content"), ["repo", "branch", "file_path"])
     if max_chars is not None:
         notice = F.concat(F.lit("\n\n-- ... archivo truncado ("), F.length("content").cast("string"), F.lit(" chars originales) ... --\n"))
         found = found.withColumn("content", T.truncate(F.col("content"), max_chars, notice))
@@ -130,13 +146,15 @@ def class_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 def class_files(questions: DataFrame, nodes: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Class names without an entity: the first two indexed paths that contain the name, as whole files with score 1.0.
 
-    Paths are searched once for each name asked of a repo and branch, not for each question.
+    Names meet paths by a trigram index of the paths, once for each name asked of a repo, not for each question.
     """
     asked = questions.where("repo is not null").select("query_id", "repo", "branch", F.explode(T.class_names(F.col("query"))).alias("name"))
     found = lookup_names(asked, nodes, 1).select("query_id", "name")
     missing = asked.join(found, ["query_id", "name"], "left_anti")
     paths = chunks.select("repo", F.col("branch").alias("file_branch"), "file_path").distinct()
-    hit = missing.select("repo", "branch", "name").distinct().join(paths, "repo").where("(branch is null or branch = file_branch) and contains(file_path, name)")
+    placed = stored(paths.withColumn("doc", F.xxhash64("repo", "file_branch", "file_path")))
+    met = holding(missing.select("repo", F.col("name").alias("pattern")), post(placed, ("repo",), text="file_path"), placed, text="file_path").withColumnRenamed("pattern", "name")
+    hit = missing.select("repo", "branch", "name").distinct().join(met, ["repo", "name"]).join(placed, ["repo", "doc"]).where("branch is null or branch = file_branch")
     hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("repo", "branch", "name").orderBy("file_path"))).where("rank <= 2").drop("rank")
     hit = hit.select(F.col("repo").alias("r"), F.col("branch").alias("b"), F.col("name").alias("n"), "file_branch", "file_path")
     placed = missing.join(hit, (F.col("repo") == F.col("r")) & F.col("branch").eqNullSafe(F.col("b")) & (F.col("name") == F.col("n")))
@@ -151,7 +169,7 @@ def build_context(hits: DataFrame) -> DataFrame:
     return part.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "fragment"))), lambda x: x["fragment"]), "\n\n---\n\n").alias("context"))
 
 
-def answer_context(questions: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:
+def answer_context(questions: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, limit: int = 20, postings: Postings | None = None) -> DataFrame:
     """The full context of questions (query_id, query, vector): augmented files, hybrid hits, classes, and a keyword scan where that is scarce.
 
     Stages follow each other in this order; whole files have score 0, files of the scan 0.7. Scanned are 15 files a question at most, 12,000 characters each.
@@ -167,6 +185,6 @@ def answer_context(questions: DataFrame, chunks: DataFrame, nodes: DataFrame, ed
     first = merge_contexts(shape(augmented, 0).unionByName(shape(hybrid, 1)).unionByName(shape(classes, 2)).unionByName(shape(whole, 3)))
     scarce = needs_fallback(q, first).where("scarce").select("query_id")
     asked = q.where("repo is not null").join(scarce, "query_id").select("query_id", "repo", "branch", T.keywords(F.col("query")).alias("keywords"))
-    scanned = keyword_scan(asked, files, 15, 12000).withColumnRenamed("content", "text").withColumns({"score": F.lit(0.7), "source": F.lit("clone")})
+    scanned = keyword_scan(asked, files, 15, 12000, postings).withColumnRenamed("content", "text").withColumns({"score": F.lit(0.7), "source": F.lit("clone")})
     again = first.drop("rank").withColumnRenamed("stage_rank", "rank").unionByName(shape(scanned, 4))
     return build_context(merge_contexts(again))

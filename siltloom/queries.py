@@ -410,16 +410,27 @@ def build_context(spark, sf_dir):
     return retrieve.build_context(keyed).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).cast("int").alias("stage"), F.md5("context").alias("digest"))
 
 
-@query(
+_KEYWORD_FILES = (
     f"WITH {FILES}, m AS (SELECT repo, branch, file_path, content, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS rank FROM files WHERE doc_id % 8 <> 6 AND (contains(lower(content), 'tion') OR contains(lower(content), 'eau'))) "
     "SELECT repo, branch, file_path, md5(CASE WHEN length(content) > 1000 THEN substr(content, 1, 1000) || chr(10) || chr(10) || '-- ... archivo truncado (' || length(content) || ' chars originales) ... --' || chr(10) ELSE content END) AS digest, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 20"
 )
+
+
+@query(_KEYWORD_FILES)
 def keyword_scan(spark, sf_dir):
     f = doc_files(spark, sf_dir)
     q = f.select("repo").distinct().select(F.col("repo").alias("query_id"), "repo", F.lit(None).cast("string").alias("branch"), F.array(F.lit("Tion"), F.lit("EAU"), F.lit("")).alias("keywords"))
     return retrieve.keyword_scan(q, f, 20, 1000).select("repo", "branch", "file_path", F.md5("content").alias("digest"), "rank")
 
 
+@query(_KEYWORD_FILES)
+def keyword_postings(spark, sf_dir):
+    """The same files by way of the trigram index."""
+    f = doc_files(spark, sf_dir)
+    q = f.select("repo").distinct().select(F.col("repo").alias("query_id"), "repo", F.lit(None).cast("string").alias("branch"), F.array(F.lit("Tion"), F.lit("EAU"), F.lit("")).alias("keywords"))
+    return retrieve.keyword_scan(q, f, 20, 1000, retrieve.file_postings(f)).select("repo", "branch", "file_path", F.md5("content").alias("digest"), "rank")
+
+
 # Order-preserving distinct of a list, and the words that count as names or keywords.
 _FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"

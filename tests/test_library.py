@@ -366,3 +366,16 @@ def test_answer_context_has_all_stages(spark):
     assert "entity" in of["src/P.java"] and "relation" in of["src/Q.java"] and "fetch" in of["src/FaltaScheduler.java"] and of["src/z.py"] == ["clone"], found
     assert "src/no.py" not in of and "ajena" not in got[1]
     assert len(found) == len(set(found))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_postings_find_what_holds_a_pattern(spark, seed):
+    from siltloom.operators.postings import holding, post
+
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abé𝒳 ") for _ in range(n))
+    rows = [(f"r{i % 2}", i, word(rng.randrange(0, 60))) for i in range(60)] + [("r0", 100, None), ("r0", 101, "")]
+    asked = {(f"r{rng.randrange(3)}", word(rng.randrange(0, 6))) for _ in range(60)} | {("r0", "zzz"), ("r1", None)}
+    texts = spark.createDataFrame(rows, "repo string, doc int, text string")
+    got = holding(spark.createDataFrame(sorted(asked, key=repr), "repo string, pattern string"), post(texts, ("repo",)), texts)
+    assert sorted(map(tuple, got.collect())) == sorted((r, p, d) for r, p in asked if p for own, d, t in rows if own == r and t and p in t)
