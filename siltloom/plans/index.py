@@ -15,6 +15,7 @@ from siltloom.operators.graph import merge_nodes, resolve_edges
 from siltloom.operators.sqlrefs import inline_sql
 from siltloom.operators.vectors import embed, validate_vectors
 from siltloom.sources.files import non_blank
+from siltloom.sources.snapshots import Snapshots
 from siltloom.sources.tables import replace_slice, stored
 
 
@@ -41,3 +42,9 @@ def store(tables: dict[str, DataFrame], root: str, slices: DataFrame) -> None:
     """Replace the slices of the stored chunks, nodes and edges."""
     for name in ("chunks", "nodes", "edges"):
         replace_slice(tables[name], f"{root}/{name}", slices)
+
+
+def publish(tables: dict[str, DataFrame], root: str, slices: DataFrame, dim: int | None = None) -> int:
+    """The slices' chunks, nodes, edges and statistics as the next version of a snapshot store: readers see all of them or none. Returns the version."""
+    stats = tables["stats"].select("repo", "branch", *[c for c in tables["stats"].columns if c not in ("repo", "branch")])
+    return Snapshots(slices.sparkSession, root).replace({n: tables[n] for n in ("chunks", "nodes", "edges")} | {"stats": stats}, slices, dim)
