@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltloom.functions.paths import is_supported, not_ignored
 from siltloom.functions.text import PREVIEW, truncate
+from siltloom.sources.tables import stored
 
 
 def eligible_files(files: DataFrame) -> DataFrame:
@@ -16,6 +17,25 @@ def eligible_files(files: DataFrame) -> DataFrame:
     return ok.groupBy("repo", "branch").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("file_path")).alias("paths"))
 
 
+def ranked(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``rank``, from 1 on in each scope by ``order`` (unique in a scope), without bringing a scope's rows together: rows are sorted by ranges and stored, each knowing its place
+    in its range; what lies in earlier ranges comes from sums of the ranges' counts, a row for each scope and range."""
+    sorted_rows = df.repartitionByRange(*scope, *order).sortWithinPartitions(*scope, *order)
+    placed = stored(sorted_rows.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
+    counts = placed.groupBy(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(scope)], F.col("__p").alias("__q")).agg(F.count("*").alias("n"), F.min("__i").alias("__first"))
+    before = F.sum("n").over(W.partitionBy(*[f"__s{i}" for i in range(len(scope))]).orderBy("__q").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("n")
+    on = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(scope)] + [F.col("__p") == F.col("__q")]
+    out = placed.join(starts, on).withColumn("rank", (F.col("__before") + F.col("__i") - F.col("__first") + 1).cast("long"))
+    return out.select(*df.columns, "rank")
+
+
+def ranked_files(files: DataFrame) -> DataFrame:
+    """The eligible files of each slice one by one: (repo, branch, file_path, rank). The form of ``eligible_files`` for slices of any size."""
+    ok = files.where(is_supported(F.col("file_path")) & not_ignored(F.col("file_path"))).select("repo", "branch", "file_path").distinct()
+    return ranked(ok, ["repo", "branch"], ["file_path"])
+
+
 def indexed_repos(nodes: DataFrame) -> DataFrame:
     return nodes.where("repo <> ''").select("repo").distinct()
 
@@ -33,10 +53,13 @@ def indexed_files(chunks: DataFrame, language: str | None = None) -> DataFrame:
 
 
 def file_chunks(chunks: DataFrame, limit: int = 50) -> DataFrame:
-    """Chunks of each file by position, at most ``limit``: id, position, preview, and how many the file has."""
-    w = W.partitionBy("repo", "branch", "file_path")
-    c = chunks.withColumn("n_chunks", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("position", "chunk_id")))
-    return c.where(F.col("rank") <= limit).select("repo", "branch", "file_path", "chunk_id", "language", "position", truncate(F.col("text"), PREVIEW).alias("preview"), "n_chunks", "rank")
+    """Chunks of each file by position, at most ``limit``: id, position, preview, and how many the file has. Keys are counted and ranked; texts join those that stay."""
+    key = ["repo", "branch", "file_path", "chunk_id"]
+    places = chunks.select(*key, "position")
+    sizes = places.groupBy(*key[:3]).agg(F.count("*").alias("n_chunks"))
+    first = places.withColumn("rank", F.row_number().over(W.partitionBy(*key[:3]).orderBy("position", "chunk_id"))).where(F.col("rank") <= limit)
+    found = first.join(sizes, key[:3]).join(chunks.drop("position"), key)
+    return found.select("repo", "branch", "file_path", "chunk_id", "language", "position", truncate(F.col("text"), PREVIEW).alias("preview"), "n_chunks", "rank")
 
 
 def index_stats(files: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -134,6 +134,11 @@ def eligible_files(spark, sf_dir):
     return catalog.eligible_files(doc_files(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
 
 
+@query(f"WITH {FILES} SELECT repo, branch, file_path, row_number() OVER (PARTITION BY repo, branch ORDER BY file_path) AS rank FROM files")
+def ranked_files(spark, sf_dir):
+    return catalog.ranked_files(doc_files(spark, sf_dir))
+
+
 _LANGUAGE_CASE = "CASE doc_id % 8 WHEN 0 THEN 'java' WHEN 1 THEN 'python' WHEN 2 THEN 'sql' WHEN 3 THEN 'html' WHEN 4 THEN 'json' WHEN 5 THEN 'markdown' WHEN 6 THEN 'csharp' ELSE 'javascript' END"
 
 
@@ -401,13 +406,13 @@ def needs_fallback(spark, sf_dir):
 
 
 @query(
-    f"WITH {_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, stage ORDER BY rank) AS i FROM h) SELECT query_id, stage, md5(string_agg('[Fragmento ' || i || '] Score: ' || printf('%.3f', score) || ' | Source: ' || source || ' | Repo: r | Archivo: ' || file_path || chr(10) || "
+    f"WITH {_HITS}, n AS (SELECT *, rank // 20 AS part, row_number() OVER (PARTITION BY query_id, stage, rank // 20 ORDER BY rank) AS i FROM h) SELECT query_id, stage, part, md5(string_agg('[Fragmento ' || i || '] Score: ' || printf('%.3f', score) || ' | Source: ' || source || ' | Repo: r | Archivo: ' || file_path || chr(10) || "
     "'```' || chr(10) || substr(text, 1, 12000) || chr(10) || '```', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS digest FROM n GROUP BY ALL"
 )
 def build_context(spark, sf_dir):
     h = doc_hits(spark, sf_dir).withColumns({c: F.lit("r" if c == "repo" else "") for c in ("repo", "branch", "ast_type", "ast_name", "ast_signature")})
-    keyed = h.withColumn("query_id", F.col("query_id") * 3 + F.col("stage"))
-    return retrieve.build_context(keyed).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).cast("int").alias("stage"), F.md5("context").alias("digest"))
+    keyed = h.withColumn("query_id", F.struct("query_id", "stage", F.floor(F.col("rank") / 20).cast("int").alias("part")))  # twenty hits a question
+    return retrieve.build_context(keyed).select("query_id.*", F.md5("context").alias("digest"))
 
 
 _KEYWORD_FILES = (
