@@ -39,9 +39,22 @@ def trigger_windows(triggers: DataFrame, window: str = "10 minutes", watermark:
     return t.groupBy(F.window("ts", window).alias("w"), "repo", "branch").agg(F.count("*").alias("n_triggers")).select(F.col("w.start").alias("window_start"), "repo", "branch", "n_triggers")
 
 
-def refresh(events: DataFrame, files: Callable[[], DataFrame], root: str, fn: Callable[[list[str]], np.ndarray], dim: int, checkpoint: str) -> StreamingQuery:
+def quiet_runs(triggers: DataFrame, quiet: str = "10 minutes", watermark: str | None = "1 hour") -> DataFrame:
+    """One run for all triggers of a slice that follow each other within ``quiet``, once none has come for that long: (repo, branch, first_ts, last_ts, n_triggers).
+
+    A session window keeps the state and closes it in event time; a stream gives a run when the watermark has passed its end. Pass no ``watermark`` for a stream that has one.
+    """
+    t = triggers.withWatermark("ts", watermark) if triggers.isStreaming and watermark else triggers
+    runs = t.groupBy(F.session_window("ts", quiet).alias("w"), "repo", "branch").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_triggers"))
+    return runs.select("repo", "branch", "first_ts", "last_ts", "n_triggers")
+
+
+def refresh(
+    events: DataFrame, files: Callable[[], DataFrame], root: str, fn: Callable[[list[str]], np.ndarray], dim: int, checkpoint: str, quiet: str | None = None, save: Callable[[dict, str, DataFrame], object] = store
+) -> StreamingQuery:
     """Run through the events that are there: in each batch the touched slices are indexed anew and replaced.
 
+    With ``quiet`` a slice is indexed once for all triggers that follow each other within that time, when it is over. ``save`` stores the tables; ``publish`` makes them a version of a snapshot store.
     A batch that is repeated after a failure replaces the same slices with the same rows.
     """
 
@@ -49,8 +62,10 @@ def refresh(events: DataFrame, files: Callable[[], DataFrame], root: str, fn: Ca
         slices = df.select("repo", "branch").distinct().persist()
         try:
             if not slices.isEmpty():
-                store(index_repos(files().join(slices, ["repo", "branch"], "left_semi"), fn, dim), root, slices)
+                save(index_repos(files().join(slices, ["repo", "branch"], "left_semi"), fn, dim), root, slices)
         finally:
             slices.unpersist()
 
-    return reindex_triggers(dedup_deliveries(events)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    triggers = reindex_triggers(dedup_deliveries(events))
+    runs = quiet_runs(triggers, quiet, None) if quiet else triggers
+    return runs.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

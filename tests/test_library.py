@@ -316,6 +316,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [(r.branch, r.ast_name) for r in spark.read.parquet(str(tmp_path / "idx/chunks")).collect()] == [("main", "A")]
 
 
+def test_runs_after_a_quiet_time(spark, tmp_path):
+    """A slice's triggers are one run once its quiet time is over, in the stream as in the batch; the stream indexes each run once, into snapshots."""
+    from siltloom.plans.index import publish
+    from siltloom.sources.snapshots import Snapshots
+
+    push = lambda n, ts, branch="main": {"delivery": n, "event": "push", "ts": f"2024-01-01T{ts}:00Z", "payload": json.dumps({"ref": f"refs/heads/{branch}", "repository": {"full_name": "org/app"}})}
+    said = [push("1", "00:00"), push("2", "00:07"), push("2", "00:07"), push("3", "00:16"), push("4", "00:10", "dev"), push("5", "00:40"), push("6", "09:00"), push("7", "18:00", "dev")]
+    (tmp_path / "in").mkdir()
+    for i, e in enumerate(said):
+        (tmp_path / f"in/{i}.json").write_text(json.dumps(e))
+    batch = E.quiet_runs(E.reindex_triggers(E.dedup_deliveries(spark.read.schema(S.EVENT).json(str(tmp_path / "in")))))
+    runs = sorted((r.branch, r.first_ts.hour * 60 + r.first_ts.minute, r.last_ts.hour * 60 + r.last_ts.minute, r.n_triggers) for r in batch.collect())
+    assert runs == [("dev", 10, 10, 1), ("dev", 1080, 1080, 1), ("main", 0, 16, 3), ("main", 40, 40, 1), ("main", 540, 540, 1)]
+    seen = []
+
+    def save(out, root, slices):
+        seen.append(sorted(r.branch for r in slices.collect()))
+        publish(out, root, slices, 4)
+
+    stream = spark.readStream.schema(S.EVENT).option("maxFilesPerTrigger", 8).json(str(tmp_path / "in"))
+    files = spark.createDataFrame([("org/app", "main", "a.py", "class A:\n    pass\n"), ("org/app", "other", "b.py", "class B:\n    pass\n")], FILE)
+    E.refresh(stream, lambda: files, str(tmp_path / "idx"), hashed_embedding(4), 4, str(tmp_path / "cp"), quiet="10 minutes", save=save).awaitTermination(240)
+    assert [r.ast_name for r in Snapshots(spark, str(tmp_path / "idx")).read("chunks").collect()] == ["A"]
+    assert {b for x in seen for b in x} == {"dev", "main"} and len(seen) == 1  # all runs that the watermark has passed, in one batch; the last one waits for its quiet time
+
+
 def test_messages(spark):
     said = ["indexa org/r dev", "reindexa org/r", "generame un pdf", "guardar como md", "grafo Foo", " repos ", "explica org/web/my-mod rama dev", "indexa "]
     d = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)] + [(50, 0, "user", '[{"type": "text", "text": "repos"}]'), (51, 0, "assistant", "x"), (52, 0, "user", "  ")], "conv_id long, turn long, role string, text string")
