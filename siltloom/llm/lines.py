@@ -82,11 +82,16 @@ def _banded(minima: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """(h1, h2, times, size, bands, poor): band keys; an empty bin takes the next full one. ``poor`` marks thinned lines with over a quarter of the bins empty."""
     columns = [F.col(f"m{i}") for i in range(fuzzy.bins)]
     empty = sum((F.when(m.isNull(), 1).otherwise(0) for m in columns), F.lit(0))
-    near = [F.coalesce(*[columns[(i + j) % fuzzy.bins] + (7919 if j else 0) for j in range(min(4, fuzzy.bins))], _next_full(columns, i) + 7919) for i in range(fuzzy.bins)]
+    near = [F.coalesce(columns[i], *[_taken(columns[(i + j) % fuzzy.bins]) for j in range(1, min(4, fuzzy.bins))], _taken(_next_full(columns, i))) for i in range(fuzzy.bins)]
     keys = [F.xxhash64(F.lit(b), *near[b * fuzzy.rows : (b + 1) * fuzzy.rows]) for b in range(fuzzy.bands)]
     return minima.select("h1", "h2", "times", (F.col("most") + 1).alias("size"), F.array(*keys).alias("bands"), ((empty * 4 > fuzzy.bins) & (F.col("most") >= fuzzy.spare * fuzzy.bins)).alias("poor"))
 
 
+def _taken(minimum: Column) -> Column:
+    """Another bin's minimum, told apart from the bin's own; a sum could leave the int."""
+    return minimum.bitwiseXOR(F.lit(7919))
+
+
 def _next_full(columns: list[Column], i: int) -> Column:
     return F.get(F.filter(F.array(*columns[i:], *columns[:i]), lambda x: x.isNotNull()), F.lit(0))
 

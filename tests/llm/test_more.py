@@ -100,3 +100,13 @@ def test_vectors_of_two_lengths(spark):
     assert all(len(pivots[d]) > 30 and pivots[d].shape[1] == d for d in (24, 16))
     assert set(choose_pivots(reps, Index(most_pivots=16, least_pivots=64))) == {24}
     assert choose_pivots(reps.limit(0), Index()) == {}
+
+
+def test_empty_bins_beside_the_largest_hashes(spark):
+    """A minimum at the end of the int's range is taken for empty bins without leaving it."""
+    from siltloom.llm.lines import Fuzzy, _banded
+
+    fuzzy = Fuzzy()
+    values = ", ".join([f"cast({2**31 - 1} as int) as m0"] + [f"cast(null as int) as m{i}" for i in range(1, fuzzy.bins)])
+    row = _banded(spark.sql(f"select 1L as h1, 2L as h2, 1L as times, 0 as most, {values}"), fuzzy).first()
+    assert len(row.bands) == fuzzy.bands and not row.poor
