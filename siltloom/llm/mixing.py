@@ -133,6 +133,10 @@ def _fill(graph: list[list[int]], to: list[int], cap: list[int], level: dict[int
             return
 
 
+#: Names of columns that the mix uses inside.
+_OWN = frozenset("pattern h d1 d2 passes rest more taken edge_d1 left_d1 edge_d2 left_d2".split())
+
+
 def mix_sources(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), costs: Sequence[int] = COSTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Mix documents (id, sources array, size, any other columns) to the weights' shares of all sizes.
 
@@ -141,8 +145,13 @@ def mix_sources(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), costs: Se
     Documents with an equal set of sources form a pattern. Patterns and sources are read to the driver: they are aggregates, with one row for
     each set of sources that occurs. A pattern that gives q passes and a rest takes each document q times, then in the order of a
     seeded hash until the rest is used; the last document gives only its first words, so that quotas are met exactly. A null array counts as [null];
-    sizes of 0 or null take nothing; an empty table gives empty results. Rows equal in id may share a hash and follow each other.
+    sizes of 0 or null take nothing; an empty table gives empty results; other columns stay as they are, but for ones named ``pattern`` and ``taken``, which are replaced. Rows equal in id may share a hash and follow each other.
     """
+    others = [c for c in rows.columns if c not in ("id", "sources", "size")]
+    if _OWN & set(others):  # they wait in a struct until the end
+        packed, report = mix_sources(rows.select("id", "sources", "size", F.struct(*others).alias("__others")), weights, costs, seed)
+        kept = [F.col(f"__others.{c}").alias(c) for c in others if c not in ("pattern", "taken")]
+        return packed.select("pattern", "id", "sources", "size", *kept, "taken"), report
     named = (
         rows.withColumn("sources", F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string")))))).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
         .withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})).withColumn("h", F.xxhash64(F.lit(seed), "id"))

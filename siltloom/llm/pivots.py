@@ -82,8 +82,10 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
        A task returns link counts and one edge for each member of a component, never the pairs.
 
     A null, zero, empty or not finite vector, or one without label, links with nothing. Rows of one vec_id count as one vector for components.
-    Labels other than whole numbers go by their 64-bit hash. A repeated row counts as another vector. Vectors of unlike length never link. A null vec_id gives n_links 0 and component null. An empty table gives an empty result.
+    Labels and ids other than whole numbers go by their 64-bit hash; the smallest id of each component is looked up at the end. A repeated row counts as another vector. Vectors of unlike length never link. A null vec_id gives n_links 0 and component null. An empty table gives an empty result.
     """
+    if not isinstance(vectors.schema["vec_id"].dataType, T.IntegralType):
+        return _by_hash(vectors, index)
     number = F.transform("embedding", lambda x: x.cast("double"))
     fine = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
@@ -173,6 +175,16 @@ def link_vectors(vectors: DataFrame, index: Index = Index()) -> DataFrame:
     return out.select("vec_id", links.alias("n_links"), F.coalesce("root", "rep", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _by_hash(vectors: DataFrame, index: Index) -> DataFrame:
+    """``link_vectors`` for ids of any type that has an order."""
+    rows = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.xxhash64("vec_id")).alias("__h"), "label", "embedding")
+    found = saved(link_vectors(rows.select(F.col("__h").alias("vec_id"), "label", "embedding"), index))
+    names = saved(rows.where("vec_id is not null").select("__h", "vec_id").distinct())
+    told = lookup(found.select(F.col("vec_id").alias("__h"), "n_links", F.col("component_id").alias("__c")), names, ["__h"])
+    least = saved(told.groupBy("__c").agg(F.min("vec_id").alias("component_id")))
+    return lookup(told, least, ["__c"]).select("vec_id", "n_links", "component_id").withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op3_pivot_permutations(spark, sf_dir: str) -> DataFrame:
     """Links among all embeddings of one label from a cosine of 0.93 on."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding"))

@@ -110,3 +110,36 @@ def test_empty_bins_beside_the_largest_hashes(spark):
     values = ", ".join([f"cast({2**31 - 1} as int) as m0"] + [f"cast(null as int) as m{i}" for i in range(1, fuzzy.bins)])
     row = _banded(spark.sql(f"select 1L as h1, 2L as h2, 1L as times, 0 as most, {values}"), fuzzy).first()
     assert len(row.bands) == fuzzy.bands and not row.poor
+
+
+def test_links_of_vectors_with_text_ids(spark):
+    from siltloom.llm.pivots import link_vectors
+
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=8)
+    rows = [(10 + i, 1, (one + 0.01 * rng.normal(size=8)).tolist()) for i in range(5)] + [(30 + i, 1, rng.normal(size=8).tolist()) for i in range(5)] + [(None, 1, one.tolist()), (50, None, one.tolist()), (51, 1, None)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    named = table.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    text = lambda i: None if i is None else f"v{i}"
+    want = sorted(((text(r.vec_id), r.n_links, text(r.component_id), r.kept) for r in link_vectors(table).collect()), key=repr)
+    assert sorted(map(tuple, link_vectors(named).collect()), key=repr) == want
+
+
+def test_mix_keeps_columns_with_names_of_its_own(spark):
+    from siltloom.llm.mixing import mix_sources
+
+    rows = [(i, [f"s{i % 3}"], 10 + i, "keep", i, "more", 1.5) for i in range(30)]
+    t = spark.createDataFrame(rows, "id long, sources array<string>, size long, h string, d1 long, more string, left_d1 double")
+    taken, _ = mix_sources(t)
+    plain, _ = mix_sources(t.select("id", "sources", "size"))
+    got = {r.id: r for r in taken.collect()}
+    assert all((r.h, r.d1, r.more, r.left_d1) == ("keep", r.id, "more", 1.5) for r in got.values())
+    assert {i: r.taken for i, r in got.items()} == {r.id: r.taken for r in plain.collect()}
+
+
+def test_decontamination_stage_keeps_all_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame([(1, "a clean text", 7, "x", [1]), (2, " ".join(f"b{i}" for i in range(20)), 8, "y", [2])], "doc_id long, text string, n_words int, hits string, items array<int>")
+    assert [tuple(r) for r in corpus_pipeline.decontaminate(spark, d, str(tmp_path)).collect()] == [(1, "a clean text", 7, "x", [1])]
