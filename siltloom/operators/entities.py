@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltloom.functions.paths import ast_language
 from siltloom.functions.text import CLASS_LIMIT, class_notice, entity_embed_text, entity_id, truncate
 from siltloom.operators.scopes import scan_source
+from siltloom.sources.files import content_store
 
 RELATION = "array<struct<type:string,target_name:string,target_type:string,properties:map<string,string>>>"
 ENTITY = (
@@ -37,10 +38,20 @@ def scan_files(files: DataFrame) -> DataFrame:
                     out.append(of | {"language": language, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=[*_NAMES, "error"], dtype=object)
 
-    known = files.select("repo", "branch", "file_path", "content", ast_language(F.col("file_path")).alias("language")).where("language is not null and content is not null")
+    language = F.col("language") if "language" in files.columns else ast_language(F.col("file_path"))
+    known = files.select("repo", "branch", "file_path", "content", language.alias("language")).where("language is not null and content is not null")
     return known.mapInPandas(run, f"{ENTITY}, error string")
 
 
+def scan_once(files: DataFrame) -> DataFrame:
+    """The rows of ``scan_files`` with each distinct text scanned once for each language, however many paths of branches and repos hold it."""
+    paths, texts = content_store(files.withColumn("language", ast_language(F.col("file_path"))).where("language is not null and content is not null").select("repo", "branch", "file_path", "content", "language"))
+    kinds = paths.select("h", "language").distinct().join(texts, "h")
+    scanned = scan_files(kinds.select(F.lit("").alias("repo"), F.lit("").alias("branch"), F.col("h").alias("file_path"), "content", "language"))
+    own = scanned.withColumnRenamed("file_path", "h").drop("repo", "branch")
+    return own.join(paths, ["h", "language"]).select(*scanned.columns)
+
+
 def entities_of(scanned: DataFrame) -> DataFrame:
     return scanned.where("error is null").drop("error")
 

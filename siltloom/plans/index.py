@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltloom.functions.paths import is_supported, not_ignored
 from siltloom.operators.catalog import index_stats
-from siltloom.operators.entities import entities_of, index_chunks, rejects_of, scan_files
+from siltloom.operators.entities import entities_of, index_chunks, rejects_of, scan_once
 from siltloom.operators.graph import merge_nodes, resolve_edges
 from siltloom.operators.sqlrefs import inline_sql
 from siltloom.operators.vectors import embed, validate_vectors
@@ -23,10 +23,10 @@ def index_repos(files: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: in
     """Files (repo, branch, file_path, content) of any number of slices to the tables chunks, nodes, edges and stats; ``rejects`` holds invalid vectors,
     ``file_rejects`` files that can't be scanned.
 
-    The files are scanned once; the result is stored, as chunks, nodes, edges, statistics and rejects all need it.
+    Each distinct text is scanned once, whatever the number of branches that hold it; the result is stored, as chunks, nodes, edges, statistics and rejects all need it.
     """
     ok = non_blank(files.where(is_supported(F.col("file_path")) & not_ignored(F.col("file_path"))))
-    scanned = stored(scan_files(ok))
+    scanned = stored(scan_once(ok))
     entities = entities_of(scanned)
     plain = index_chunks(ok, entities)
     java = F.col("language") == "java"

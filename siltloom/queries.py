@@ -731,6 +731,19 @@ def scan_go(spark, sf_dir):
     return _declared(spark, sf_dir, ".go", _GO_CODE)
 
 
+_TWO_BRANCHES = " FROM documents CROSS JOIN (VALUES ('a'), ('b')) b(branch)"
+
+
+@query(
+    f"SELECT branch, doc_id || '.py' AS file_path, 'Class' AS type, 'Doc' AS name, CAST({_LINES} + 2 AS INTEGER) AS start_line{_TWO_BRANCHES} UNION ALL SELECT branch, doc_id || '.py', 'Method', 'run', CAST({_LINES} + 3 AS INTEGER){_TWO_BRANCHES}"
+)
+def scan_once(spark, sf_dir):
+    """Files that two branches share, and copies among the documents: each text is scanned once."""
+    code = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")), F.lit("\nclass Doc(Base):\n    def run(self):\n        helper(self)\n"))
+    d = read(spark, sf_dir, "documents").select(F.lit("org/a").alias("repo"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("branch"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), code.alias("content"))
+    return entities.entities_of(entities.scan_once(d)).select("branch", "file_path", "type", "name", "start_line")
+
+
 # The same with what a scanner of lines gets wrong: headers over several lines, braces on lines of their own and in comments and strings, annotations on the line, nested types.
 _JAVA_SHAPES = (
     "import a.b;\n/* { */\npublic class A#<T extends Z>\n    extends Base<T>\n    implements p.Left, Right<T[]>\n{\n    static { boot(); }\n    int[] a, b[] = {1, 2};\n    @Override public String show() { return \"class N { \" + more(a); }\n"

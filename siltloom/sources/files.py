@@ -13,6 +13,8 @@ EVENT = T.StructType([
 ])
 PAYLOAD = "ref string, repository struct<full_name:string>, pusher struct<name:string>, action string, number bigint, pull_request struct<merged:boolean,base:struct<ref:string>,head:struct<ref:string>>, sender struct<login:string>"
 
+from siltloom.sources.tables import stored
+
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below root/org/name/branch/... with size and sha1; ``raw`` holds the bytes. Splits follow the file sizes."""
@@ -66,3 +68,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(events: DataFrame) -> DataFrame:
     return events.withColumn("p", F.from_json("payload", PAYLOAD))
+
+
+def content_store(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (repo, branch, file_path, content) as paths (repo, branch, file_path, h) and texts (h, content), each text once, both stored: equal files of branches and repos are read, scanned
+    and chunked once. h is the text's SHA-256; files without content have no h."""
+    hashed = files.withColumn("h", F.sha2("content", 256))
+    paths = stored(hashed.drop("content"))
+    return paths, stored(hashed.where("h is not null").groupBy("h").agg(F.first("content").alias("content")))

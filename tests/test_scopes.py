@@ -82,3 +82,11 @@ def test_rejects_come_from_the_same_pass(spark, monkeypatch):
     scanned = spark.createDataFrame([("r", "b", "a.py", None), ("r", "b", "b.py", "ValueError: no")], "repo string, branch string, file_path string, error string")
     assert [tuple(r) for r in entities.rejects_of(scanned).collect()] == [("r", "b", "b.py", "ValueError: no")]
     assert entities.entities_of(scanned).columns == ["repo", "branch", "file_path"]
+
+
+def test_equal_texts_are_scanned_once(spark):
+    text = "class A(B):\n    def f(self): g()\n"
+    rows = [("r", b, p, c) for b in ("main", "dev") for p, c in (("a.py", text), ("copy.py", text), ("a.js", text), ("n.py", None), ("e.py", ""), ("x.txt", text))]
+    files = spark.createDataFrame(rows, "repo string, branch string, file_path string, content string")
+    by = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert by(entities.scan_once(files)) == by(entities.scan_files(files))
