@@ -200,6 +200,30 @@ def split_by_line_pattern(spark, sf_dir):
     return chunking.split_by_line_pattern(p, "html").select(F.col("file_path").cast("long").alias("page_id"), "position", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+# Code files of five languages, over 8,000 characters each: a document's text until it is long enough, a line that begins a block, and the text once more.
+_BLOCK_LINES = {"python": "    async def f(x):", "javascript": "const f = x => x", "typescript": "interface I extends J {", "csharp": "    private static int f() {", "go": "func f() {"}
+_LONG = "repeat(text || chr(10), CAST(1 + 8000 // (length(text) + 1) AS INTEGER))"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {list(_BLOCK_LINES)}[doc_id % 5 + 1] AS language, {_LONG} || {list(_BLOCK_LINES.values())}[doc_id % 5 + 1] || chr(10) || text AS content FROM documents), "
+    "l AS (SELECT doc_id, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM d), "
+    f"g AS (SELECT *, sum(CASE WHEN i > 0 AND CASE language {' '.join(f"WHEN '{k}' THEN regexp_matches(line, '{chunking.LINE_PATTERNS[k]}')" for k in _BLOCK_LINES)} END THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l), "
+    "k AS (SELECT doc_id, language, b, min(i) AS position, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS block FROM g GROUP BY ALL), s AS (SELECT * FROM k WHERE block <> '') "
+    "SELECT doc_id, language, CAST(position AS INTEGER) AS position, md5(block) AS digest FROM s WHERE doc_id IN (SELECT doc_id FROM s GROUP BY 1 HAVING count(*) > 1)"
+)
+def split_functions(spark, sf_dir):
+    n, names = F.col("doc_id"), list(_BLOCK_LINES)
+    d = read(spark, sf_dir, "documents").withColumn("language", F.get(F.array(*map(F.lit, names)), (n % 5).cast("int")))
+    long = F.expr("repeat(concat(text, '\n'), cast(1 + 8000 div (length(text) + 1) as int))")
+    out = None
+    for name in names:
+        f = d.where(F.col("language") == name).select("language", F.lit("r").alias("repo"), F.lit("b").alias("branch"), n.cast("string").alias("file_path"), F.concat(long, F.lit(f"{_BLOCK_LINES[name]}\n"), "text").alias("content"))
+        part = chunking.split_by_line_pattern(f, name).select(F.col("file_path").cast("long").alias("doc_id"), F.lit(name).alias("language"), "position", F.md5("text").alias("digest"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(f"WITH {ENTITIES} SELECT doc_id, id, (SELECT 0) + length(words) AS n_relations FROM nodes")
 def entity_ids(spark, sf_dir):
     e = doc_entities(spark, sf_dir)
@@ -436,6 +460,19 @@ def keyword_postings(spark, sf_dir):
     return retrieve.keyword_scan(q, f, 20, 1000, retrieve.file_postings(f)).select("repo", "branch", "file_path", F.md5("content").alias("digest"), "rank")
 
 
+@query(f"WITH {CHUNKS} SELECT a.chunk_id AS chunk_id, b.chunk_id AS next_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM chunks a JOIN chunks b ON b.chunk_id = a.chunk_id + 1")
+def cosine_of_neighbours(spark, sf_dir):
+    c = vec_chunks(spark, sf_dir).select("chunk_id", "embedding")
+    after = c.select(F.col("chunk_id").alias("next_id"), F.col("embedding").alias("next"))
+    return c.join(after, F.col("next_id") == F.col("chunk_id") + 1).select("chunk_id", "next_id", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 9).alias("score"))
+
+
+@query(f"WITH {FILES}, c AS (SELECT *, {_LANGUAGE_CASE} AS language FROM files) SELECT repo, branch, count(*) AS n_files, md5(string_agg(file_path, ',' ORDER BY file_path)) AS digest FROM c WHERE language = 'sql' GROUP BY ALL")
+def indexed_files_of_language(spark, sf_dir):
+    f = doc_files(spark, sf_dir)
+    return catalog.indexed_files(f.withColumn("language", P.language_of(F.col("file_path"))), "sql").select("repo", "branch", "n_files", F.md5(F.array_join("paths", ",")).alias("digest"))
+
+
 # Order-preserving distinct of a list, and the words that count as names or keywords.
 _FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _STOP = "[" + ",".join(f"'{w}'" for w in T.STOPWORDS) + "]"
