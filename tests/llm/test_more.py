@@ -143,3 +143,28 @@ def test_decontamination_stage_keeps_all_columns(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     d = spark.createDataFrame([(1, "a clean text", 7, "x", [1]), (2, " ".join(f"b{i}" for i in range(20)), 8, "y", [2])], "doc_id long, text string, n_words int, hits string, items array<int>")
     assert [tuple(r) for r in corpus_pipeline.decontaminate(spark, d, str(tmp_path)).collect()] == [(1, "a clean text", 7, "x", [1])]
+
+
+def test_targets_of_the_mix_against_a_plain_version(spark):
+    """Shares 5, 2, 1 by turns in order of the sources' names, null last; what exceeds three times a source's size goes to the others by weight."""
+    from siltloom.llm.mixing import op2_min_cost_flow
+
+    rows = op2_min_cost_flow(spark, SF).collect()
+    sizes = {r.source: r.source_size for r in rows}
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    assert {s: sum(r.size for r in rows if r.source == s) for s in names} == sizes
+    target, left = {}, float(sum(sizes.values()))
+    while True:
+        open_ = [s for s in names if s not in target]
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+    assert {r.source: pytest.approx(r.target, rel=1e-9) for r in rows} == target
+    for s in names:
+        assert abs(sum(r.taken for r in rows if r.source == s) - target[s]) <= 1
