@@ -328,16 +328,27 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
-@query(
+_REACHED = (
     f"WITH {_TRADE}, s AS (SELECT r_regionkey AS query_id, 'region:' || r_regionkey AS id FROM region) SELECT DISTINCT query_id, u1.b AS id, upper(u1.b) AS name, 1 AS distance FROM s JOIN u u1 ON s.id = u1.a UNION SELECT DISTINCT query_id, u2.b, upper(u2.b), 2 "
     "FROM s JOIN u u1 ON s.id = u1.a JOIN u u2 ON u1.b = u2.a AND u2.e <> u1.e"
 )
+
+
+@query(_REACHED)
 def expand_2(spark, sf_dir):
     nodes, edges = trade_graph(spark, sf_dir)
     seeds = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
     return graph.by_distance(graph.expand(seeds, nodes, edges, 2).select("query_id", "id", "name", "distance"))
 
 
+@query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, name, id) AS rank FROM ({_REACHED})")
+def neighbour_ranks(spark, sf_dir):
+    """The order of ``expand_2`` as numbers: near nodes first, then by name and id."""
+    nodes, edges = trade_graph(spark, sf_dir)
+    seeds = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
+    return catalog.ranked(graph.expand(seeds, nodes, edges, 2).select("query_id", "id", "name", "distance"), ["query_id"], ["distance", "name", "id"])
+
+
 @query(
     f"WITH {_TRADE}, s AS (SELECT n_nationkey AS query_id, 'nation:' || n_nationkey AS id FROM nation), p AS (SELECT DISTINCT query_id, u1.b AS id, 1 AS distance FROM s JOIN u u1 ON s.id = u1.a UNION SELECT DISTINCT query_id, u2.b, 2 FROM s JOIN u u1 ON s.id = u1.a JOIN "
     "u u2 ON u1.b = u2.a AND u2.e <> u1.e UNION SELECT DISTINCT query_id, u3.b, 3 FROM s JOIN u u1 ON s.id = u1.a JOIN u u2 ON u1.b = u2.a AND u2.e <> u1.e JOIN u u3 ON u2.b = u3.a AND u3.e <> u2.e AND u3.e <> u1.e) "
