@@ -81,6 +81,21 @@ def test_without_training_rows(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score < 0
 
 
+@pytest.mark.parametrize("kind", ["binary", "large_binary"])
+def test_words_are_split_as_bytes(kind):
+    import pyarrow as pa
+
+    from siltloom.llm.context_mixing import tokens_of
+
+    texts = [b"", None, b" \t a\x1cB\x0bc\xffD \x85\xc2\xa0e\n\n", b"\x00 Z", "Ünï ÀB".encode(), b"   "]
+    want = [(i, w) for i, t in enumerate(texts) for w in (t or b"").translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()]
+    for rows in (texts, texts[:2], []):
+        words, of = tokens_of(pa.array(rows, getattr(pa, kind)()))
+        assert list(zip(of.tolist(), words.to_pylist())) == [x for x in want if x[0] < len(rows)]
+    words, of = tokens_of(pa.array([b"x y", *texts], getattr(pa, kind)()).slice(1))
+    assert list(zip(of.tolist(), words.to_pylist())) == want
+
+
 def test_levels():
     assert states_of(np.array([0, 1, 4, 5, 65535]), np.array([0, 0, 1, 2, 3])).tolist() == [0, 16, 65, 82, 15 * 16 + 3]
 
