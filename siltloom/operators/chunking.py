@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltloom.functions.paths import language_of
 from siltloom.functions.text import SPACE, chunk_embed_text, strip
+from siltloom.sources.batches import SLICE_BYTES, bounded_batches, slices
 
 SIZE, OVERLAP = 8000, 400
 LEAST_CUT = SIZE // 3
@@ -168,29 +171,55 @@ def chunk_text(text: str, language: str) -> list[Chunk]:
     return blocks(lines, starts) if len(starts) > 1 else by_size(text)
 
 
-def _safe(text: str, language: str) -> dict:
+def _safe(text: str, language: str) -> tuple[list[Chunk], str | None]:
     try:
-        return {"chunks": [{"position": p, "text": t} for p, t in chunk_text(text, language)], "error": None}
+        return chunk_text(text, language), None
     except Exception as e:  # a file that fails is set apart, with its reason; the run goes on
-        return {"chunks": [], "error": f"{type(e).__name__}: {e}"}
+        return [], f"{type(e).__name__}: {e}"
 
 
-@F.pandas_udf(T.StructType([T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType())]))), T.StructField("error", T.StringType())]))
-def _chunks(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_safe(t, x) for t, x in zip(text, language)], columns=["chunks", "error"])
+KEYS = ["repo", "branch", "file_path", "language"]
 
 
 def _chunked(files: DataFrame) -> DataFrame:
-    """One pass: the helper gets the content of large files only, a null for the others."""
-    f = files.withColumn("language", language_of(F.col("file_path"))).withColumn("__small", F.length("content") <= SIZE)
-    f = f.where("content is not null").withColumn("__c", _chunks(F.when(~F.col("__small"), F.col("content")), "language"))
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.col("content").alias("text")))
-    return f.select(*files.columns, "language", F.when(F.col("__small"), whole).otherwise(F.col("__c.chunks")).alias("chunks"), F.col("__c.error").alias("error"))
+    """One pass: (repo, branch, file_path, language, position, text, error), a row a chunk, and one with the reason for a file that fails. Small files pass as they are;
+    of large ones about SLICE_BYTES of chunks are held at a time. Contents that are null give no rows; they aren't filtered before, as Spark would derive a content once more for that.
+    """
+    bounded_batches(files.sparkSession)
+    f = files.select("repo", "branch", "file_path", language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
+    fields = [*f.schema.fields[:4], T.StructField("position", T.IntegerType()), f.schema["text"], T.StructField("error", T.StringType())]
+
+    return f.mapInArrow(_chunk_batches, T.StructType(fields))
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        texts = part.column("text")
+        size = pc.utf8_length(texts)
+        small = part.filter(pc.less_equal(size, SIZE))
+        if small.num_rows:
+            yield _rows(small, np.arange(small.num_rows), np.zeros(small.num_rows, np.int32), small.column("text"), [None] * small.num_rows)
+        of, position, text, error, held = [], [], [], [], 0
+        for i in np.flatnonzero(pc.fill_null(pc.greater(size, SIZE), False).to_numpy(zero_copy_only=False)).tolist():
+            found, failed = _safe(texts[i].as_py(), part.column("language")[i].as_py())
+            for p, t in found if failed is None else [(None, None)]:
+                of.append(i), position.append(p), text.append(t), error.append(failed)
+                held += 128 + len(t or "")
+                if held >= SLICE_BYTES:
+                    yield _rows(part, of, position, text, error)
+                    of, position, text, error, held = [], [], [], [], 0
+        if of:
+            yield _rows(part, of, position, text, error)
+
+
+def _rows(part: pa.RecordBatch, of: Sequence[int], position: Sequence[int], text: Sequence[str] | pa.Array, error: list[str | None]) -> pa.RecordBatch:
+    own = part.select(KEYS).take(pa.array(of, pa.int64()))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.array(position, pa.int32()), text if isinstance(text, pa.Array) else pa.array(text, part.column("text").type), pa.array(error, pa.string())], [*KEYS, "position", "text", "error"])
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Files (repo, branch, file_path, content) to the chunk table. Only files over 8,000 characters reach the helper."""
-    c = _chunked(files).select("repo", "branch", "file_path", "language", F.inline("chunks"))
+    """Files (repo, branch, file_path, content) to the chunk table. Only files over 8,000 characters are looked into."""
+    c = _chunked(files).where("error is null").drop("error")
     none = lambda *names: {n: F.lit(None).cast("string") for n in names}
     embed = chunk_embed_text(*map(F.col, ("repo", "branch", "file_path", "language", "text")))
     return c.withColumn("embed_text", embed).withColumns(none("entity_id", "ast_type", "ast_name", "ast_signature"))
