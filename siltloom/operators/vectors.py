@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltloom.sources.batches import bounded_batches
+
 EMBED_LIMIT, BATCH = 20000, 25
 #: Bytes of query vectors that are broadcast; beyond that queries and chunks meet in blocks.
 QUERY_BYTES = 64 << 20
 #: Bytes of the chunk vectors that a task holds then, and the queries that it scores at once.
 BLOCK_BYTES, QUERIES = 64 << 20, 256
+#: Scores that a task holds at a time, and the queries that a row of blocks has at least where there are more.
+SCORES, WIDE = 1 << 20, 1024
 
 
 def fit_dim(vector: Column, dim: int) -> Column:
@@ -67,6 +71,7 @@ def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: int, text:
             parts = [np.asarray(fn(cut[i : i + BATCH]), np.float32)[:, :dim] for i in range(0, len(cut), BATCH)]
             yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
 
+    bounded_batches(df.sparkSession)
     if not distinct:
         return df.withColumn("embedding", run(text))
     t = F.coalesce(F.col(text), F.lit(""))
@@ -85,31 +90,48 @@ class Best:
     """The k best (score, then chunk id) for each query of a block, kept as columns and cut back when they grow."""
 
     def __init__(self, queries: pa.Table | pa.RecordBatch, k: int):
-        v = queries.column("vector").to_pylist()
-        self.dim, self.k = max(map(len, v)), k
-        self.fits = np.array([len(x) == self.dim for x in v])
-        self.m = unit(np.array([x if len(x) == self.dim else [0.0] * self.dim for x in v], np.float64))
+        v = queries.column("vector")
+        self.dim, self.k = pc.max(pc.list_value_length(v)).as_py(), k
+        ok, x = _same_length(v, self.dim)
+        self.fits, self.m = np.zeros(len(v), bool), np.zeros((len(v), self.dim))
+        self.fits[ok], self.m[ok] = True, x
         self.ids, self.scopes = queries.column("query_id"), list(zip(queries.column("repo").to_pylist(), queries.column("branch").to_pylist()))
+        of: dict[tuple[str | None, str | None], list[int]] = {}
+        for i in np.flatnonzero(self.fits).tolist():
+            of.setdefault(self.scopes[i], []).append(i)
+        self.rows = {scope: np.array(rows) for scope, rows in of.items()}
+        self.least = np.full(len(v), -np.inf)
         self.kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         self.size = 0
 
     def add(self, x: np.ndarray, ids: pa.Array, repo: pa.Array, branch: pa.Array) -> None:
-        """Chunks of unit vectors. A query's candidates of this block are those not below its k-th best here; ties all stay for now."""
-        s = np.round(self.m @ x.T, 12)  # the order of additions, which hangs on the block's shape, must not part equal scores
-        s[~self.fits] = -np.inf
-        for r, b in set(self.scopes) - {(None, None)}:
-            out = np.zeros(len(x), bool)
+        """Chunks of unit vectors. Queries of a scope meet the chunks of that scope, at most SCORES scores at a time. A query's candidates of a block are
+        those not below its k-th best there; ties all stay for now."""
+        for (r, b), rows in self.rows.items():
+            inside = np.ones(len(x), bool)
             for want, own in ((r, repo), (b, branch)):
                 if want is not None:
-                    out |= ~pc.fill_null(pc.equal(own, want), False).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero([scope == (r, b) for scope in self.scopes])
-            s[np.ix_(rows, out)] = -np.inf
+                    inside &= pc.fill_null(pc.equal(own, want), False).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(inside)
+            if not len(at):
+                continue
+            wide = max(1, min(len(at), SCORES // max(1, min(len(rows), WIDE))))
+            for j0 in range(0, len(at), wide):
+                some = at[j0 : j0 + wide]
+                y = x[some].T
+                for i0 in range(0, len(rows), max(1, SCORES // wide)):
+                    self._meet(rows[i0 : i0 + max(1, SCORES // wide)], y, some, ids)
+
+    def _meet(self, rows: np.ndarray, y: np.ndarray, some: np.ndarray, ids: pa.Array) -> None:
+        s = np.round(self.m[rows] @ y, 12)  # the order of additions, which hangs on the block's shape, must not part equal scores
         k = min(self.k, s.shape[1])
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        q, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-        self.kept.append((q, s[q, j], ids.take(pa.array(j))))
+        q, j = np.nonzero(s >= np.maximum(least, self.least[rows])[:, None])
+        self.kept.append((rows[q], s[q, j], ids.take(pa.array(some[j]))))
+        if k == self.k:
+            self.least[rows] = np.maximum(self.least[rows], least)  # the query's k-th best is no less
         self.size += len(q)
-        if self.size > 4 * self.k * len(self.scopes) + 100_000:
+        if self.size > 2 * self.k * len(self.scopes) + 100_000:
             self.cut()
 
     def cut(self) -> pa.RecordBatch:
@@ -144,6 +166,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, vector: str = "em
     """
     named = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *[(F.col(c) if c in queries.columns else F.lit(None)).cast("string").alias(c) for c in ("repo", "branch")]).where("vector is not null")
     own = chunks.select("chunk_id", F.col("repo").cast("string").alias("repo"), F.col("branch").cast("string").alias("branch"), F.col(vector).cast("array<double>").alias("v"))
+    bounded_batches(queries.sparkSession)
     n, dim = named.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     found = _in_place(named, own, k) if n * max(1, dim) * 8 <= query_bytes else _in_blocks(named, own, k, max(1, dim), block_bytes)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
@@ -159,7 +182,7 @@ def _in_place(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held.value.combine_chunks()
-        lengths = sorted({len(v) for v in asked.column("vector").to_pylist()} - {0})
+        lengths = sorted(set(pc.unique(pc.list_value_length(asked.column("vector"))).to_pylist()) - {0})
         best = [(d, Best(asked.filter(pc.equal(pc.list_value_length(asked.column("vector")), d)).combine_chunks().to_batches()[0], k)) for d in lengths]
         for batch in batches:
             for d, b in best:

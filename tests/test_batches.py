@@ -38,3 +38,23 @@ def test_chunks_of_many_large_files_come_in_parts(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([x] * 20) for x in ("r", "b", "f", "sql", text)], [*C.KEYS, "text"])
     sizes = [b.nbytes for b in C._chunk_batches(iter([batch]))]
     assert len(sizes) > 20 and max(sizes) < 1 << 15
+
+
+def test_scores_are_held_in_blocks(monkeypatch):
+    monkeypatch.setattr(V, "SCORES", 300)
+    monkeypatch.setattr(V, "WIDE", 16)
+    rng = np.random.default_rng(5)
+    x, m, k = rng.integers(-2, 3, (200, 3)).astype(float), rng.integers(-2, 3, (50, 3)).astype(float), 4
+    place = ["a" if i % 3 else "b" for i in range(200)]
+    wanted = [[None, "a", "b"][i % 3] for i in range(50)]
+    q = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(m.tolist(), pa.list_(pa.float64())), pa.array(wanted, pa.string()), pa.nulls(50, pa.string())], ["query_id", "vector", "repo", "branch"])
+    best, sizes, meet = V.Best(q, k), [], V.Best._meet
+    monkeypatch.setattr(V.Best, "_meet", lambda self, rows, y, *a: (sizes.append(len(rows) * y.shape[1]), meet(self, rows, y, *a)))
+    for i in range(0, 200, 60):
+        n = len(x[i : i + 60])
+        best.add(V.unit(x[i : i + 60]), pa.array(range(i, i + n)), pa.array(place[i : i + n]), pa.nulls(n, pa.string()))
+    got = best.cut()
+    assert max(sizes) <= 300
+    scores = np.round(V.unit(m) @ V.unit(x).T, 12)
+    want = [(i, j) for i in range(50) for _, j in sorted((-scores[i, j], j) for j in range(200) if wanted[i] in (None, place[j]))[:k]]
+    assert list(zip(got.column("query_id").to_pylist(), got.column("chunk_id").to_pylist())) == want
