@@ -162,12 +162,22 @@ def lookup_ids(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def entity_with_relations(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with their outgoing relations as an array of (rel_type, target_name, target_type), sorted; empty where there are none."""
+def entity_with_relations(ids: DataFrame, nodes: DataFrame, edges: DataFrame | Links) -> DataFrame:
+    """Nodes with their outgoing relations as an array of (rel_type, target_name, target_type), sorted; empty where there are none.
+
+    With links by name the nodes of a group are counted by name and type, and a relation is repeated by that count in the node's own row only: what is joined and exchanged
+    are references and counts, not edges.
+    """
     own = lookup_ids(ids, nodes)
-    out = edges.join(own.select(F.col("id").alias("src_id")), "src_id").join(nodes.select(F.col("id").alias("dst_id"), F.col("name").alias("target_name"), F.col("type").alias("target_type")), "dst_id")
-    lists = out.groupBy(F.col("src_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rel_type", "target_name", "target_type"))).alias("relations"))
-    return own.join(lists, "id", "left").withColumn("relations", F.coalesce("relations", F.array().cast("array<struct<rel_type:string,target_name:string,target_type:string>>")))
+    found = edges if isinstance(edges, Links) else links_of(edges)
+    refs = found.refs.join(ids.select("id").distinct(), "id", "left_semi")
+    named = nodes.select("id", F.col("name").alias("target_name"), F.col("type").alias("target_type"))
+    counts = found.members.join(named, "id").groupBy("group", "target_name", "target_type").agg(F.count("*").cast("int").alias("n"))
+    out = refs.join(counts, "group").groupBy("id", "rel_type", "target_name", "target_type").agg(F.sum("n").cast("int").alias("n"))
+    lists = out.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rel_type", "target_name", "target_type", "n"))).alias("relations"))
+    repeated = F.flatten(F.transform("relations", lambda r: F.array_repeat(F.struct(r["rel_type"].alias("rel_type"), r["target_name"].alias("target_name"), r["target_type"].alias("target_type")), r["n"])))
+    none = F.array().cast("array<struct<rel_type:string,target_name:string,target_type:string>>")
+    return own.join(lists.select("id", repeated.alias("relations")), "id", "left").withColumn("relations", F.coalesce("relations", none))
 
 
 def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

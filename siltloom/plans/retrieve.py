@@ -76,7 +76,7 @@ def search_hybrid(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
     return ranked.where(F.col("rank") <= limit).select("query_id", "key", "score", "source", "rank")
 
 
-def entity(names: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def entity(names: DataFrame, nodes: DataFrame, edges: DataFrame | Links) -> DataFrame:
     """The first node (by file path) of each (query_id, name, repo?, branch?) with its relations."""
     first = lookup_names(names, nodes, 1).select("query_id", "id")
     return first.join(entity_with_relations(first.select("id"), nodes, edges), "id")
@@ -132,13 +132,17 @@ def keyword_scan(queries: DataFrame, files: DataFrame, max_files: int = 20, max_
     return found.select("query_id", "repo", "branch", "file_path", "content", "rank")
 
 
-def class_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Class names in questions (query_id, query, repo, branch): their entity with score 1.0, and its first five relation targets with 0.95, if they have code."""
+def class_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame | Links) -> DataFrame:
+    """Class names in questions (query_id, query, repo, branch): their entity with score 1.0, and its first five relation targets with 0.95, if they have code.
+
+    Until the last join nodes go without their texts: of the code only whether there is any.
+    """
+    slim = nodes.select("id", "type", "name", "file_path", "repo", "branch", F.when(F.col("code") != "", "1").otherwise("").alias("code"))
     asked = questions.where("repo is not null").select("query_id", "repo", "branch", F.posexplode(T.class_names(F.col("query"))).alias("n", "name"))
-    first = entity(asked.drop("n"), nodes, edges).where("code <> ''")
+    first = entity(asked.drop("n"), slim, edges).where("code <> ''")
     own = first.select("query_id", "id", F.lit(1.0).alias("score"), F.lit("entity").alias("source"))
     targets = first.select("query_id", F.col("repo"), F.col("branch"), F.explode(F.slice(F.filter("relations", lambda r: r["target_name"] != ""), 1, 5)).alias("r")).select("query_id", "repo", "branch", F.col("r.target_name").alias("name"))
-    more = lookup_names(targets, nodes, 1).where("code <> ''").select("query_id", "id", F.lit(0.95).alias("score"), F.lit("relation").alias("source"))
+    more = lookup_names(targets, slim, 1).where("code <> ''").select("query_id", "id", F.lit(0.95).alias("score"), F.lit("relation").alias("source"))
     best = own.union(more).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max_by("source", "score").alias("source"))
     return best.join(nodes, "id")
 
