@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,23 +230,35 @@ def chunk_rejects(files: DataFrame) -> DataFrame:
     return _chunked(files).where("error is not null").select("repo", "branch", "file_path", "error")
 
 
-def with_line_blocks(df: DataFrame, pattern: str) -> DataFrame:
-    """``df`` (with content) and ``blocks`` that begin at line 0 and at every later line that matches: array of (position, text), stripped, without blank ones.
+def line_blocks(content: Column, begins: Callable[[Column], Column]) -> Column:
+    """Blocks of a text that begin at line 0 and at every later line that ``begins``: array of (position, text), stripped, without blank ones.
 
-    Lines and starts are columns of their own, for a lambda would split the content anew at each line.
+    Steps are elements of an array of one, which the next step's lambda reads in place: a filter or an explosion on columns would have Spark derive them anew.
     """
-    lines, starts = F.col("__lines"), F.col("__starts")
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines)))
-    block = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("position"), strip(F.array_join(F.slice(lines, a + 1, b - a), "\n")).alias("text")))
-    return (
-        df.withColumn("__lines", F.split("content", "\n", -1))
-        .withColumn("__starts", F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | x.rlike(pattern), i)), lambda i: i.isNotNull()))
-        .withColumn("blocks", F.filter(block, lambda x: x["text"] != "")).drop("__lines", "__starts")
-    )
+    split = F.transform(F.array(content), lambda c: F.split(c, "\n", -1))
+    start = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | begins(x), i)), lambda i: i.isNotNull())
+    placed = F.transform(split, lambda lines: F.struct(lines.alias("lines"), start(lines).alias("starts")))
+    ends = lambda s: F.concat(F.slice(s["starts"], 2, F.greatest(F.size(s["starts"]), F.lit(1))), F.array(F.size(s["lines"])))
+    text = lambda s, a, b: strip(F.array_join(F.slice(s["lines"], a + 1, b - a), "\n"))
+    found = F.transform(placed, lambda s: F.filter(F.zip_with(s["starts"], ends(s), lambda a, b: F.struct(a.alias("position"), text(s, a, b).alias("text"))), lambda x: x["text"] != ""))
+    return F.get(found, F.lit(0))
 
 
-def split_by_line_pattern(files: DataFrame, language: str) -> DataFrame:
+def split_by_line_pattern(files: DataFrame, language: str | None = None) -> DataFrame:
     """Blocks (repo, branch, file_path, position, text) of files over 8,000 characters, by built-in functions; files where no line but the first begins a
-    block are left to the split by size."""
-    found = with_line_blocks(files.where(F.length("content") > SIZE), LINE_PATTERNS[language])
-    return found.where(F.size("blocks") > 1).select("repo", "branch", "file_path", F.inline("blocks"))
+    block are left to the split by size. Without ``language`` that of each row holds (column ``language``), so that all are read in one pass."""
+
+    def begins(line: Column) -> Column:
+        if language is not None:
+            return line.rlike(LINE_PATTERNS[language])
+        of: dict[str, list[str]] = {}
+        for name, pattern in LINE_PATTERNS.items():
+            of.setdefault(pattern, []).append(name)
+        out = F.lit(False)
+        for pattern, names in of.items():
+            out = F.when(F.col("language").isin(*names), line.rlike(pattern)).otherwise(out)
+        return out
+
+    large = F.transform(F.array(F.col("content")), lambda c: F.when(F.length(c) > SIZE, c))
+    some = F.transform(F.array(line_blocks(F.get(large, F.lit(0)), begins)), lambda b: F.when(F.size(b) > 1, b))
+    return files.select("repo", "branch", "file_path", F.inline_outer(F.get(some, F.lit(0)))).where("position is not null")

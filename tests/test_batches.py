@@ -58,3 +58,12 @@ def test_scores_are_held_in_blocks(monkeypatch):
     scores = np.round(V.unit(m) @ V.unit(x).T, 12)
     want = [(i, j) for i in range(50) for _, j in sorted((-scores[i, j], j) for j in range(200) if wanted[i] in (None, place[j]))[:k]]
     assert list(zip(got.column("query_id").to_pylist(), got.column("chunk_id").to_pylist())) == want
+
+
+def test_line_blocks_are_derived_once(spark):
+    go, python = "func f() {\n" + "x" * 9000 + "\nfunc g() {", "a = 1\n" + "x" * 9000 + "\ndef f():"
+    d = spark.createDataFrame([("go", "1", go), ("python", "2", python), ("python", "3", go), ("go", "4", "func a\nfunc b"), ("go", "5", None)], "language string, file_path string, text string")
+    d = d.select("language", F.lit("r").alias("repo"), F.lit("b").alias("branch"), "file_path", F.regexp_replace("text", "zzz", "").alias("content"))
+    out = C.split_by_line_pattern(d)
+    assert sorted((r["file_path"], r["position"]) for r in out.collect()) == [("1", 0), ("1", 2), ("2", 0), ("2", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("zzz") == 1
