@@ -169,11 +169,14 @@ def entity_with_relations(ids: DataFrame, nodes: DataFrame, edges: DataFrame | L
     are references and counts, not edges.
     """
     own = lookup_ids(ids, nodes)
-    found = edges if isinstance(edges, Links) else links_of(edges)
-    refs = found.refs.join(ids.select("id").distinct(), "id", "left_semi")
     named = nodes.select("id", F.col("name").alias("target_name"), F.col("type").alias("target_type"))
-    counts = found.members.join(named, "id").groupBy("group", "target_name", "target_type").agg(F.count("*").cast("int").alias("n"))
-    out = refs.join(counts, "group").groupBy("id", "rel_type", "target_name", "target_type").agg(F.sum("n").cast("int").alias("n"))
+    if isinstance(edges, Links):
+        refs = edges.refs.join(ids.select("id").distinct(), "id", "left_semi")
+        counts = edges.members.join(named, "id").groupBy("group", "target_name", "target_type").agg(F.count("*").cast("int").alias("n"))
+        out = refs.join(counts, "group")
+    else:
+        out = edges.join(own.select(F.col("id").alias("src_id")), "src_id").join(named.withColumnRenamed("id", "dst_id"), "dst_id").withColumnRenamed("src_id", "id").withColumn("n", F.lit(1))
+    out = out.groupBy("id", "rel_type", "target_name", "target_type").agg(F.sum("n").cast("int").alias("n"))
     lists = out.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rel_type", "target_name", "target_type", "n"))).alias("relations"))
     repeated = F.flatten(F.transform("relations", lambda r: F.array_repeat(F.struct(r["rel_type"].alias("rel_type"), r["target_name"].alias("target_name"), r["target_type"].alias("target_type")), r["n"])))
     none = F.array().cast("array<struct<rel_type:string,target_name:string,target_type:string>>")
