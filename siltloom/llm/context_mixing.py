@@ -27,7 +27,7 @@ MOST_COUNTED = 400_000
 TOGETHER = 12_000
 CLIP = 12.0
 #: Texts, and words, from which one task learns weights.
-TEXTS, WORDS = 500, 20_000
+TEXTS, WORDS = 2_000, 80_000
 #: Bits after which weights move.
 STEP = 2048
 BUCKETS = 33
@@ -36,13 +36,13 @@ BUCKETS = 33
 @dataclass(frozen=True)
 class Mixing:
     """``words``: the most frequent training words that get a code of their own, of ``word_bytes`` at most; ``word_slots`` and ``char_slots``: logarithms of the
-    number of slots of a predictor's table; one in ``share`` training documents (and of rare words) teaches weights, a fixed part of the corpus; ``rate``: step of the weights."""
+    number of slots of a predictor's table; one in ``share`` training documents (and of rare words) teaches weights and map: all of them, unless told otherwise; ``rate``: step of the weights."""
 
     words: int = 65_534
     word_bytes: int = 64
     word_slots: int = 22
     char_slots: int = 20
-    share: int = 16
+    share: int = 1
     rate: float = 0.03
 
 
@@ -61,6 +61,21 @@ def states_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _LEVEL[n0] * np.uint8(16) + _LEVEL[n1]
 
 
+def states_apart(n: np.ndarray) -> np.ndarray:
+    """States of slots [slot, bit] as each event sees them that is itself taken out, at 2 * slot + bit."""
+    out = np.empty(n.size, np.uint8)
+    out[0::2] = states_of(np.maximum(n[:, 0], 1) - 1, n[:, 1])
+    out[1::2] = states_of(n[:, 0], np.maximum(n[:, 1], 1) - 1)
+    return out
+
+
+def worth_of(total: np.ndarray) -> np.ndarray:
+    """How often each state, at 2 * state + bit, was met by events that are taken out: the whole corpus's sums of slots by their counts."""
+    at = states_apart(np.minimum(total, MOST_COUNT).astype(np.uint16).reshape(-1, 2)).astype(np.intp) * 2
+    at[1::2] += 1
+    return np.bincount(at, total, 512)
+
+
 _N0, _N1 = _MEAN[np.arange(256) // 16], _MEAN[np.arange(256) % 16]
 #: 0 for an unseen context, 1 for one event, 2 for up to four, 3 for more.
 CONFIDENCE = np.searchsorted([0.5, 1.5, 4.5], _N0 + _N1).astype(np.uint8)
@@ -84,9 +99,10 @@ class Bits:
 class Mixer:
     """Counts of all slots, and what turns them into one probability: a learned stretch for each predictor and state, weights for each gate, the adaptive map."""
 
-    counts: np.ndarray | None  # predictor x slot x bit, for learning
+    counts: np.ndarray | None  # predictor x slot x bit
     rows: int
-    tables: np.ndarray = field(init=False)  # states, predictor x slot
+    tables: np.ndarray | None = field(init=False)  # states, predictor x slot
+    apart: np.ndarray | None = field(init=False)  # states without the own event, predictor x (slot, bit), for learning
     stretch: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
     map: np.ndarray = field(init=False)
@@ -94,28 +110,26 @@ class Mixer:
     def __post_init__(self):
         k = len(self.counts)
         self.tables = np.stack([states_of(n[:, 0], n[:, 1]) for n in self.counts])
+        self.apart = np.stack([states_apart(n) for n in self.counts])
+        self.counts = None
         self.stretch = np.tile(np.log(PRIOR / (1 - PRIOR)).astype(np.float32), (k, 1))
         self.weights = np.full((64, k + 1), 0.3, np.float32)
         self.map = np.tile(np.linspace(-8, 8, BUCKETS).astype(np.float32), (self.rows, 1))
 
     def __getstate__(self):
-        """Travels compressed, and the states without the counts that they come from."""
+        """Travels compressed: for learning the states without the own event, else those with all."""
         press = zstandard.ZstdCompressor(level=1)
-        learning = self.counts is not None
-        return self.__dict__ | {"counts": learning, "tables": (len(self.tables), press.compress((self.counts if learning else self.tables).tobytes()))}
+        name = "tables" if self.apart is None else "apart"
+        return self.__dict__ | {"tables": None, "apart": None, "sent": (name, len(getattr(self, name)), press.compress(getattr(self, name).tobytes()))}
 
     def __setstate__(self, state):
-        self.__dict__ |= state
-        k, packed = self.tables
-        raw = zstandard.ZstdDecompressor().decompress(packed)
-        self.counts = np.frombuffer(raw, np.uint16).reshape(k, -1, 2) if self.counts else None
-        self.tables = None if self.counts is not None else np.frombuffer(raw, np.uint8).reshape(k, -1)
+        name, k, packed = state.pop("sent")
+        self.__dict__ |= state | {name: np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(k, -1)}
 
     def inputs(self, b: Bits, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """States, inputs of the mix [predictor + 1, decision] and gates; ``apart``: without the decision's own event."""
         if apart:
-            own = [n[s].astype(np.int32) for n, s in zip(self.counts, b.slots)]
-            states = np.stack([states_of(n[:, 0] - (b.bit == 0), n[:, 1] - b.bit) for n in own])
+            states = np.stack([t.take(s * np.uint32(2) + b.bit, mode="clip") for t, s in zip(self.apart, b.slots)])
         else:
             states = np.stack([t.take(s, mode="clip") for t, s in zip(self.tables, b.slots)])
         states = states.astype(np.intp)  # gathers by other integers are slower
@@ -302,13 +316,13 @@ def word_parts(n: np.ndarray, before: np.ndarray, before2: np.ndarray, code: Wor
         yield code.bits_of(n[i : i + TOGETHER], before[i : i + TOGETHER], before2[i : i + TOGETHER], slot_bits)
 
 
-# Learning: counts of contexts over the whole corpus, then stretches, weights and the map over a fixed share of it.
+# Learning: counts of contexts and what states are worth, then weights and the map, all over the whole corpus.
 
 Parts = Callable[[pa.RecordBatch], Iterator[Bits]]
 
 
-def count_contexts(df: DataFrame, column: str, parts: Parts, predictors: int, slot_bits: int) -> np.ndarray:
-    """[predictor, slot, bit]: how often each bit came at each slot, over the bits of all rows. A task counts in arrays of fixed size and sends blocks that hold anything, compressed;
+def count_contexts(df: DataFrame, column: str, parts: Parts, predictors: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """[predictor, slot, bit]: how often each bit came at each slot, over the bits of all rows; [predictor, state, bit]: how often at each state, the own event taken out. A task counts in arrays of fixed size and sends blocks that hold anything, compressed;
     they are added up by block, one block in memory at a time. The driver gets four bytes a slot, a fixed size whatever the corpus."""
     slots = 1 << slot_bits
     _bounded_batches(df.sparkSession)
@@ -336,7 +350,8 @@ def count_contexts(df: DataFrame, column: str, parts: Parts, predictors: int, sl
 
         def told():
             sums = np.minimum(total, MOST_COUNT).astype(np.uint16)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([press.compress(sums.tobytes())], pa.binary())], ["k", "block", "n"])
+            packed = [pa.array([press.compress(x.tobytes())], pa.binary()) for x in (sums, worth_of(total))]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), *packed], ["k", "block", "n", "worth"])
 
         for batch in batches:
             for k, block, n in zip(batch.column("k").to_pylist(), batch.column("block").to_pylist(), batch.column("n").to_pylist()):
@@ -349,12 +364,13 @@ def count_contexts(df: DataFrame, column: str, parts: Parts, predictors: int, sl
             yield told()
 
     schema = "k int, block int, n binary"
-    counted = df.mapInArrow(count, schema).repartition("k", "block").sortWithinPartitions("k", "block").mapInArrow(added, schema)
-    out = np.zeros((predictors, slots, 2), np.uint16)
+    counted = df.mapInArrow(count, schema).repartition("k", "block").sortWithinPartitions("k", "block").mapInArrow(added, f"{schema}, worth binary")
+    out, worth = np.zeros((predictors, slots, 2), np.uint16), np.zeros((predictors, 512))
     expand = zstandard.ZstdDecompressor()
     for r in saved(counted).toLocalIterator():
         out[r["k"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(expand.decompress(r["n"]), np.uint16).reshape(-1, 2)
-    return out
+        worth[r["k"]] += np.frombuffer(expand.decompress(r["worth"]), np.float64)
+    return out, worth.reshape(predictors, 256, 2)
 
 
 def _gathered(df: DataFrame, column: str, fn: Callable[[Iterator[pa.RecordBatch]], dict[int, float]]) -> dict[int, float]:
@@ -373,52 +389,41 @@ def _dense(found: dict[int, float], shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def learn(mixer: Mixer, df: DataFrame, column: str, parts: Parts, rate: float, rows: int) -> Mixer:
-    """First what each state of each predictor is worth, then weights and map, both from the bits of ``df``, each seen with its own event taken out of the counts.
+def learn(mixer: Mixer, worth: np.ndarray, df: DataFrame, column: str, parts: Parts, rate: float, rows: int) -> Mixer:
+    """What each state of each predictor is worth, from the sums over the whole corpus; weights and map from the bits of ``df``, each seen with its own event taken out of the counts.
 
-    Rows are dealt by their hash to tasks of about ``rows`` rows and put in order, so that the result doesn't hang on how the table is stored. Each task learns weights
+    Rows are dealt by their hash (copies of a text with their ids, so that they part) to tasks of about ``rows`` rows and put in order, so that the result doesn't hang on how the table is stored. Each task learns weights
     online over its rows, from the same start; they are averaged by the number of bits that each task saw at a gate.
     """
-    spark, k = df.sparkSession, len(mixer.counts)
+    spark, k = df.sparkSession, len(worth)
+    p = (worth[:, :, 1] + 2 * PRIOR) / (worth.sum(2) + 2)
+    mixer.stretch = np.clip(np.log(p / (1 - p)), -CLIP, CLIP).astype(np.float32)
     held = spark.sparkContext.broadcast(mixer)
-
-    def worth(batches: Iterator[pa.RecordBatch]) -> dict[int, float]:
-        m, n = held.value, np.zeros((k, 512))
-        for batch in batches:
-            for b in parts(batch):
-                states, _, _ = m.inputs(b, True)
-                for i in range(k):
-                    n[i] += np.bincount(states[i] * 2 + b.bit, minlength=512)
-        return {int(i): float(n.flat[i]) for i in np.flatnonzero(n)}
-
-    n = _dense(_gathered(df, column, worth), (k, 256, 2))
-    p = (n[:, :, 1] + 2 * PRIOR) / (n.sum(2) + 2)
-    stretch = mixer.stretch = np.clip(np.log(p / (1 - p)), -CLIP, CLIP).astype(np.float32)
     shape = (64, k + 2)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> dict[int, float]:
         m = held.value
-        m.stretch = stretch
-        w, seen, squares = m.weights.astype(np.float64), np.zeros(64), np.full((64, k + 1), 1.0)
+        w, seen, squares = m.weights.T.astype(np.float64), np.zeros(64), np.full((k + 1, 64), 1.0)
         hits = np.zeros((m.rows * BUCKETS, 2))
         for batch in batches:
             for b in parts(batch):
                 _, x, gate = m.inputs(b, True)
+                y = np.empty(len(gate))
                 for i in range(0, len(gate), STEP):
-                    g, own, bit = gate[i : i + STEP], x[:, i : i + STEP], b.bit[i : i + STEP]
-                    y = np.clip((w.T[:, g] * own).sum(0), -CLIP, CLIP)
-                    miss = bit - 1 / (1 + np.exp(-y))
-                    push = np.stack([np.bincount(g, miss * v, 64) for v in own], 1)
+                    g, own, at = gate[i : i + STEP], x[:, i : i + STEP], y[i : i + STEP]
+                    np.clip(sum(v.take(g) * z for v, z in zip(w, own)), -CLIP, CLIP, out=at)
+                    miss = b.bit[i : i + STEP] - 1 / (1 + np.exp(-at))
+                    push = np.stack([np.bincount(g, miss * v, 64) for v in own])
                     squares += push * push
                     w += rate * push / np.sqrt(squares)
-                    seen += np.bincount(g, minlength=64)
-                    near = np.rint(np.clip((y + 8) * 2, 0, BUCKETS - 1)).astype(np.intp) + b.row[i : i + STEP].astype(np.intp) * BUCKETS
-                    hits += np.bincount(near * 2 + bit, minlength=hits.size).reshape(-1, 2)
-        out = np.concatenate([np.c_[w * seen[:, None], seen].ravel(), hits.ravel()])
+                seen += np.bincount(gate, minlength=64)
+                near = np.rint(np.clip((y + 8) * 2, 0, BUCKETS - 1)).astype(np.intp) + b.row.astype(np.intp) * BUCKETS
+                hits += np.bincount(near * 2 + b.bit, minlength=hits.size).reshape(-1, 2)
+        out = np.concatenate([np.c_[w.T * seen[:, None], seen].ravel(), hits.ravel()])
         return {int(i): float(out[i]) for i in np.flatnonzero(out)}
 
-    hashed = F.xxhash64(column)
-    dealt = df.repartition(max(1, -(-df.count() // rows)), hashed).sortWithinPartitions(hashed, column)
+    hashed = F.xxhash64(*df.columns)
+    dealt = df.repartition(max(1, -(-df.count() // rows)), hashed).sortWithinPartitions(hashed, *df.columns)
     found = _dense(_gathered(dealt, column, weigh), (64 * (k + 2) + mixer.rows * BUCKETS * 2,))
     w = found[: 64 * (k + 2)].reshape(shape)
     some = w[:, -1] > 0
@@ -427,7 +432,7 @@ def learn(mixer: Mixer, df: DataFrame, column: str, parts: Parts, rate: float, r
     start = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
     p = (hits[:, :, 1] + 16 * start) / (hits.sum(2) + 16)
     mixer.map = np.log(p / (1 - p)).astype(np.float32)
-    mixer.counts = None
+    mixer.apart = None
     held.destroy()
     return mixer
 
@@ -503,14 +508,14 @@ def train(texts: DataFrame, vocabulary: DataFrame, how: Mixing) -> Model:
     def of_words(batch: pa.RecordBatch) -> Iterator[Bits]:
         return spelled_parts(batch.column("word").to_pylist(), sent.value.bytes, how.char_slots)
 
-    pick = lambda column: F.pmod(F.xxhash64(F.lit("weights"), column), F.lit(how.share)) == 0
-    words = Mixer(count_contexts(texts.select("text"), "text", of_texts, WORD_PREDICTORS, how.word_slots), WORD_ROWS)
-    words = learn(words, texts.select("text").where(pick("text")), "text", of_texts, how.rate, TEXTS)
+    taught = lambda df, column: df if how.share == 1 else df.where(F.pmod(F.xxhash64(F.lit("weights"), column), F.lit(how.share)) == 0)
+    counts, worth = count_contexts(texts.select("text"), "text", of_texts, WORD_PREDICTORS, how.word_slots)
+    words = learn(Mixer(counts, WORD_ROWS), worth, taught(texts.select("doc_id", "text"), "text"), "text", of_texts, how.rate, TEXTS)
     least, last = (top[-1][1], top[-1][0]) if len(top) == how.words else (0, b"")
     rare = vocabulary.where((F.octet_length("word") > how.word_bytes) | (F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(bytearray(last))))) if len(top) == how.words else vocabulary
     rare = rare.select("word")
-    chars = Mixer(count_contexts(rare, "word", of_words, CHAR_PREDICTORS, how.char_slots), CHAR_ROWS)
-    chars = learn(chars, rare.where(pick("word")), "word", of_words, how.rate, WORDS)
+    counts, worth = count_contexts(rare, "word", of_words, CHAR_PREDICTORS, how.char_slots)
+    chars = learn(Mixer(counts, CHAR_ROWS), worth, taught(rare, "word"), "word", of_words, how.rate, WORDS)
     sent.destroy()
     return Model(how, code, words, chars, base, count > 0, all_tokens, all_kinds)
 
@@ -524,7 +529,7 @@ def score_texts(docs: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     counts come from all training documents. Stretched predictions are added by weights that the predictors' confidence and the depth choose, learned online; an adaptive map
     of what the mix has said and what came then refines it. The finished model is the same for all documents, so that a score depends on nothing but the text.
 
-    The texts are read four times where they lie (twice only one in ``how.share`` of them) and never shuffled: what is shuffled are word counts, blocks of counts, and the words without
+    The texts are read four times: where they lie, but for the training texts, which are dealt out once to learn weights. What is shuffled besides are word counts, blocks of counts, and the words without
     a code of each text, which meet their exact counts by a join. No training words leave out: base_score uses counts of all words.
 
     A null text is empty: one token, the end. A null doc_id counts as an empty text under crc32, which is training. Repeated rows each count and each get a row. Without training

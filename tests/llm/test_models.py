@@ -96,6 +96,29 @@ def test_words_are_split_as_bytes(kind):
     assert list(zip(of.tolist(), words.to_pylist())) == want
 
 
+def test_all_training_rows_teach(spark, docs, monkeypatch):
+    """Weights and map are learned from each training text and each word without a code; what states are worth from each bit, as one pass over all bits finds it."""
+    from siltloom.llm import context_mixing as cm
+
+    taught, learn = [], cm.learn
+
+    def seen(mixer, *args):
+        df, column, parts = next((args[i : i + 3] for i, x in enumerate(args) if hasattr(x, "sparkSession")))
+        want = np.zeros((len(mixer.tables), 512))
+        for batch in df.select(column).toArrow().to_batches():
+            for b in parts(batch):
+                for n, s in zip(want, mixer.inputs(b, True)[0]):
+                    n += np.bincount(s * 2 + b.bit, minlength=512)
+        taught.append((df.count(), np.array_equal(args[0].reshape(len(want), 512), want)))
+        return learn(mixer, *args)
+
+    monkeypatch.setattr(cm, "learn", seen)
+    rows = docs.select("doc_id", "text").limit(80)
+    score_texts(rows, Mixing(words=300, word_slots=16, char_slots=16)).count()
+    training = [(r.text or "").encode().lower().split() for r in rows.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    assert taught == [(len(training), True), (len({w for t in training for w in t}) - 300, True)]
+
+
 def test_levels():
     assert states_of(np.array([0, 1, 4, 5, 65535]), np.array([0, 0, 1, 2, 3])).tolist() == [0, 16, 65, 82, 15 * 16 + 3]
 
