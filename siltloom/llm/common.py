@@ -177,23 +177,28 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long: rows (v, root), root the smallest id that v reaches.
 
-    Rounds of hooking (a vertex and its root take the smallest root among the neighbours) and of pointer jumping,
-    each written to the shared folder; a path of n vertices takes O(log n) rounds. Joins are plain equi-joins
-    of written tables, which adaptive execution can split at hot vertices; nothing is collected.
+    Rounds: each vertex hooks to its smallest neighbour where that is smaller, the trees are flattened by pointer jumping, and the edges are replaced by
+    those between roots. What lies within a tree is gone after the round that found it, so that all edges are joined once, not once a round. At most half the
+    vertices of a round have no smaller neighbour, and a path of n vertices takes O(log n) jumps. Tables are written to the shared folder; joins are plain
+    equi-joins of written tables, which adaptive execution can split at hot vertices; nothing is collected.
     """
-    e = edges.select("a", "b").where("a <> b")
-    e = saved(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")))
+    directed = lambda df: saved(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    e = directed(edges)
+    labels = None
     while True:
-        near = e.join(labels.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").select("a", "rb")
-        pairs = saved(near.groupBy("a").agg(F.min("rb").alias("r")))
-        own = labels.join(pairs.select(F.col("a").alias("v"), "r"), "v").where("r < root").select("v", "root", "r")
-        own = saved(own)
-        if own.isEmpty():
-            # no neighbour has a smaller root: every component is one star
+        up = e.select(F.col("b").alias("v"), F.col("a").alias("root")).union(e.select("a", "a"))
+        trees = saved(up.groupBy("v").agg(F.min("root").alias("root")))
+        while True:
+            above = trees.select(F.col("v").alias("root"), F.col("root").alias("up"))
+            jumped = saved(trees.select("v", "root").join(above, "root").select("v", F.col("up").alias("root"), (F.col("up") < F.col("root")).alias("moved")))
+            if jumped.where("moved").isEmpty():
+                break
+            trees = jumped.select("v", "root")
+        if labels is None:
+            labels = trees
+        else:
+            labels = saved(labels.join(trees.select(F.col("v").alias("root"), F.col("root").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root")))
+        of = lambda c: trees.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+        e = directed(e.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        if e.isEmpty():
             return labels
-        hooks = own.select(F.col("v").alias("t"), "r").union(own.select(F.col("root").alias("t"), "r")).groupBy("t").agg(F.min("r").alias("r"))
-        hooked = saved(labels.join(hooks.withColumnRenamed("t", "v"), "v", "left").select("v", F.least("root", F.coalesce("r", "root")).alias("root")))
-        for _ in range(2):
-            hooked = saved(hooked.join(hooked.select(F.col("v").alias("root"), F.col("root").alias("up")), "root").select("v", F.col("up").alias("root")))
-        labels = hooked

@@ -168,3 +168,38 @@ def test_targets_of_the_mix_against_a_plain_version(spark):
     assert {r.source: pytest.approx(r.target, rel=1e-9) for r in rows} == target
     for s in names:
         assert abs(sum(r.taken for r in rows if r.source == s) - target[s]) <= 1
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
+def test_components_join_all_edges_once(spark, monkeypatch, kind):
+    """Roots are those of a union-find, and what is written stays near the edges: inner edges of a tree aren't looked up again."""
+    import random
+
+    from siltloom.llm import common
+
+    rng = random.Random(5)
+    edges = {"random": [(rng.randrange(400), rng.randrange(400)) for _ in range(2000)], "path": [(i, i + 1) for i in range(300)], "star": [(0, i) for i in range(1, 300)], "none": []}[kind]
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    joined, join = [], type(spark.range(1)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        joined.append(out)
+        return out
+
+    df = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(type(df), "join", counted)
+    got = {r.v: r.root for r in common.components(df).collect()}
+    monkeypatch.undo()
+    assert got == {v: find(v) for v in {v for e in edges if e[0] != e[1] for v in e}}
+    if kind == "random":
+        assert sum(x.count() for x in joined) <= 2 * len(edges) + 8 * len(got)
