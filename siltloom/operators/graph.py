@@ -94,24 +94,29 @@ def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
     dropped, so that the work grows with the nodes reached and the links they have, whatever the number of trails. A node's neighbours are of its own level, the one before or
     the one after: only two levels are looked up. For the closed trails each node carries the smallest and largest first edge of its shortest trails: where
     both differ at level h, two trails meet and close after 2h edges; where an edge joins two nodes of level h with different first edges, after 2h + 1.
-    For these a group is met once more one level after it was met first.
+    For these a group is met once more one level after it was met first; later levels, whose closed trails would be too long, are a plain search.
+    From three levels on, nodes of one edge are told apart first: a trail that reaches one ends there, so that they aren't looked up again.
     """
     depth = max(1, min(5, depth))
-    refs = stored(found.refs.where(F.col("rel_type").isin(*FOLLOWED)))
-    members = found.members
+    refs, members = found.refs.where(F.col("rel_type").isin(*FOLLOWED)), found.members.withColumn("leaf", F.lit(False))
+    refs = stored(refs.withColumn("leaf", F.lit(False)) if depth < 3 else refs)
+    if depth >= 3:
+        refs, members = _with_leaves(refs, found.members)
     key = ["query_id", "seed_id"]
     at = seeds.select("query_id", F.col("id").alias("seed_id"), "id").distinct()
     none = F.lit(None).cast("long")
-    level = [stored(at.select(*key, "id", none.alias("lo"), none.alias("hi")))]
+    level = [stored(at.select(*key, "id", F.lit(False).alias("leaf"), none.alias("lo"), none.alias("hi")))]
     groups: list[DataFrame] = []
     closed = None
     reached = None
     firsts = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     for hop in range(1, depth + 1):
-        down = level[-1].join(refs, "id").select(*key, "group", F.lit(True).alias("down"), F.col("rel_type") if hop == 1 else F.lit(None).cast("string").alias("rel_type"), "lo", "hi")
-        up = level[-1].join(members, "id").select(*key, "group", F.lit(False), F.lit(None).cast("string"), "lo", "hi")
+        at = level[-1].where("not leaf")
+        closing = 2 * hop - 1 <= depth
+        down = at.join(refs.drop("leaf"), "id").select(*key, "group", F.lit(True).alias("down"), F.col("rel_type") if hop == 1 else F.lit(None).cast("string").alias("rel_type"), "lo", "hi")
+        up = at.join(members.drop("leaf"), "id").select(*key, "group", F.lit(False), F.lit(None).cast("string"), "lo", "hi")
         met = down.union(up).groupBy(*key, "group", "down", "rel_type").agg(*firsts)
-        for old in groups[:-1]:
+        for old in groups[:-1] if closing else groups:
             met = met.join(old.select(*key, "group", "down"), [*key, "group", "down"], "left_anti")
         groups.append(stored(met))
         below = groups[-1].where("down").join(members, "group")
@@ -119,16 +124,21 @@ def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
         if hop == 1:  # an edge's number
             below = below.withColumn("lo", F.xxhash64("seed_id", "rel_type", "id")).withColumn("hi", F.col("lo"))
             above = above.withColumn("lo", F.xxhash64("id", "rel_type", "seed_id")).withColumn("hi", F.col("lo"))
-        step = below.select(*key, "id", "lo", "hi").union(above.select(*key, "id", "lo", "hi")).groupBy(*key, "id").agg(*firsts)
-        known = [(len(level) - 1 - i, t) for i, t in enumerate(reversed(level[-2:]))]
-        table = known[0][1].select(*key, "id", F.lit(known[0][0]).alias("was"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-        for n, t in known[1:]:
-            table = table.union(t.select(*key, "id", F.lit(n), "lo", "hi"))
-        step = stored(step.join(table, [*key, "id"], "left"))
-        new = step.where("was is null and id <> seed_id").select(*key, "id", "lo", "hi")
-        loops = step.where("id = seed_id").select(*key, F.lit(1).alias("distance")) if hop == 1 else step.where(f"was = {hop - 1} and id <> seed_id and (least(lo, lo0) <> greatest(hi, hi0))").select(*key, F.lit(2 * hop - 1).alias("distance"))
-        pairs = new.where("lo <> hi").select(*key, F.lit(2 * hop).alias("distance"))
-        closed = loops.union(pairs) if closed is None else closed.union(loops).union(pairs)
+        step = below.select(*key, "id", "leaf", "lo", "hi").union(above.select(*key, "id", "leaf", "lo", "hi"))
+        if closing:
+            step = step.groupBy(*key, "id", "leaf").agg(*firsts)
+            known = [(len(level) - 1 - i, t) for i, t in enumerate(reversed(level[-2:]))]
+            table = known[0][1].select(*key, "id", F.lit(known[0][0]).alias("was"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
+            for n, t in known[1:]:
+                table = table.union(t.select(*key, "id", F.lit(n), "lo", "hi"))
+            step = stored(step.join(table, [*key, "id"], "left"))
+            new = step.where("was is null and id <> seed_id").select(*key, "id", "leaf", "lo", "hi")
+            loops = step.where("id = seed_id").select(*key, F.lit(1).alias("distance")) if hop == 1 else step.where(f"was = {hop - 1} and id <> seed_id and (least(lo, lo0) <> greatest(hi, hi0))").select(*key, F.lit(2 * hop - 1).alias("distance"))
+            pairs = new.where("lo <> hi").select(*key, F.lit(2 * hop).alias("distance"))
+            closed = loops.union(pairs) if closed is None else closed.union(loops).union(pairs)
+        else:
+            before = level[-1].select(*key, "id").union(level[-2].select(*key, "id"))
+            new = stored(step.where("id <> seed_id").select(*key, "id", "leaf", none.alias("lo"), none.alias("hi")).distinct().join(before, [*key, "id"], "left_anti"))
         level.append(new)
         here = new.select(*key, "id", F.lit(hop).alias("distance"))
         reached = here if reached is None else reached.union(here)
@@ -138,6 +148,15 @@ def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
     return reached.union(own.select(*key, F.col("seed_id").alias("id"), "distance"))
 
 
+def _with_leaves(refs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored links with ``leaf``: whether their node has one edge, counted by groups without multiplying them out."""
+    count = lambda df: df.groupBy("group").agg(F.count("*").alias("n"))
+    ends = refs.join(count(members), "group").select("id", "n").union(members.join(count(refs), "group").select("id", "n"))
+    inner = stored(ends.groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select("id", F.lit(False).alias("more")))
+    told = lambda df: stored(df.join(inner, "id", "left").withColumn("leaf", F.coalesce("more", F.lit(True))).drop("more"))
+    return told(refs), told(members)
+
+
 def edge_fanout(entities: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """Target names that several nodes of a slice have: how many nodes and how many relations meet there."""
     n = nodes.groupBy("repo", "branch", "name").agg(F.count("*").alias("n_nodes")).where(F.col("n_nodes") >= least)

@@ -405,3 +405,21 @@ def test_postings_find_what_holds_a_pattern(spark, seed):
     texts = spark.createDataFrame(rows, "repo string, doc int, text string")
     got = holding(spark.createDataFrame(sorted(asked, key=repr), "repo string, pattern string"), post(texts, ("repo",)), texts)
     assert sorted(map(tuple, got.collect())) == sorted((r, p, d) for r, p in asked if p for own, d, t in rows if own == r and t and p in t)
+
+
+def test_leaves_end_a_trail(spark, monkeypatch):
+    """Nodes of one edge are reached, but not looked up: a level of them leads to no group and no further level."""
+    table = spark.createDataFrame([(f"o{i}", "CALLS", f"c{i % 5}") for i in range(200)] + [(f"c{i}", "CALLS", "n") for i in range(5)], "src_id string, rel_type string, dst_id string")
+    nodes = table.selectExpr("src_id as id").union(table.select("dst_id")).distinct().withColumn("name", F.col("id"))
+    seeds = spark.createDataFrame([(1, "n")], "query_id int, id string")
+    sizes, kept = [], G.stored
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(("down" in out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(G, "stored", counted)
+    got = G.neighbourhood(seeds, G.links_of(table), 4).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in G.expand(seeds, nodes, table, 2).groupBy("query_id", "seed_id", "id").agg(F.min("distance")).collect()}
+    assert [n for groups, n in sizes if groups] == [1, 6, 0]
