@@ -423,3 +423,14 @@ def test_leaves_end_a_trail(spark, monkeypatch):
     got = G.neighbourhood(seeds, G.links_of(table), 4).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in G.expand(seeds, nodes, table, 2).groupBy("query_id", "seed_id", "id").agg(F.min("distance")).collect()}
     assert [n for groups, n in sizes if groups] == [1, 6, 0]
+
+
+def test_postings_are_lists(spark):
+    """A trigram takes a row for each slice of texts, not for each text, with each text that holds it once."""
+    from siltloom.operators.postings import post
+
+    rows = [("r0", i, "ababab") for i in range(50)] + [("r1", 50, "abax"), ("r1", 51, "ab")]
+    index = post(spark.createDataFrame(rows, "repo string, doc int, text string").coalesce(1), ("repo",))
+    got = {(r.repo, r.gram): sorted(r.docs) for r in index.lists.collect()}
+    assert got == {("r0", "aba"): list(range(50)), ("r0", "bab"): list(range(50)), ("r1", "aba"): [50], ("r1", "bax"): [50]} and index.lists.count() == 4
+    assert {(r.repo, r.gram): r.n for r in index.sizes.collect()} == {k: len(v) for k, v in got.items()}
