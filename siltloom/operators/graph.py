@@ -13,6 +13,10 @@ from siltloom.sources.tables import stored
 
 #: Relation types that a neighbourhood follows.
 FOLLOWED = ("EXTENDS", "IMPLEMENTS", "HAS_METHOD", "HAS_FIELD", "CALLS", "INJECTED")
+#: Words of 64 seeds each that are searched for together.
+WORDS = 8
+#: Rows of a neighbourhood that one task makes.
+ROWS = 2_000_000
 NODE = ("id", "type", "name", "file_path", "repo", "branch", "language", "start_line", "end_line", "signature", "docstring", "code", "annotations")
 
 
@@ -30,11 +34,23 @@ def merge_nodes(entities: DataFrame) -> DataFrame:
 
     max_by combines before the shuffle, so that only one candidate of each id and task is sent.
     """
-    n = to_nodes(entities)
+    return _last(to_nodes(entities))
+
+
+def _last(n: DataFrame) -> DataFrame:
     order = F.struct("start_line", "end_line", "code")
     return n.groupBy("id").agg(F.max_by(F.struct(*NODE[1:]), order).alias("n")).select("id", "n.*")
 
 
+def named_nodes(entities: DataFrame) -> DataFrame:
+    """(id, repo, branch, file_path, name) of ``merge_nodes``, stored. Codes are exchanged only for ids that different slices, paths or names share."""
+    n, names = to_nodes(entities), ("repo", "branch", "file_path", "name")
+    found = stored(n.groupBy("id").agg(F.min(F.struct(*names)).alias("n"), F.max(F.struct(*names)).alias("z")))
+    shared = found.where("n <> z").select("id")
+    clear = found.where("n = z").select("id", "n.*")
+    return clear if shared.isEmpty() else clear.union(stored(_last(n.join(shared, "id", "left_semi")).select("id", *names)))
+
+
 def relations(entities: DataFrame) -> DataFrame:
     """Relations with a target name: (repo, branch, src_id, rel_type, target_name, target_type, properties)."""
     src = entity_id(*map(F.col, ("repo", "branch", "file_path", "type", "name")))
@@ -71,6 +87,7 @@ def links(entities: DataFrame, nodes: DataFrame) -> Links:
     """The edges of ``resolve_edges`` by target name, not multiplied out: a group is a name in a repo and branch."""
     group = F.concat_ws("\x01", "repo", "branch", "name")
     refs = relations(entities).withColumnRenamed("target_name", "name").select(F.col("src_id").alias("id"), "rel_type", group.alias("group")).distinct()
+    refs = stored(refs)
     members = nodes.select(group.alias("group"), "id")
     return Links(refs, members.join(refs.select("group").distinct(), "group", "left_semi"))
 
@@ -96,12 +113,12 @@ def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
     both differ at level h, two trails meet and close after 2h edges; where an edge joins two nodes of level h with different first edges, after 2h + 1.
     For these a group is met once more one level after it was met first; later levels, whose closed trails would be too long, are a plain search.
     From three levels on, nodes of one edge are told apart first: a trail that reaches one ends there, so that they aren't looked up again.
+    Up to two levels all seeds are searched for together (``_together``).
     """
     depth = max(1, min(5, depth))
-    refs, members = found.refs.where(F.col("rel_type").isin(*FOLLOWED)), found.members.withColumn("leaf", F.lit(False))
-    refs = stored(refs.withColumn("leaf", F.lit(False)) if depth < 3 else refs)
-    if depth >= 3:
-        refs, members = _with_leaves(refs, found.members)
+    if depth < 3:
+        return _together(seeds, found, depth)
+    refs, members = _with_leaves(stored(found.refs.where(F.col("rel_type").isin(*FOLLOWED))), found.members)
     key = ["query_id", "seed_id"]
     at = seeds.select("query_id", F.col("id").alias("seed_id"), "id").distinct()
     none = F.lit(None).cast("long")
@@ -148,6 +165,81 @@ def neighbourhood(seeds: DataFrame, found: Links, depth: int = 2) -> DataFrame:
     return reached.union(own.select(*key, F.col("seed_id").alias("id"), "distance"))
 
 
+def _together(seeds: DataFrame, found: Links, depth: int) -> DataFrame:
+    """``neighbourhood`` for one or two levels. Seeds are numbered in order of their ids and taken in blocks of ``WORDS`` words, a bit a seed: what travels from nodes to
+    groups and back is one row a node and block, with the bits of the seeds that reach it, so that the work before the result grows with links and blocks of a part of the graph, not with pairs
+    of seed and node. Pairs are made last, from bits, without a shuffle.
+
+    A closed trail of two edges goes to a neighbour by one edge and back by another: edges to it are told apart by number (type and direction), and two numbers
+    differ in one of their bits.
+    """
+    words = [f"w{i}" for i in range(WORDS)]
+    refs, members = found.refs.where(F.col("rel_type").isin(*FOLLOWED)), stored(found.members)
+    groups = stored(members.join(refs.select("group").distinct(), "group", "left_semi").select("group").distinct().withColumn("g", F.monotonically_increasing_id()))
+    refs, members = refs.join(groups, "group").select("id", "rel_type", "g"), members.join(groups, "group").select("id", "g")
+    refs, members = stored(refs.distinct()), stored(members.distinct())
+    ids = stored(refs.select("id").union(members.select("id")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    kinds = sorted(r["rel_type"] for r in refs.select("rel_type").distinct().collect())  # those of FOLLOWED at most
+    kind = sum((F.when(F.col("rel_type") == k, 2 * i).otherwise(0) for i, k in enumerate(kinds)), F.lit(0))
+    refs, members = stored(refs.join(ids, "id").select("n", "g", kind.alias("kind"))), stored(members.join(ids, "id").select("n", "g"))
+
+    asked = seeds.select("query_id", F.col("id").alias("seed_id")).distinct().join(ids.withColumnRenamed("id", "seed_id"), "seed_id")
+    asked = asked.repartitionByRange("seed_id", "query_id").sortWithinPartitions("seed_id", "query_id").withColumn("at", F.monotonically_increasing_id())
+    asked = stored(asked.withColumn("block", F.floor(F.col("at") / (64 * WORDS))).withColumn("word", (F.col("at") % (64 * WORDS) / 64).cast("int")).withColumn("bit", (F.col("at") % 64).cast("int")))
+    one = F.expr("shiftleft(1L, bit)")
+    own = stored(asked.groupBy("n", "block").agg(*[F.bit_or(F.when(F.col("word") == i, one).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WORDS)]))
+    none = F.lit(0).cast("long")
+    at = lambda c, i: F.coalesce(f"{c}{i}", none)
+    without = lambda x, *ys: x if not ys else without(x.bitwiseAND(F.bitwise_not(ys[0])), *ys[1:])
+    joined = lambda df, *keys: df.groupBy(*keys).agg(*[F.bit_or(w).alias(w) for w in words])
+    some = lambda df, names: df.where(sum((F.when(F.col(c) != 0, 1).otherwise(0) for c in names), F.lit(0)) > 0)
+
+    def hop(now: DataFrame, first: bool) -> DataFrame:
+        """(n, block, kind, words): what the nodes of ``now`` reach by one edge; its number where ``first``."""
+        down = joined(now.join(refs, "n"), "g", "block", *["kind"] * first).join(members, "g").select("n", "block", F.col("kind") if first else F.lit(0).alias("kind"), *words)
+        up = joined(now.join(members, "n"), "g", "block").join(refs, "g").select("n", "block", (F.col("kind") + 1).alias("kind"), *words)
+        return down.union(up)
+
+    places = range(max(1, (2 * len(kinds) - 1).bit_length()))
+    half = lambda p, v, i: F.bit_or(F.when(F.shiftright("kind", p).bitwiseAND(F.lit(1)) == v, F.col(f"w{i}")).otherwise(none)).alias(f"h{p}_{v}_{i}")
+    step = hop(own.select("n", "block", *[F.col(f"s{i}").alias(f"w{i}") for i in range(WORDS)]), True)
+    step = step.groupBy("n", "block").agg(*[half(p, v, i) for p in places for v in (0, 1) for i in range(WORDS)]).join(own, ["n", "block"], "left")
+    either = lambda i: F.col(f"h0_0_{i}").bitwiseOR(F.col(f"h0_1_{i}"))
+
+    def twice(i: int):
+        both = [F.col(f"h{p}_0_{i}").bitwiseAND(F.col(f"h{p}_1_{i}")) for p in places]
+        for x in both[1:]:
+            both[0] = both[0].bitwiseOR(x)
+        return both[0]
+
+    near = stored(
+        step.select(
+            "n", "block", *[without(either(i), at("s", i)).alias(f"w{i}") for i in range(WORDS)], *[either(i).bitwiseAND(at("s", i)).alias(f"l{i}") for i in range(WORDS)], *[without(twice(i), at("s", i)).alias(f"t{i}") for i in range(WORDS)]
+        )
+    )
+    levels = some(near.select("n", "block", *words, F.lit(1).alias("distance")), words)
+    if depth == 2:
+        before = near.select("n", "block", *[F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)])
+        far = joined(hop(some(near.select("n", "block", *words), words), False), "n", "block").join(own, ["n", "block"], "left").join(before, ["n", "block"], "left")
+        far = stored(far.select("n", "block", *[without(F.col(f"w{i}"), at("s", i), at("v", i)).alias(f"w{i}") for i in range(WORDS)]))
+        levels = levels.union(some(far.select("n", "block", *words, F.lit(2).alias("distance")), words))
+
+    closed = near.groupBy("block").agg(*[F.bit_or(f"{c}{i}").alias(f"{c}{i}") for c in "lt" for i in range(WORDS)])
+    of = lambda c: F.get(F.array(*[f"{c}{i}" for i in range(WORDS)]), F.col("word")).bitwiseAND(one) != 0
+    closed = asked.join(closed, "block").select("query_id", "seed_id", F.col("seed_id").alias("id"), F.when(of("l"), 1).when(of("t"), 2).alias("distance")).where(F.col("distance") <= depth)
+    return _pairs(levels, words, asked, ids).union(closed)
+
+
+def _pairs(levels: DataFrame, words: list[str], asked: DataFrame, ids: DataFrame) -> DataFrame:
+    """(query_id, seed_id, id, distance) of each bit of (n, block, words, distance). The rows are dealt to as many tasks as their pairs need; the seeds of a word are one list."""
+    total = levels.agg(F.sum(sum((F.bit_count(w).cast("long") for w in words), F.lit(0)))).first()[0] or 0
+    lists = asked.groupBy("block", "word").agg(F.collect_list(F.struct("bit", "query_id", "seed_id")).alias("seeds"))
+    rows = levels.join(ids, "n").select("id", "block", "distance", *words).repartition(total // ROWS + 1)
+    rows = rows.select("id", "block", "distance", F.posexplode(F.array(*words)).alias("word", "bits")).where("bits <> 0")
+    rows = rows.join(F.broadcast(lists) if asked.count() <= 100_000 else lists, ["block", "word"])
+    return rows.select("id", "distance", "bits", F.inline("seeds")).where("shiftright(bits, bit) & 1 = 1").select("query_id", "seed_id", "id", "distance")
+
+
 def _with_leaves(refs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored links with ``leaf``: whether their node has one edge, counted by groups without multiplying them out."""
     count = lambda df: df.groupBy("group").agg(F.count("*").alias("n"))

@@ -18,3 +18,36 @@ def test_relations_of_links_are_those_of_edges(spark):
     of = lambda edges: {r["id"]: r["relations"] for r in G.entity_with_relations(ids, nodes, edges).collect()}
     links, edges = of(G.links(e, nodes)), of(G.resolve_edges(e, nodes))
     assert links == edges and sorted(map(len, links.values())) == [0, 41, 41]
+
+
+def entities_of(spark, rows):
+    """Entities of (repo, branch, file_path, name, start_line, code, words)."""
+    relation = lambda w: F.struct(F.lit("CALLS").alias("type"), w.alias("target_name"), F.lit("Method").alias("target_type"), F.create_map(F.lit("via"), w).alias("properties"))
+    e = spark.createDataFrame(rows, "repo string, branch string, file_path string, name string, start_line int, code string, words array<string>").withColumn("relations", F.transform("words", relation).cast(RELATION))
+    for c in ("language", "signature", "docstring"):
+        e = e.withColumn(c, F.lit(None).cast("string"))
+    return e.withColumns({"type": F.lit("Class"), "end_line": F.lit(1), "annotations": F.lit(None).cast("array<string>")})
+
+
+def test_nodes_by_name_are_the_merged_ones(spark):
+    rows = [("r", "b", "f", "x", 1, "a", []), ("r", "b", "f", "x", 2, "b", []), ("r:b", "c", "f", "y", 3, "late", []), ("r", "b:c", "f", "y", 3, "early", []), ("r", "b", "f", None, 1, "c", [])]
+    e = entities_of(spark, rows)
+    names = ("id", "repo", "branch", "file_path", "name")
+    assert sorted(map(tuple, G.named_nodes(e).select(*names).collect())) == sorted(map(tuple, G.merge_nodes(e).select(*names).collect()))
+
+
+def test_seeds_are_searched_for_together(spark, monkeypatch):
+    """700 seeds call a name of 40 nodes: what is written grows with seeds and nodes, not with their 28,000 pairs, and two blocks of seeds are needed."""
+    refs = spark.range(700).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.lit("CALLS").alias("rel_type"), F.lit("hot").alias("group"))
+    members = spark.range(40).select(F.lit("hot").alias("group"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    written, kept = [], G.stored
+
+    def counted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "stored", counted)
+    found = G.neighbourhood(refs.select(F.lit(1).alias("query_id"), "id"), G.Links(refs, members), 2)
+    assert found.groupBy("distance").count().orderBy("distance").collect() == [(1, 700 * 40), (2, 700 * 699)]
+    assert max(written) <= 2 * 740
