@@ -29,6 +29,19 @@ def entities_of(spark, rows):
     return e.withColumns({"type": F.lit("Class"), "end_line": F.lit(1), "annotations": F.lit(None).cast("array<string>")})
 
 
+def test_a_hot_names_edges_are_dealt_to_tasks(spark, monkeypatch):
+    """150 relations to a name of 120 nodes, which were one task's; a name without nodes and one of a single node besides."""
+    for c, n in (("SOURCES", 20), ("NODES", 30), ("EDGES", 1_000)):
+        monkeypatch.setattr(G, c, n)
+    e = entities_of(spark, [("r", "b", f"f{i}", "hot" if i < 120 else f"n{i}", 1, "", ["hot", "n149", "none"]) for i in range(150)])
+    edges = G.resolve_edges(e, G.named_nodes(e), F.col("properties")["via"])
+    got = edges.select("src_id", "dst_id", "properties").collect()
+    key = lambda i: f"r:b:f{i}:Class:" + ("hot" if i < 120 else f"n{i}")
+    assert len(got) == 150 * 121 and {tuple(x) for x in got} == {(key(i), key(j), "hot" if j < 120 else "n149") for i in range(150) for j in (*range(120), 149)}
+    tasks = [x["count"] for x in edges.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < len(got) / 4
+
+
 def test_nodes_by_name_are_the_merged_ones(spark):
     rows = [("r", "b", "f", "x", 1, "a", []), ("r", "b", "f", "x", 2, "b", []), ("r:b", "c", "f", "y", 3, "late", []), ("r", "b:c", "f", "y", 3, "early", []), ("r", "b", "f", None, 1, "c", [])]
     e = entities_of(spark, rows)
