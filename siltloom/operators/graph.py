@@ -201,6 +201,13 @@ def _together(seeds: DataFrame, found: Links, depth: int) -> DataFrame:
 
     asked = seeds.select("query_id", F.col("id").alias("seed_id")).distinct().join(ids.withColumnRenamed("id", "seed_id"), "seed_id")
     asked = asked.repartitionByRange("seed_id", "query_id").sortWithinPartitions("seed_id", "query_id").withColumn("at", F.monotonically_increasing_id())
+    asked = stored(asked.withColumn("task", F.shiftright("at", 33)))
+    # numbers without gaps, so that few seeds dealt to many tasks don't make a block a task
+    before, offsets = 0, []
+    for r in asked.groupBy("task").agg(F.count("*").alias("c"), F.min("at").alias("at")).orderBy("task").collect():  # one row a task
+        offsets.append((r["task"], before - r["at"]))
+        before += r["c"]
+    asked = asked.join(F.broadcast(seeds.sparkSession.createDataFrame(offsets, "task long, plus long")), "task").select("query_id", "seed_id", "n", (F.col("at") + F.col("plus")).alias("at"))
     asked = stored(asked.withColumn("block", F.floor(F.col("at") / (64 * WORDS))).withColumn("word", (F.col("at") % (64 * WORDS) / 64).cast("int")).withColumn("bit", (F.col("at") % 64).cast("int")))
     one = F.expr("shiftleft(1L, bit)")
     own = stored(asked.groupBy("n", "block").agg(*[F.bit_or(F.when(F.col("word") == i, one).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WORDS)]))

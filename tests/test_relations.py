@@ -64,3 +64,27 @@ def test_seeds_are_searched_for_together(spark, monkeypatch):
     found = G.neighbourhood(refs.select(F.lit(1).alias("query_id"), "id"), G.Links(refs, members), 2)
     assert found.groupBy("distance").count().orderBy("distance").collect() == [(1, 700 * 40), (2, 700 * 699)]
     assert max(written) <= 2 * 740
+
+
+def test_few_seeds_in_many_tasks_are_one_block(spark, monkeypatch):
+    """20 seeds that a session without merging of partitions deals to 16 tasks: each node takes one row, not one a task."""
+    refs = spark.range(20).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.lit("CALLS").alias("rel_type"), F.lit("hot").alias("group"))
+    members = spark.range(5).select(F.lit("hot").alias("group"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    held, kept = {}, G.stored
+
+    def counted(df):
+        out = kept(df)
+        if {"block", "w0"} <= set(out.columns):
+            held[len(held)] = out.count()
+        return out
+
+    monkeypatch.setattr(G, "stored", counted)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = G.neighbourhood(refs.select(F.lit(1).alias("query_id"), "id"), G.Links(refs, members), 2).groupBy("distance").count().orderBy("distance").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(1, 100), (2, 20 * 19)] and max(held.values()) <= 25
