@@ -37,7 +37,8 @@ class Fuzzy:
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, th, pos, line): the parts between line feeds that aren't blank, numbered from 0; th is a hash of the text."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n", -1).alias("parts"))  # once a text, not once a line
+    lines = rows.select("doc_id", "th", F.posexplode("parts").alias("pos", "line"))
     return lines.where(F.col("line").rlike(r"\S"))
 
 
@@ -56,7 +57,7 @@ def last_place(line: Column, n: int) -> Column:
 
 def shingle_set(units: Column, n: int) -> Column:
     """Distinct shingle hashes. The units pass through an array of one, whose element a lambda reads in place; a column it would copy for each place."""
-    own = F.transform(F.array(units), lambda u: F.transform(F.sequence(F.lit(0), last_place(u, n)), lambda i: shingle_at(u, i, n)))
+    own = F.transform(F.array(units), lambda u: F.transform(F.sequence(F.lit(1), 2 * last_place(u, n) + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(u, at, F.lit(2 * n)))))
     return F.array_distinct(F.element_at(own, 1))
 
 
@@ -104,26 +105,31 @@ def _minima(lines: DataFrame, fuzzy: Fuzzy, thin: bool) -> DataFrame:
     small = F.shiftrightunsigned("h", 40) * (F.col("most") + 1) < F.lit(fuzzy.spare * fuzzy.bins << 24)
     value = F.shiftrightunsigned("h", 33).cast("int")
     if thin:
-        h, value = h.where(small | (F.col("i") == 0)), F.when(small, value)
-    h = h.select("h1", "h2", "most", "i", value.alias("value"), F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFFFF)) * fuzzy.bins, 24).cast("int").alias("bin"))
-    minima = [F.min(F.when(F.col("bin") == i, F.col("value"))).alias(f"m{i}") for i in range(fuzzy.bins)]
-    return h.groupBy("h1", "h2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), F.max("most").alias("most"), *minima)
+        h = h.where(small | (F.col("i") == 0))
+    own = small if thin else F.lit(True)
+    h = h.select("h1", "h2", "most", "i", value.alias("value"), F.when(own, F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFFFF)) * fuzzy.bins, 24).cast("int")).otherwise(-1).alias("bin"))
+    # filters, so that a shingle's row touches its own bin's minimum only
+    minima = [F.expr(f"min(value) filter (where bin = {i})").alias(f"m{i}") for i in range(fuzzy.bins)]
+    return h.groupBy("h1", "h2").agg(F.expr("count(*) filter (where i = 0)").alias("times"), F.expr("max(most) filter (where i = 0)").alias("most"), *minima)
 
 
 def linked(groups: DataFrame, fuzzy: Fuzzy) -> DataFrame:
     """(band, low array, high array of (id, root, met, bands, line)) to edges (a, b) that connect the alike lines of each row.
 
-    The sets of a row are made once. Each line of ``high`` in turn is compared with the components found so far, in each until a line is alike, and joins
-    those that hold one; at first the lines of ``low`` stand there by their roots. Lines of one root aren't compared, nor are those with equal ``met``, nor
+    The sets of a row are made once, and only of lines that share the row with one they haven't met in an earlier band. Each line of ``high`` in turn is compared
+    with the components found so far, in each until a line is alike, and joins those that hold one; at first the lines of ``low`` stand there by their roots. Lines of one root aren't compared, nor are those with equal ``met``, nor
     pairs that share an earlier band, where they meet as well. A row gives an edge a member at most, never its pairs.
     """
     units = lambda m: shingle_set(F.encode(m["line"], "UTF-16LE"), fuzzy.shingle)
-    made = F.transform(F.concat("low", "high"), lambda m: F.struct(m["id"].alias("id"), m["root"].alias("root"), m["met"].alias("met"), F.slice(m["bands"], F.lit(1), F.col("band")).alias("before"), units(m).alias("set")))
+    before = lambda side: F.transform(side, lambda m: F.struct(m["id"].alias("id"), m["root"].alias("root"), m["met"].alias("met"), F.slice(m["bands"], F.lit(1), F.col("band")).alias("before"), m["line"].alias("line")))
+    new = lambda x, y: (x["root"] != y["root"]) & (x["met"] != y["met"]) & ~F.arrays_overlap(x["before"], y["before"])
+    groups = groups.select(before("low").alias("low"), before("high").alias("high"))
+    groups = groups.select(F.filter("low", lambda x: F.exists("high", lambda y: new(x, y))).alias("low"), F.filter("high", lambda x: F.exists("low", lambda y: new(x, y)) | F.exists("high", lambda y: new(x, y))).alias("high"))
+    made = F.transform(F.concat("low", "high"), lambda m: F.struct(*(m[c].alias(c) for c in ("id", "root", "met", "before")), units(m).alias("set")))
 
     def alike(x: Column, y: Column) -> Column:
         n, m = F.size(x["set"]), F.size(y["set"])
-        worth = (x["root"] != y["root"]) & (x["met"] != y["met"]) & (100 * F.least(n, m) >= fuzzy.percent * F.greatest(n, m)) & ~F.arrays_overlap(x["before"], y["before"])
-        return worth & ((100 + fuzzy.percent) * F.size(F.array_intersect(x["set"], y["set"])) >= fuzzy.percent * (n + m))
+        return (100 * F.least(n, m) >= fuzzy.percent * F.greatest(n, m)) & new(x, y) & ((100 + fuzzy.percent) * F.size(F.array_intersect(x["set"], y["set"])) >= fuzzy.percent * (n + m))
 
     def step(s: Column, found: Column, i: Column) -> Column:
         tried = F.transform(found, lambda c: F.struct(c.alias("c"), F.exists(c, lambda j: alike(F.get(s, i), F.get(s, j))).alias("hit")))

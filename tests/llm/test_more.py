@@ -1,5 +1,6 @@
 """The fusion of evidence against a plain version, and cases that the operators must stand."""
 
+import re
 from collections import Counter
 
 import brute
@@ -203,3 +204,28 @@ def test_components_join_all_edges_once(spark, monkeypatch, kind):
     assert got == {v: find(v) for v in {v for e in edges if e[0] != e[1] for v in e}}
     if kind == "random":
         assert sum(x.count() for x in joined) <= 2 * len(edges) + 8 * len(got)
+
+
+def test_lines_minima_by_filters(spark):
+    """A shingle's row touches the minimum of its own bin only, and a text is hashed once, not once a line."""
+    from siltloom.llm.lines import Fuzzy, _minima, lines_of
+
+    fuzzy = Fuzzy()
+    docs = spark.createDataFrame([(1, "one line of some length\nanother line of some length")], "doc_id long, text string")
+    plan = _minima(lines_of(docs, "doc_id", "text"), fuzzy, True)._jdf.queryExecution().optimizedPlan().toString()  # shows 25 columns at most
+    assert "CASE WHEN (bin" not in plan and len(re.findall(r"min\(value#\d+\) FILTER \(WHERE \(bin#\d+ = \d+\)\)", plan)) > 20
+    plan = lines_of(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
+def test_lines_that_met_before_are_not_compared_again(spark):
+    """Of a row's lines only those that share it with one they haven't met in an earlier band are compared."""
+    from siltloom.llm.lines import Fuzzy, linked
+
+    line = "a line of some length that others are copies of "
+    member = "struct<id:long,root:long,met:long,bands:array<long>,line:string>"
+    high = [(i, i, i, [1 if i < 2 else i, 9], line + str(i)) for i in range(3)]
+    rows = spark.createDataFrame([(1, [], high), (1, [], high[:2])], f"band int, low array<{member}>, high array<{member}>")
+    assert sorted(map(tuple, linked(rows, Fuzzy()).collect())) == [(1, 0), (2, 0)]
+    one = rows.where("size(high) = 2")
+    assert linked(one, Fuzzy()).collect() == []
