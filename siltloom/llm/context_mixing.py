@@ -142,10 +142,18 @@ class Mixer:
         gate += b.place
         return states, x, gate
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def scored(self, b: Bits) -> np.ndarray:
+        """The weighted sum of ``inputs``: a predictor's weight times its stretch is one entry of a table by gate and state, so that each decision gathers once a predictor."""
+        states = [t.take(s, mode="clip").astype(np.intp) for t, s in zip(self.tables, b.slots)]
+        gate = _GATE16.take(states[-1])
+        gate += _GATE4.take(states[-2])
+        gate += b.place
         y = np.zeros(len(gate), np.float32)
-        for w, v in zip(self.weights.T.copy(), x):
-            y += w.take(gate) * v
+        high = gate * 256
+        for w, v, s in zip(self.weights.T, self.stretch, states):
+            s += high
+            y += (w[:, None] * v).ravel().take(s)
+        y += self.weights[:, -1].take(gate) * b.guess
         return np.clip(y, -CLIP, CLIP, out=y)
 
     def refined(self, y: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -153,14 +161,18 @@ class Mixer:
         at = np.clip((y + np.float32(8)) * np.float32(2), np.float32(0), np.float32(BUCKETS - 1.001))
         low = at.astype(np.int32)
         at -= low
-        where = (row * np.int32(BUCKETS) + low).astype(np.intp)
-        a, b = self.map.ravel().take(where), self.map.ravel().take(where + 1)
-        return (y + a + (b - a) * at) * np.float32(0.5)
+        where = (row * np.int32(BUCKETS) + low).astype(np.intp, copy=False)
+        flat = self.map.ravel()
+        out = flat.take(where)
+        out += y
+        at *= np.diff(flat, append=np.float32(0)).take(where)
+        out += at
+        out *= np.float32(0.5)
+        return out
 
     def log2(self, b: Bits) -> np.ndarray:
         """Minus the bits of each item."""
-        _, x, gate = self.inputs(b, False)
-        y = self.refined(self.mixed(x, gate), b.row)
+        y = self.refined(self.scored(b), b.row)
         y *= np.float32(1) - np.float32(2) * b.bit
         cost = np.log(np.float32(1) + np.exp(y))
         return -np.add.reduceat(cost, b.starts, dtype=np.float64) / math.log(2)

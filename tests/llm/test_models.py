@@ -255,3 +255,18 @@ def test_clusters_of_odd_rows(spark):
     assert {r.distance for r in huge} == {1 << 54}  # held at the bound
     with pytest.raises(ValueError):
         Clusters(k=1 << 20)
+
+
+def test_scoring_gathers_weight_times_stretch_at_once():
+    """One table by gate and state for each predictor, with the same result bit for bit as weights and stretches apart."""
+    from siltloom.llm.context_mixing import CHAR_ROWS, CLIP, Mixer, Paths, spelled_bits
+
+    rng = np.random.default_rng(3)
+    b = spelled_bits([b"word%d" % i for i in range(500)], Paths(list(range(1, 257))), 12)
+    mixer = Mixer(rng.integers(0, 9, (4, 1 << 12, 2)).astype(np.uint16), CHAR_ROWS)
+    mixer.weights = rng.normal(0.3, 0.2, mixer.weights.shape).astype(np.float32)
+    _, x, gate = mixer.inputs(b, False)
+    y = np.zeros(len(gate), np.float32)
+    for w, v in zip(mixer.weights.T.copy(), x):
+        y += w.take(gate) * v
+    assert (mixer.scored(b) == np.clip(y, -CLIP, CLIP)).all()
