@@ -98,13 +98,23 @@ class Links:
     refs: DataFrame
     members: DataFrame
 
+    def without(self, ids: DataFrame) -> Links:
+        """The links whose edges touch none of the nodes ``ids`` (id)."""
+        gone = ids.select("id").distinct()
+        return Links(self.refs.join(gone, "id", "left_anti"), self.members.join(gone, "id", "left_anti"))
+
+    def edge_count(self) -> DataFrame:
+        """A row with the number of edges (n_edges): each group's sources times its nodes, added up."""
+        n = lambda df, c: df.groupBy("group").agg(F.count("*").alias(c))
+        return n(self.refs, "m").join(n(self.members, "n"), "group").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("n_edges"))
+
 
 def links(entities: DataFrame, nodes: DataFrame) -> Links:
-    """The edges of ``resolve_edges`` by target name, not multiplied out: a group is a name in a repo and branch."""
+    """The edges of ``resolve_edges`` by target name, not multiplied out: a group is a name in a repo and branch. Relations whose name no node has go before the others are made distinct."""
     group = F.concat_ws("\x01", "repo", "branch", "name")
-    refs = relations(entities).withColumnRenamed("target_name", "name").select(F.col("src_id").alias("id"), "rel_type", group.alias("group")).distinct()
-    refs = stored(refs)
     members = nodes.select(group.alias("group"), "id")
+    refs = relations(entities).withColumnRenamed("target_name", "name").select(F.col("src_id").alias("id"), "rel_type", group.alias("group"))
+    refs = stored(refs.join(stored(members.select("group").distinct()), "group", "left_semi").select("id", "rel_type", "group").distinct())
     return Links(refs, members.join(refs.select("group").distinct(), "group", "left_semi"))
 
 

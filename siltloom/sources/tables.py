@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from siltloom.operators.graph import Links
+
 SLICE = ["repo", "branch"]
 
 
@@ -70,10 +74,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def clear_graph(nodes: DataFrame, edges: DataFrame, slices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges without the slices' nodes and whatever touches them, and a row with the number of nodes deleted."""
+def clear_graph(nodes: DataFrame, edges: DataFrame | Links, slices: DataFrame) -> tuple[DataFrame, DataFrame | Links, DataFrame]:
+    """Nodes and edges without the slices' nodes and whatever touches them, and a row with the number of nodes deleted.
+
+    Edges may be resolved ones or links by name, whose two parts lose these nodes without being multiplied out.
+    """
     kept = drop_slices(nodes, slices)
     gone = nodes.join(kept.select("id"), "id", "left_anti")
+    if not isinstance(edges, DataFrame):
+        return kept, edges.without(gone), gone.agg(F.count("*").alias("n_deleted"))
     ids = gone.select(F.col("id").alias("__id"))
     rest = edges.join(ids, F.col("src_id") == F.col("__id"), "left_anti").join(ids, F.col("dst_id") == F.col("__id"), "left_anti")
     return kept, rest, gone.agg(F.count("*").alias("n_deleted"))

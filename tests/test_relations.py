@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltloom.operators import graph as G
 from siltloom.operators.entities import RELATION
+from siltloom.sources import tables as T
 
 
 def test_relations_of_links_are_those_of_edges(spark):
@@ -88,3 +89,19 @@ def test_few_seeds_in_many_tasks_are_one_block(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == [(1, 100), (2, 20 * 19)] and max(held.values()) <= 25
+
+
+def test_a_graph_is_cleared_by_links(spark):
+    """Clearing links leaves the edges that clearing resolved ones leaves; a hot name of 80 relations and 60 nodes stays that many rows."""
+    slices = spark.createDataFrame([("r0", None), ("r1", "b0")], "repo string, branch string")
+    e = entities_of(spark, [(f"r{i % 3}", f"b{i % 2}", f"f{i}", "hot" if i % 4 else f"n{i}", 1, "", ["hot", f"n{i - i % 4}", "none"]) for i in range(360)])
+    e = e.union(e.where("file_path in ('f2', 'f8')").withColumn("start_line", F.lit(2)))
+    nodes = G.named_nodes(e)
+    kept, left, gone = T.clear_graph(nodes, G.links(e, nodes), slices)
+    same, edges, deleted = T.clear_graph(G.merge_nodes(e), G.resolve_edges(e, G.merge_nodes(e)), slices)
+    want = {tuple(x) for x in edges.select("src_id", "rel_type", "dst_id").collect()}
+    assert {tuple(x) for x in G.edges_of(left).collect()} == want and left.edge_count().collect() == [(len(want),)] and len(want) > 5_000
+    assert left.refs.count() + left.members.count() < 1_000
+    assert {x.id for x in kept.collect()} == {x.id for x in same.collect()} and gone.collect() == deleted.collect() == [(180,)]
+    none = left.without(nodes)
+    assert none.edge_count().collect() == [(0,)]
