@@ -105,3 +105,20 @@ def test_a_graph_is_cleared_by_links(spark):
     assert {x.id for x in kept.collect()} == {x.id for x in same.collect()} and gone.collect() == deleted.collect() == [(180,)]
     none = left.without(nodes)
     assert none.edge_count().collect() == [(0,)]
+
+
+def test_edges_of_a_cell_come_together(spark, monkeypatch):
+    """Tasks make their largest names first, and a name's edges without a break, so that files hold its few ids as numbers; 40 names of 1 to 40 nodes met at random before."""
+    monkeypatch.setattr(G, "EDGES", 10_000)
+    e = entities_of(spark, [("r", "b", f"f{i}", f"n{i % 40}", 1, "", [f"n{j}" for j in range(40) if i % 40 >= j and i % (j + 1) == 0]) for i in range(600)])
+    edges = G.resolve_edges(e, G.named_nodes(e), F.col("properties")["via"]).withColumn("p", F.spark_partition_id())
+    got, seen = edges.collect(), {}
+    assert len(got) == sum(15 for i in range(600) for j in range(40) if i % 40 >= j and i % (j + 1) == 0)
+    for x in got:
+        runs = seen.setdefault(x.p, [])
+        if not runs or runs[-1][0] != x.properties:
+            runs.append([x.properties, 0])
+        runs[-1][1] += 1
+    assert max(map(len, seen.values())) > 2
+    for runs in seen.values():
+        assert len({via for via, _ in runs}) == len(runs) and [n for _, n in runs] == sorted((n for _, n in runs), reverse=True)
