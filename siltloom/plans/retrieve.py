@@ -15,6 +15,8 @@ from siltloom.sources.tables import stored
 
 HIT = ("repo", "branch", "file_path", "language", "text", "entity_id", "ast_type", "ast_name", "ast_signature")
 FEW_HITS, FEW_CHARACTERS = 6, 4000
+#: The highest score of a node that only the graph finds, at a distance of 2 or more.
+FAR = 0.3
 
 
 def search(queries: DataFrame, chunks: DataFrame, limit: int = 6) -> DataFrame:
@@ -35,12 +37,13 @@ def top_files(scores: DataFrame, max_files: int = 10) -> DataFrame:
     return scores.withColumn("file_rank", F.row_number().over(order)).where(F.col("file_rank") <= max_files)
 
 
-def search_augmented(queries: DataFrame, chunks: DataFrame, limit: int = 50, max_files: int = 10) -> DataFrame:
+def search_augmented(queries: DataFrame, chunks: DataFrame, limit: int = 50, max_files: int = 10, top: DataFrame | None = None) -> DataFrame:
     """All chunks of each query's best files, in order: (query_id, file_rank, repo, branch, file_path, position, chunk_id).
 
-    The best chunks vote for their files; whole files are then read by a join on the file, whose right side has ``max_files`` rows a query.
+    The best chunks vote for their files; whole files are then read by a join on the file, whose right side has ``max_files`` rows a query. ``top``: the rows of ``vector_topk``, ``limit`` a query or more, where they are known.
     """
-    hits = vector_topk(queries, chunks, limit).join(chunks.select("chunk_id", "repo", "branch", "file_path"), "chunk_id")
+    best = vector_topk(queries, chunks, limit) if top is None else top.where(F.col("rank") <= limit)
+    hits = best.join(chunks.select("chunk_id", "repo", "branch", "file_path"), "chunk_id")
     best = top_files(file_scores(hits), max_files).drop("score")
     return best.join(chunks.drop("embedding"), ["repo", "branch", "file_path"])
 
@@ -56,21 +59,38 @@ def fuse(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "key").agg(F.max("score").alias("score"), F.min_by("source", "src_rank").alias("source"), F.min("src_rank").alias("src_rank"))
 
 
-def search_hybrid(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 12, depth: int = 2) -> DataFrame:
+def search_hybrid(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame | Links, limit: int = 12, depth: int = 2, top: DataFrame | None = None) -> DataFrame:
     """Vector, graph and name hits in one ranking: (query_id, key, score, source, rank).
 
     queries: (query_id, query, vector, repo?, branch?). Scores: a vector hit keeps its cosine, or 0.5 / distance if a neighbour of one is nearer; a node
-    found by the graph only has 0.6 / distance; a node whose name stands in the question has at least 0.9. Equal scores: vector, graph, name, then key.
+    found by the graph only has 0.6 / distance; a node whose name stands in the question has at least 0.9. Equal scores: vector, graph, name, then key. ``top``: the rows of ``vector_topk``, 3 * limit a query or more,
+    where they are known.
+
+    The graph is searched to distance 1 for all queries. Nodes farther away have 0.3 at most, so that they rank nowhere for a query with ``limit`` keys above that; only the other queries are searched
+    for to ``depth``. What may still change there is the source of a node found by name: whether the graph reaches it, too, is asked from its side, as distances are the same both ways.
     """
-    hits = vector_topk(queries, chunks, 3 * limit).join(chunks.select("chunk_id", "entity_id", "repo", "branch", "file_path", "position"), "chunk_id")
+    best = vector_topk(queries, chunks, 3 * limit) if top is None else top.where(F.col("rank") <= 3 * limit)
+    hits = stored(best.join(chunks.select("chunk_id", "entity_id", "repo", "branch", "file_path", "position"), "chunk_id"))
     place = F.concat_ws(":", "repo", "branch", "file_path", F.col("position").cast("string"))
     vector = hits.select("query_id", F.coalesce("entity_id", place).alias("key"), "score", F.lit(0).alias("src_rank"), F.lit("vector").alias("source"))
     seeds = hits.where("entity_id is not null").select("query_id", F.col("entity_id").alias("id")).distinct()
-    near = graph_hits(seeds, nodes, edges, depth)
     known = vector.select("query_id", "key").distinct().withColumn("seen", F.lit(True))
-    graph = near.join(known, ["query_id", "key"], "left").select("query_id", "key", (F.when(F.col("seen"), 0.5).otherwise(0.6) / F.col("distance")).alias("score"), F.lit(1).alias("src_rank"), F.lit("graph").alias("source"))
+    scored = lambda near: near.join(known, ["query_id", "key"], "left").select("query_id", "key", (F.when(F.col("seen"), 0.5).otherwise(0.6) / F.col("distance")).alias("score"), F.lit(1).alias("src_rank"), F.lit("graph").alias("source"))
     asked = queries.select("query_id", "repo", "branch", F.explode(T.name_candidates(F.col("query"))).alias("name"))
     named = lookup_names(asked, nodes, 3).select("query_id", F.col("id").alias("key"), F.lit(0.9).alias("score"), F.lit(2).alias("src_rank"), F.lit("keyword").alias("source"))
+    edges = edges if isinstance(edges, Links) else links_of(edges)
+    near = graph_hits(seeds, nodes, edges, 1)
+    if depth > 1:
+        near, named = stored(near), stored(named)
+        above = fuse(vector.union(scored(near)).union(named)).where(F.round("score", 9) > FAR)
+        settled = stored(above.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id"))
+        far = graph_hits(seeds.join(settled, "query_id", "left_anti"), nodes, edges, depth)
+        keys = stored(named.join(settled, "query_id", "left_semi").select("query_id", "key").distinct().join(known, ["query_id", "key"], "left_anti"))
+        around = neighbourhood(keys.select(F.lit(0).alias("query_id"), F.col("key").alias("id")).distinct(), edges, depth).select(F.col("seed_id").alias("key"), "id")
+        both = keys.join(around, "key").join(seeds, ["query_id", "id"], "left_semi").select("query_id", "key", F.lit(depth).alias("distance"))
+        near = near.join(settled, "query_id", "left_semi").select("query_id", "key", "distance").union(far.select("query_id", "key", "distance")).union(both)
+        near = near.groupBy("query_id", "key").agg(F.min("distance").alias("distance"))
+    graph = scored(near)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "src_rank", "key")
     ranked = fuse(vector.union(graph).union(named)).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit).select("query_id", "key", "score", "source", "rank")
@@ -173,20 +193,22 @@ def build_context(hits: DataFrame) -> DataFrame:
     return part.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "fragment"))), lambda x: x["fragment"]), "\n\n---\n\n").alias("context"))
 
 
-def answer_context(questions: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, limit: int = 20, postings: Postings | None = None) -> DataFrame:
+def answer_context(questions: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame | Links, files: DataFrame, limit: int = 20, postings: Postings | None = None) -> DataFrame:
     """The full context of questions (query_id, query, vector): augmented files, hybrid hits, classes, and a keyword scan where that is scarce.
 
     Stages follow each other in this order; whole files have score 0, files of the scan 0.7. Scanned are 15 files a question at most, 12,000 characters each.
+    Chunks and nodes are read several times: tables that are costly to derive should be stored first. The best chunks are searched for once, and the first stages' hits stored.
     """
     q = questions.withColumns({"repo": T.first_repo(F.col("query")), "branch": T.first_branch(F.col("query"))})
     shape = lambda df, stage: df.select("query_id", F.lit(stage).alias("stage"), "rank", *[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in HIT], "score", "source")
     by = lambda *c: F.row_number().over(W.partitionBy("query_id").orderBy(*c))
-    augmented = search_augmented(q, chunks).withColumn("rank", by("file_rank", "position")).withColumns({"score": F.lit(0.0), "source": F.lit("augmented")})
+    top = stored(vector_topk(q, chunks, max(50, 3 * limit)))
+    augmented = search_augmented(q, chunks, 50, top=top).withColumn("rank", by("file_rank", "position")).withColumns({"score": F.lit(0.0), "source": F.lit("augmented")})
     named = nodes.withColumnsRenamed({"code": "text", "type": "ast_type", "name": "ast_name", "signature": "ast_signature"})
-    hybrid = search_hybrid(q, chunks, nodes, edges, limit).join(named.withColumn("entity_id", F.col("id")).withColumnRenamed("id", "key"), "key")
+    hybrid = search_hybrid(q, chunks, nodes, edges, limit, top=top).join(named.withColumn("entity_id", F.col("id")).withColumnRenamed("id", "key"), "key")
     classes = class_context(q, nodes, edges).withColumn("rank", by(F.desc("score"), "id")).withColumn("entity_id", F.col("id")).withColumnsRenamed({"code": "text", "type": "ast_type", "name": "ast_name", "signature": "ast_signature"})
     whole = class_files(q, nodes, chunks, files).withColumn("rank", by("name", "file_path")).withColumnRenamed("content", "text").withColumn("source", F.lit("fetch"))
-    first = merge_contexts(shape(augmented, 0).unionByName(shape(hybrid, 1)).unionByName(shape(classes, 2)).unionByName(shape(whole, 3)))
+    first = stored(merge_contexts(shape(augmented, 0).unionByName(shape(hybrid, 1)).unionByName(shape(classes, 2)).unionByName(shape(whole, 3))))
     scarce = needs_fallback(q, first).where("scarce").select("query_id")
     asked = q.where("repo is not null").join(scarce, "query_id").select("query_id", "repo", "branch", T.keywords(F.col("query")).alias("keywords"))
     scanned = keyword_scan(asked, files, 15, 12000, postings).withColumnRenamed("content", "text").withColumns({"score": F.lit(0.7), "source": F.lit("clone")})

@@ -1,9 +1,12 @@
 """Relations by name counts give the lists that resolved edges give."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from siltloom.operators import graph as G
 from siltloom.operators.entities import RELATION
+from siltloom.plans import retrieve as R
 from siltloom.sources import tables as T
 
 
@@ -122,3 +125,27 @@ def test_edges_of_a_cell_come_together(spark, monkeypatch):
     assert max(map(len, seen.values())) > 2
     for runs in seen.values():
         assert len({via for via, _ in runs}) == len(runs) and [n for _, n in runs] == sorted((n for _, n in runs), reverse=True)
+
+
+def test_far_nodes_are_searched_for_where_they_may_rank(spark, monkeypatch):
+    """Queries with enough keys above 0.3 aren't searched for beyond distance 1, with the scores and sources of a search that takes all to distance 2."""
+    rng = random.Random(4)
+    e = entities_of(spark, [("r", "b", f"f{i}", f"Node{i}", 1, "x", [f"Node{rng.randrange(60)}"]) for i in range(60)])
+    nodes = T.stored(G.merge_nodes(e))
+    ids = [x.id for x in nodes.orderBy("id").collect()]
+    rows = [(q, c, rng.random() if q % 2 else 0.29 * rng.random(), k + 1) for q in range(16) for k, c in enumerate(rng.sample(ids, 3 + q // 4 if q % 4 else 1))]
+    top = spark.createDataFrame(rows, "query_id long, chunk_id string, score double, rank int")
+    queries = spark.createDataFrame([(q, f"explica Node{rng.randrange(60)} y Node{rng.randrange(60)}" if q % 4 else "hola", None, None) for q in range(16)], "query_id long, query string, repo string, branch string")
+    chunks = nodes.select(F.col("id").alias("chunk_id"), F.col("id").alias("entity_id"), "repo", "branch", "file_path", F.lit(0).alias("position"))
+    asked, search = [], G.neighbourhood
+
+    def noted(seeds, found, depth=2):
+        asked.append((depth, seeds.select("query_id").distinct().count()))
+        return search(seeds, found, depth)
+
+    links = G.links(e, nodes)
+    got = lambda limit: {tuple(x) for x in R.search_hybrid(queries, chunks, nodes, links, limit, top=top).where("rank <= 5").collect()}
+    want = got(1000)
+    monkeypatch.setattr(R, "neighbourhood", noted)
+    assert got(5) == want and len({x[3] for x in want}) == 3
+    assert asked[0] == (1, 16) and asked[1][0] == 2 and 0 < asked[1][1] < 16
